@@ -21,10 +21,37 @@ def r6(expr: str, alias: str) -> str:
     return f"round({expr}, 6) AS {alias}"
 
 
+def no_negative_zero(text: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB may round a tiny
+    negative value to -0.0 where Spark gives 0.0; adding 0.0 clears the sign."""
+    out, i = [], 0
+    while True:
+        j = text.find("round(", i)
+        if j < 0 or (j > 0 and (text[j - 1].isalnum() or text[j - 1] == "_")):
+            if j < 0:
+                out.append(text[i:])
+                return "".join(out)
+            out.append(text[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if text[k] == "(":
+                depth += 1
+            elif text[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = no_negative_zero(text[j + 6:k])
+        out.append(text[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def sql(name: str, *views: str, body: str) -> None:
     if name in ORACLE:
         raise ValueError(f"duplicate oracle {name}")
-    ORACLE[name] = q(*views, body=body)
+    ORACLE[name] = no_negative_zero(q(*views, body=body))
 
 
 def panel_select(extra: str = "", price: bool = True) -> str:
@@ -324,3 +351,217 @@ FROM {PRICE_INNER} t
 """)
 
 ORACLE["flagship_store_scores"] = ORACLE["evaluate_all"]
+
+# ---------------------------------------------------------------- leaderboard family
+BOARD_LAGS = (7, 14, 28)
+FC_CAT = """(SELECT unique_id, cat_id, ds, y, yhat FROM (
+  SELECT item_id || '_' || store_id AS unique_id, cat_id, date AS ds, CAST(sales AS DOUBLE) AS y,
+         CAST(lag(sales, {lag}) OVER (PARTITION BY item_id, store_id ORDER BY date) AS DOUBLE) AS yhat
+  FROM panel) t WHERE ds >= (SELECT cut FROM cutoff))"""
+FCS = "(" + " UNION ALL ".join(f"SELECT 'lag_{L}' AS model, * FROM {FC_CAT.format(lag=L)} f{L}"
+                                for L in BOARD_LAGS) + ")"
+
+
+def _scores(group: list[str], label_all: bool = False) -> str:
+    """Metrics per group (over all board forecasts); WRMSSE = mean per-series RMSSE."""
+    g = ", ".join(group)
+    ge = ", ".join(f"e.{c}" for c in group)
+    on = " AND ".join(f"e.{c} = r.{c}" for c in group)
+    extra = ", 'ALL' AS cat_id" if label_all else ""
+    return f"""(SELECT {ge}{extra}, round(sqrt(avg(pow(e.y - e.yhat, 2))), 4) AS RMSE,
+       round(avg(abs(e.y - e.yhat)), 4) AS MAE,
+       round(avg(CASE WHEN e.y <> 0 THEN abs((e.y - e.yhat) / e.y) END) * 100, 4) AS MAPE,
+       round(COALESCE(avg(CASE WHEN (abs(e.y) + abs(e.yhat)) / 2 <> 0
+             THEN abs(e.y - e.yhat) / ((abs(e.y) + abs(e.yhat)) / 2) END) * 100, 0.0), 4) AS sMAPE,
+       round(max(r.wr), 4) AS WRMSSE
+FROM {FCS} e
+JOIN (SELECT {g}, avg(rmsse) AS wr FROM (
+        SELECT {", ".join("g." + c for c in group)}, g.unique_id,
+               sqrt(avg(pow(g.yhat - g.y, 2)) / greatest(COALESCE(max(s.scale), 1.0), 1e-8)) AS rmsse
+        FROM {FCS} g LEFT JOIN {SCALE} s ON g.unique_id = s.unique_id
+        GROUP BY {", ".join("g." + c for c in group)}, g.unique_id) f GROUP BY {g}) r ON {on}
+GROUP BY {ge})"""
+
+
+BOARD = f"""(SELECT model AS Model, RMSE, MAE, MAPE, sMAPE, WRMSSE, CAST(0.0 AS DOUBLE) AS train_seconds
+FROM {_scores(["model"])} b)"""
+MELT = f"""(SELECT * FROM (SELECT Model, RMSE, MAE, MAPE, sMAPE, WRMSSE FROM {BOARD} b1) b0 UNPIVOT INCLUDE NULLS (Value FOR Metric IN (RMSE, MAE, MAPE, sMAPE, WRMSSE)))"""
+V = ("panel", "cutoff")
+sql("leaderboard", *V, body=f"SELECT * FROM {BOARD} t")
+sql("melt_metrics", *V, body=f"SELECT Model, Metric, Value FROM {MELT} t")
+sql("best_per_metric", *V, body=f"""
+SELECT Metric, Model, Value FROM (
+  SELECT *, row_number() OVER (PARTITION BY Metric ORDER BY Value, Model) AS rn
+  FROM {MELT} t WHERE Value IS NOT NULL) WHERE rn = 1
+""")
+sql("radar_scores", *V, body=f"""
+SELECT Model, Metric, Value,
+       round(1 - (Value - min(Value) OVER (PARTITION BY Metric))
+             / CASE WHEN max(Value) OVER (PARTITION BY Metric) - min(Value) OVER (PARTITION BY Metric) = 0
+                    THEN 1.0 ELSE max(Value) OVER (PARTITION BY Metric) - min(Value) OVER (PARTITION BY Metric) END,
+             3) AS score
+FROM {MELT} t
+""")
+sql("metrics_json", *V, body=f"SELECT * FROM {BOARD} t")
+
+SCORES_CAT = f"""(SELECT * FROM {_scores(["model", "cat_id"])} a
+  UNION ALL SELECT model, cat_id, RMSE, MAE, MAPE, sMAPE, WRMSSE FROM {_scores(["model"], True)} b)"""
+LONG_CAT = f"(SELECT * FROM {SCORES_CAT} s0 UNPIVOT INCLUDE NULLS (Value FOR Metric IN (RMSE, MAE, MAPE, sMAPE, WRMSSE)))"
+sql("model_vs_benchmark", *V, body=f"""
+SELECT a.cat_id, a.Metric, a.Value AS model_value, b.Value AS benchmark_value,
+       round((a.Value - b.Value) / NULLIF(b.Value, 0) * 100, 4) AS pct_diff
+FROM {LONG_CAT} a JOIN {LONG_CAT} b
+  ON a.cat_id = b.cat_id AND a.Metric = b.Metric AND a.model = 'lag_7' AND b.model = 'lag_28'
+""")
+
+# ---------------------------------------------------------------- forecast post-processing
+sql("pct_band", "forecast", body="""
+SELECT unique_id, ds, y, yhat, round(greatest(yhat - yhat * 0.05, 0.0), 6) AS yhat_lower,
+       round(yhat + yhat * 0.05, 6) AS yhat_upper FROM forecast
+""")
+sql("forecast_total", "forecast", body="""
+SELECT ds, round(sum(yhat), 6) AS total_yhat FROM forecast GROUP BY ds
+""")
+sql("forecast_scaled", "forecast", "series", body="""
+SELECT ds, round(sum(yhat) * ((SELECT count(*) FROM series)
+       / (SELECT count(DISTINCT unique_id) FROM forecast WHERE yhat IS NOT NULL)), 6) AS scaled_yhat
+FROM forecast WHERE yhat IS NOT NULL GROUP BY ds
+""")
+
+PATHS = ("(UNPIVOT (SELECT unique_id, ds, " + ", ".join(f"s{k}" for k in range(1, 21)) + """ FROM (
+  SELECT item_id || '_' || store_id AS unique_id, date AS ds, """
+         + ", ".join(f"CAST(lag(sales, {7 * k}) OVER (PARTITION BY item_id, store_id ORDER BY date) AS DOUBLE) AS s{k}"
+                     for k in range(1, 21))
+         + """ FROM panel) t WHERE ds >= (SELECT cut FROM cutoff))
+  ON """ + ", ".join(f"s{k}" for k in range(1, 21)) + " INTO NAME sample VALUE y)")
+sql("path_quantiles", "panel", "cutoff", body=f"""
+SELECT unique_id, ds, round(quantile_cont(y, 0.5), 6) AS yhat,
+       round(quantile_cont(y, 0.025), 6) AS yhat_lower, round(quantile_cont(y, 0.975), 6) AS yhat_upper
+FROM {PATHS} p GROUP BY unique_id, ds
+""")
+sql("static_features", "panel", body="""
+SELECT unique_id,
+       CAST(dense_rank() OVER (ORDER BY dept_id) - 1 AS INTEGER) AS dept_id,
+       CAST(dense_rank() OVER (ORDER BY cat_id) - 1 AS INTEGER) AS cat_id,
+       CAST(dense_rank() OVER (ORDER BY state_id) - 1 AS INTEGER) AS state_id
+FROM (SELECT item_id || '_' || store_id AS unique_id, arg_min(dept_id, date) AS dept_id,
+             arg_min(cat_id, date) AS cat_id, arg_min(state_id, date) AS state_id
+      FROM panel GROUP BY 1)
+""")
+sql("series_list", "sales_long", body="""
+SELECT DISTINCT item_id, store_id FROM sales_long ORDER BY item_id, store_id LIMIT 5
+""")
+sql("residual_histogram", "forecast", body="""
+SELECT bin, round(lo + bin * w, 6) AS bin_lo, round(lo + (bin + 1) * w, 6) AS bin_hi, count(*) AS n
+FROM (SELECT CAST(least(floor((res - lo) / w), 49) AS INTEGER) AS bin, lo, w FROM
+        (SELECT round(y - yhat, 2) AS res FROM forecast) r,
+        (SELECT min(round(y - yhat, 2)) AS lo,
+                CASE WHEN max(round(y - yhat, 2)) > min(round(y - yhat, 2))
+                     THEN (max(round(y - yhat, 2)) - min(round(y - yhat, 2))) / 50 ELSE 1.0 END AS w
+         FROM forecast) b
+      WHERE res IS NOT NULL)
+GROUP BY bin, lo, w
+""")
+sql("union_train_test", "panel", body="SELECT item_id, store_id, date, sales FROM panel")
+sql("future_dates", "panel", body="""
+SELECT unique_id, CAST(last + CAST(h AS INTEGER) AS DATE) AS ds, CAST(h AS INTEGER) AS h
+FROM (SELECT item_id || '_' || store_id AS unique_id, max(date) AS last FROM panel GROUP BY 1),
+     range(1, 29) t(h)
+""")
+TRAIN_MEAN = """(SELECT item_id || '_' || store_id AS unique_id, avg(sell_price) AS sell_price
+  FROM panel WHERE date < (SELECT cut FROM cutoff) GROUP BY 1)"""
+sql("regressor_means", "panel", "cutoff", body=f"""
+SELECT unique_id, round(sell_price, 6) AS sell_price FROM {TRAIN_MEAN} m
+""")
+sql("future_regressors", "panel", "cutoff", body=f"""
+SELECT t.unique_id, t.ds, round(COALESCE(CASE WHEN t.sell_price <> 0 THEN t.sell_price END, m.sell_price), 6) AS sell_price
+FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds, sell_price FROM panel
+      WHERE date >= (SELECT cut FROM cutoff)) t
+LEFT JOIN {TRAIN_MEAN} m ON t.unique_id = m.unique_id
+""")
+
+# ---------------------------------------------------------------- grids and decomposition
+SPARSE_SERIES = """(SELECT s.item_id || '_' || s.store_id AS unique_id, s.store_id, c.date AS ds,
+  CAST(s.sales AS DOUBLE) AS y FROM sales_sparse s LEFT JOIN calendar c ON s.d = c.d)"""
+sql("densify_zero", "sales_sparse", "calendar", body=f"""
+SELECT g.unique_id, g.ds, COALESCE(f.y, 0.0) AS y
+FROM (SELECT unique_id, CAST(x AS DATE) AS ds FROM (
+        SELECT unique_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS x
+        FROM (SELECT unique_id, min(ds) AS lo, max(ds) AS hi FROM {SPARSE_SERIES} a GROUP BY 1))) g
+LEFT JOIN {SPARSE_SERIES} f ON g.unique_id = f.unique_id AND g.ds = f.ds
+""")
+STORE_DAY = f"(SELECT store_id, ds AS date, sum(y) AS sales FROM {SPARSE_SERIES} a GROUP BY 1, 2)"
+sql("densify_ffill", "sales_sparse", "calendar", body=f"""
+SELECT g.store_id, g.date,
+       round(last_value(f.sales IGNORE NULLS) OVER (PARTITION BY g.store_id ORDER BY g.date
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS sales
+FROM (SELECT store_id, CAST(x AS DATE) AS date FROM (
+        SELECT store_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS x
+        FROM (SELECT store_id, min(date) AS lo, max(date) AS hi FROM {STORE_DAY} b GROUP BY 1))) g
+LEFT JOIN {STORE_DAY} f ON g.store_id = f.store_id AND g.date = f.date
+""")
+sql("seasonal_decompose", "sales_long", "calendar", body=f"""
+WITH daily AS (SELECT date, CAST(sum(sales) AS DOUBLE) AS observed FROM {DATED} t GROUP BY date),
+x AS (SELECT date, observed,
+             CASE WHEN count(observed) OVER w7 = 7 THEN avg(observed) OVER w7 END AS trend,
+             (row_number() OVER (ORDER BY date) - 1) % 7 AS pos
+      FROM daily WINDOW w7 AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+pm AS (SELECT pos, avg(observed - trend) AS pm FROM x GROUP BY pos),
+s AS (SELECT pos, pm - avg(pm) OVER () AS seasonal FROM pm)
+SELECT x.date, round(x.observed, 6) AS observed, round(x.trend, 6) AS trend,
+       round(s.seasonal, 6) AS seasonal, round(x.observed - x.trend - s.seasonal, 6) AS resid
+FROM x JOIN s ON x.pos = s.pos WHERE x.trend IS NOT NULL
+""")
+
+NLAGS = 40
+ACF_AGG = ("(SELECT unique_id, count(p0) AS n, " + ", ".join(f"sum(p{k}) AS s{k}" for k in range(NLAGS + 1))
+           + " FROM (SELECT unique_id, " + ", ".join(
+               f"d * lag(d, {k}) OVER (PARTITION BY unique_id ORDER BY ds) AS p{k}" for k in range(NLAGS + 1))
+           + """ FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds,
+                CAST(sales AS DOUBLE) - avg(CAST(sales AS DOUBLE)) OVER (PARTITION BY item_id, store_id) AS d
+                FROM panel) t) u GROUP BY unique_id)""")
+sql("acf", "panel", body="SELECT * FROM (" + "\nUNION ALL ".join(
+    f"SELECT unique_id, CAST({k} AS INTEGER) AS lag, round(s{k} / NULLIF(s0, 0), 6) AS acf, "
+    f"round(1.96 / sqrt(n), 6) AS conf FROM acf_agg WHERE {k} < n" for k in range(NLAGS + 1)) + ")")
+ORACLE["acf"] = ORACLE["acf"].replace("\nSELECT * FROM (", f", acf_agg AS {ACF_AGG}\nSELECT * FROM (", 1)
+
+# ---------------------------------------------------------------- direct multi-horizon rows
+SNAP_CASE = """CASE WHEN state_id = 'AFRICA' THEN CAST(snap_AFRICA AS INTEGER)
+                  WHEN state_id = 'AMERICA' THEN CAST(snap_AMERICA AS INTEGER)
+                  WHEN state_id = 'ASIA' THEN CAST(snap_ASIA AS INTEGER)
+                  WHEN state_id = 'EUROPE' THEN CAST(snap_EUROPE AS INTEGER)
+                  WHEN state_id = 'MIDDLE EAST' THEN CAST(snap_MIDDLE_EAST AS INTEGER)
+                  ELSE 0 END"""
+DIRECT_SERIES = f"""(SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE) AS y,
+  CAST(event_name_1 IS NOT NULL AND event_name_1 <> 'NoEvent' AS INTEGER) AS has_event, {SNAP_CASE} AS snap,
+  CAST(dense_rank() OVER (ORDER BY cat_id) - 1 AS INTEGER) AS cat_id,
+  CAST(dense_rank() OVER (ORDER BY dept_id) - 1 AS INTEGER) AS dept_id
+  FROM panel)"""
+LAST_TRAIN = "CAST((SELECT cut FROM cutoff) - 1 AS DATE)"
+DW = "PARTITION BY unique_id ORDER BY ds"
+sql("direct_training_rows", "panel", "cutoff", body=f"""
+, s AS {DIRECT_SERIES},
+st AS (SELECT unique_id, quantile_cont(y, 0.5) AS median,
+              CASE WHEN quantile_cont(y, 0.75) - quantile_cont(y, 0.25) > 0
+                   THEN quantile_cont(y, 0.75) - quantile_cont(y, 0.25) ELSE 1.0 END AS iqr
+       FROM s WHERE ds <= {LAST_TRAIN} GROUP BY unique_id),
+b AS (SELECT s.unique_id, s.ds, s.cat_id, s.dept_id, s.has_event, s.snap, st.median, st.iqr,
+             (s.y - st.median) / st.iqr AS y_scaled,
+             CAST((((date_diff('day', {LAST_TRAIN}, s.ds) - 1) % 28) + 28) % 28 + 1 AS INTEGER) AS h,
+             ((date_diff('day', {LAST_TRAIN}, s.ds) % 28) + 28) % 28 = 0 AS is_origin
+      FROM s LEFT JOIN st ON s.unique_id = st.unique_id),
+c AS (SELECT *, CASE WHEN is_origin THEN y_scaled END AS y_o,
+             CASE WHEN is_origin THEN avg(y_scaled) OVER ({DW} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS m7_o,
+             CASE WHEN is_origin THEN avg(y_scaled) OVER ({DW} ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) END AS m28_o
+      FROM b)
+SELECT unique_id, ds, h, cat_id, dept_id,
+       round(last_value(y_o IGNORE NULLS) OVER ({DW} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 6) AS y_origin,
+       round(last_value(m7_o IGNORE NULLS) OVER ({DW} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 6) AS mean7_origin,
+       round(last_value(m28_o IGNORE NULLS) OVER ({DW} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), 6) AS mean28_origin,
+       CAST(isodow(ds) - 1 AS INTEGER) AS day_of_week, CAST(month(ds) AS INTEGER) AS month,
+       CAST(isodow(ds) >= 6 AS INTEGER) AS is_weekend, has_event, snap,
+       round(median, 6) AS median, round(iqr, 6) AS iqr, round(y_scaled, 6) AS y_scaled
+FROM c
+""")
+# the body above continues the WITH clause of the fixture views
+ORACLE["direct_training_rows"] = ORACLE["direct_training_rows"].replace("\n\n, s AS", "\n, s AS")

@@ -25,9 +25,10 @@ def fill_prices(df: DataFrame, keys: Sequence[str] = SERIES, date: str = "date",
     return df.withColumn(col, F.coalesce(fwd, bwd, F.lit(0.0)))
 
 
-def fill_missing(df: DataFrame, keys: Sequence[str] = SERIES, date: str = "date") -> DataFrame:
+def fill_missing(df: DataFrame, keys: Sequence[str] = SERIES, date: str = "date",
+                 prices_filled: bool = False) -> DataFrame:
     """Prices filled per series; event columns -> 'NoEvent'; sales -> 0."""
-    if "sell_price" in df.columns:
+    if "sell_price" in df.columns and not prices_filled:
         df = fill_prices(df, keys, date)
     fills = {c: NO_EVENT for c in EVENT_COLS if c in df.columns}
     if "sales" in df.columns:
@@ -73,3 +74,35 @@ def densify_ffill(df: DataFrame, keys: Sequence[str] = (), date: str = "date",
     joined = grid.join(df.select(*keys, date, value), [*keys, date], "left")
     return joined.select(*keys, date, F.last(value, ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias(value))
+
+
+def attach_prices_filled(sales: DataFrame, prices: DataFrame, keys: Sequence[str] = SERIES,
+                         date: str = "date", week: str = "wm_yr_wk",
+                         price: str = "sell_price") -> DataFrame:
+    """sales ⟕ prices on (keys, week) *and* the per-series price fill, in one pass.
+
+    Price rows are unioned with the sales rows and both are partitioned by the
+    series key only; within a series (ordered by week, price row first, then
+    date) ``last(price, ignorenulls)`` is the forward fill (it returns the
+    row's own week price when there is one) and ``first(price, ignorenulls)``
+    over the following rows is the backward fill. Price rows outside the weeks
+    the series has sales rows for are dropped first, so only the prices a left
+    join would attach are used, as in join-then-fill.
+
+    Compared with a join on (store, item, week) followed by a window on
+    (item, store), the panel is shuffled once instead of twice, and the later
+    feature windows (same partitioning) reuse that shuffle.
+    """
+    p = prices.select(*[F.col(k).cast("string").alias(k) for k in keys],
+                      F.col(week).cast("int").alias(week), F.col(price).cast("double").alias(price))
+    s = sales.withColumn(price, F.lit(None).cast("double")).withColumn("_price_row", F.lit(False))
+    u = s.unionByName(p.withColumn("_price_row", F.lit(True)), allowMissingColumns=True)
+    whole = Window.partitionBy(*keys)
+    sales_wk = F.when(~F.col("_price_row"), F.col(week))
+    u = u.withColumns({"_wk_lo": F.min(sales_wk).over(whole), "_wk_hi": F.max(sales_wk).over(whole)})
+    u = u.where(~F.col("_price_row") | F.col(week).between(F.col("_wk_lo"), F.col("_wk_hi")))
+    w = Window.partitionBy(*keys).orderBy(F.col(week), F.desc("_price_row"), F.col(date))
+    fwd = F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    bwd = F.first(price, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    out = u.withColumn(price, F.coalesce(fwd, bwd, F.lit(0.0))).where(~F.col("_price_row"))
+    return out.drop("_price_row", "_wk_lo", "_wk_hi")

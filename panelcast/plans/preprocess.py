@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.fills import fill_missing
+from panelcast.operators.fills import attach_prices_filled, fill_missing
 from panelcast.operators.joins import join_calendar, join_prices, keep_top_items
 from panelcast.operators.reshape import melt_sales, train_test_split
 
@@ -22,9 +22,16 @@ SERIES = ("item_id", "store_id")
 
 def merge_all(sales_long: DataFrame, calendar: DataFrame, prices: DataFrame,
               keys: Sequence[str] = SERIES, fill: bool = True) -> DataFrame:
-    """sales ⟕ calendar (broadcast, bounded) ⟕ prices, then per-series fills."""
-    merged = join_prices(join_calendar(sales_long, calendar), prices)
-    return fill_missing(merged, keys) if fill else merged
+    """sales ⟕ calendar (broadcast, bounded) ⟕ prices, then per-series fills.
+
+    With ``fill`` the price join and the price fill run as one windowed pass
+    partitioned by the series key (``attach_prices_filled``), which the feature
+    windows downstream reuse.
+    """
+    dated = join_calendar(sales_long, calendar)
+    if not fill:
+        return join_prices(dated, prices)
+    return fill_missing(attach_prices_filled(dated, prices, keys), keys, prices_filled=True)
 
 
 def preprocess(sales: DataFrame, calendar: DataFrame, prices: DataFrame, top_n: int | None = 50,

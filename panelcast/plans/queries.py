@@ -373,3 +373,353 @@ def q_feat_events(spark, sf_dir):
 @register("build_features")
 def q_build_features(spark, sf_dir):
     return features.build_features(_d(spark, sf_dir).panel(), snap_map=SNAP_MAP)
+
+
+# ---------------------------------------------------------------- leaderboard family
+BOARD_LAGS = (7, 14, 28)
+
+
+def _board_forecasts(d: RetailData) -> DataFrame:
+    """Three seasonal-naive forecasters (lag 7, 14, 28) as one long frame."""
+    out = None
+    for L in BOARD_LAGS:
+        f = _forecast(d, L).withColumn("model", F.lit(f"lag_{L}"))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def _board(d: RetailData) -> DataFrame:
+    scale = metrics.series_scale(_train_history(d))
+    scores = metrics.evaluate_all(_board_forecasts(d), ["model"], scale)
+    # naive forecasters have nothing to train
+    return scores.select(F.col("model").alias("Model"), *metrics.METRICS,
+                         F.lit(0.0).alias("train_seconds"))
+
+
+@register("leaderboard")
+def q_leaderboard(spark, sf_dir):
+    return metrics.leaderboard(_board(_d(spark, sf_dir)))
+
+
+@register("melt_metrics")
+def q_melt_metrics(spark, sf_dir):
+    return reshape.melt_metrics(_board(_d(spark, sf_dir)))
+
+
+@register("best_per_metric")
+def q_best_per_metric(spark, sf_dir):
+    return metrics.best_per_metric(reshape.melt_metrics(_board(_d(spark, sf_dir))))
+
+
+@register("radar_scores")
+def q_radar_scores(spark, sf_dir):
+    return metrics.radar_scores(reshape.melt_metrics(_board(_d(spark, sf_dir))))
+
+
+@register("metrics_json")
+def q_metrics_json(spark, sf_dir):
+    path = scratch_path(spark, "metrics_json")
+    files.save_metrics_json(_board(_d(spark, sf_dir)), path)
+    return files.load_metrics(spark, json_dir=path)
+
+
+@register("model_vs_benchmark")
+def q_model_vs_benchmark(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    scale = metrics.series_scale(_train_history(d))
+    return metrics.model_vs_benchmark(_board_forecasts(d), "lag_7", "lag_28", "cat_id", scale)
+
+
+# ---------------------------------------------------------------- forecast post-processing
+@register("pct_band")
+def q_pct_band(spark, sf_dir):
+    return metrics.pct_band(_forecast(_d(spark, sf_dir), 28, ()), metrics.BAND_PCT["gbt"])
+
+
+@register("forecast_total")
+def q_forecast_total(spark, sf_dir):
+    return metrics.forecast_total(_forecast(_d(spark, sf_dir), 28, ()))
+
+
+@register("forecast_scaled")
+def q_forecast_scaled(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    n_total = d.sales_long().select("item_id", "store_id").distinct().count()
+    return metrics.forecast_scaled(_forecast(d, 28, ()), n_total)
+
+
+def _paths(d: RetailData) -> DataFrame:
+    return lagged_paths(reshape.to_series_frame(d.panel()), d.cutoff(TEST_DAYS))
+
+
+@register("path_quantiles")
+def q_path_quantiles(spark, sf_dir):
+    return eda.path_quantiles(_paths(_d(spark, sf_dir)))
+
+
+@register("static_features")
+def q_static_features(spark, sf_dir):
+    series = reshape.to_series_frame(_d(spark, sf_dir).panel(),
+                                     keep=["dept_id", "cat_id", "state_id"])
+    return eda.static_features(series, ["dept_id", "cat_id", "state_id"])
+
+
+@register("series_list")
+def q_series_list(spark, sf_dir):
+    """The first 5 series in key order (the listing's k is the feature)."""
+    return eda.series_list(_d(spark, sf_dir).sales_long(), k=5)
+
+
+@register("residual_histogram")
+def q_residual_histogram(spark, sf_dir):
+    fc = _forecast(_d(spark, sf_dir), 28, ())
+    res = reshape.residuals(fc.select("unique_id", "ds", F.col("y").alias("actual"),
+                                      F.col("yhat").alias("predicted")))
+    return metrics.residual_histogram(res)
+
+
+@register("union_train_test")
+def q_union_train_test(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    tr, te = reshape.train_test_split(d.panel(), TEST_DAYS, max_date=d.last_day)
+    return tr.unionByName(te).select("item_id", "store_id", "date", "sales")
+
+
+@register("future_dates")
+def q_future_dates(spark, sf_dir):
+    from panelcast.models.common import future_dates
+    return future_dates(reshape.to_series_frame(_d(spark, sf_dir).panel()), 28)
+
+
+@register("regressor_means")
+def q_regressor_means(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    train = reshape.to_series_frame(d.panel(), keep=["sell_price"]).where(
+        F.col("ds") < F.lit(d.cutoff(TEST_DAYS)))
+    return joins.regressor_means(train, ["sell_price"])
+
+
+@register("future_regressors")
+def q_future_regressors(spark, sf_dir):
+    """Test-window dates per series; the known price is used where it is not 0,
+    else the series' training mean."""
+    d = _d(spark, sf_dir)
+    series = reshape.to_series_frame(d.panel(), keep=["sell_price"])
+    cut = F.lit(d.cutoff(TEST_DAYS))
+    train = series.where(F.col("ds") < cut)
+    test = series.where(F.col("ds") >= cut)
+    known = test.select("unique_id", "ds", F.when(F.col("sell_price") != 0, F.col("sell_price"))
+                        .alias("sell_price"))
+    return joins.future_regressors(test.select("unique_id", "ds"), known, train, ["sell_price"])
+
+
+# ---------------------------------------------------------------- grids and decomposition
+def _sparse_series(d: RetailData) -> DataFrame:
+    sp = joins.attach_date(d.sales_sparse(), d.calendar())
+    return reshape.to_series_frame(sp)
+
+
+@register("densify_zero")
+def q_densify_zero(spark, sf_dir):
+    return fills.densify_zero(_sparse_series(_d(spark, sf_dir)))
+
+
+@register("densify_ffill")
+def q_densify_ffill(spark, sf_dir):
+    d = _d(spark, sf_dir)
+    sp = joins.attach_date(d.sales_sparse(), d.calendar())
+    per_store = sp.groupBy("store_id", "date").agg(F.sum("sales").cast("double").alias("sales"))
+    return fills.densify_ffill(per_store, ["store_id"], "date", "sales")
+
+
+@register("seasonal_decompose")
+def q_seasonal_decompose(spark, sf_dir):
+    daily = eda.daily_totals(_dated_sales(_d(spark, sf_dir)))
+    return eda.seasonal_decompose(fills.densify_ffill(daily, [], "date", "sales"))
+
+
+@register("acf")
+def q_acf(spark, sf_dir):
+    return eda.acf(reshape.to_series_frame(_d(spark, sf_dir).panel()), nlags=40)
+
+
+@register("pacf")
+def q_pacf(spark, sf_dir):
+    acf_rows = eda.acf(reshape.to_series_frame(_d(spark, sf_dir).panel()), nlags=40)
+    return eda.pacf(acf_rows)
+
+
+# ---------------------------------------------------------------- forecasters
+def _train_series(d: RetailData, keep=()) -> DataFrame:
+    series = reshape.to_series_frame(d.panel(), keep=keep)
+    return series.where(F.col("ds") < F.lit(d.cutoff(TEST_DAYS)))
+
+
+@register("fc_seasonal_ar")
+def q_fc_seasonal_ar(spark, sf_dir):
+    """Seasonal AR (1,0,0)(1,0,0,7) on every series, 28 days ahead."""
+    from panelcast.models.seasonal_ar import seasonal_ar_forecast
+    return seasonal_ar_forecast(_train_series(_d(spark, sf_dir)), 28, (1, 0, 0), (1, 0, 0, 7))
+
+
+@register("order_search")
+def q_order_search(spark, sf_dir):
+    from panelcast.models.seasonal_ar import order_search
+    return order_search(_train_series(_d(spark, sf_dir)))
+
+
+@register("fit_errors")
+def q_fit_errors(spark, sf_dir):
+    from panelcast.models.seasonal_ar import fit_errors, seasonal_ar_forecast
+    fc = seasonal_ar_forecast(_train_series(_d(spark, sf_dir)), 28, (1, 1, 1), (1, 1, 1, 7))
+    return fit_errors(fc)
+
+
+def _holiday_series(d: RetailData) -> DataFrame:
+    """Series with the calendar's event name as the holiday column."""
+    return _train_series(d, keep=[F.col("event_name_1").alias("holiday")])
+
+
+def _holiday_future(d: RetailData) -> DataFrame:
+    from panelcast.models.common import future_dates
+    fut = future_dates(_train_series(d), TEST_DAYS).drop("h")
+    cal = d.calendar().select(F.col("date").alias("ds"), F.col("event_name_1").alias("holiday"))
+    return fut.join(joins.bounded(cal), "ds", "left")
+
+
+@register("fc_additive")
+def q_fc_additive(spark, sf_dir):
+    from panelcast.models.additive import additive_forecast
+    d = _d(spark, sf_dir)
+    return additive_forecast(_holiday_series(d), 28, future=_holiday_future(d)).drop("is_future")
+
+
+@register("fc_components")
+def q_fc_components(spark, sf_dir):
+    from panelcast.models.additive import additive_forecast
+    d = _d(spark, sf_dir)
+    return additive_forecast(_holiday_series(d), 28, future=_holiday_future(d), components=True)
+
+
+@register("fc_paths")
+def q_fc_paths(spark, sf_dir):
+    from panelcast.models.paths import forecast_paths
+    return forecast_paths(_train_series(_d(spark, sf_dir)), 28, 20)
+
+
+@register("fc_paths_samples")
+def q_fc_paths_samples(spark, sf_dir):
+    from panelcast.models.paths import forecast_paths
+    return forecast_paths(_train_series(_d(spark, sf_dir)), 28, 20, return_samples=True)
+
+
+# ---------------------------------------------------------------- global models
+_GBT_CACHE: dict[str, object] = {}
+GBT_ITERS = 50
+
+
+def _features(d: RetailData) -> DataFrame:
+    """Features on train and test stacked, so lags cross the split boundary."""
+    return features.build_features(d.panel(), snap_map=SNAP_MAP)
+
+
+def _gbt(d: RetailData):
+    """One fitted model per input folder and process (shared by the gbt_* queries)."""
+    from panelcast.models.gbt import gbt_fit
+    key = d.sf_dir.rstrip("/")
+    if key not in _GBT_CACHE:
+        train = _features(d).where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
+        _GBT_CACHE[key] = gbt_fit(train, "sales", max_iter=GBT_ITERS)
+    return _GBT_CACHE[key]
+
+
+@register("gbt_fit")
+def q_gbt_fit(spark, sf_dir):
+    """Fitted model summary: trees, inputs, and the validation-window RMSE."""
+    d = _d(spark, sf_dir)
+    m = _gbt(d)
+    gbt = m.model.stages[-1]
+    last_train = d.cutoff(TEST_DAYS) - dt.timedelta(days=1)
+    val = _features(d).where(F.col("date").between(
+        F.lit(last_train - dt.timedelta(days=27)), F.lit(last_train)))
+    pred = m.predict(val)
+    return pred.agg(F.lit(gbt.getNumTrees).alias("trees"), F.lit(len(m.features)).alias("inputs"),
+                    F.count("*").alias("val_rows"),
+                    F.sqrt(F.avg(F.pow(F.col("sales") - F.col("yhat"), 2))).alias("val_rmse"))
+
+
+@register("gbt_evaluate")
+def q_gbt_evaluate(spark, sf_dir):
+    from panelcast.models.gbt import gbt_evaluate
+    d = _d(spark, sf_dir)
+    test = _features(d).where(F.col("date") >= F.lit(d.cutoff(TEST_DAYS)))
+    pred = gbt_evaluate(_gbt(d), test)
+    return metrics.evaluate_all(pred, [], metrics.series_scale(_train_history(d)))
+
+
+@register("gbt_importance")
+def q_gbt_importance(spark, sf_dir):
+    return _gbt(_d(spark, sf_dir)).importance(20)
+
+
+@register("fc_gbt_recursive")
+def q_fc_gbt_recursive(spark, sf_dir):
+    from panelcast.models.gbt import recursive_forecast
+    d = _d(spark, sf_dir)
+    cut = d.cutoff(TEST_DAYS)
+    hist = _features(d).where(F.col("date") < F.lit(cut))
+    cal = d.calendar().where(F.col("date") >= F.lit(cut))
+    known = features.add_event_features(cal, snap_map=None).drop("month", "year")
+    snap = None
+    for state, col in SNAP_MAP.items():
+        cond = F.col("state_id") == state
+        val = F.coalesce(F.col(col).cast("int"), F.lit(0))
+        snap = F.when(cond, val) if snap is None else snap.when(cond, val)
+    return recursive_forecast(_gbt(d), hist, known, TEST_DAYS,
+                              event_cols={"snap": snap.otherwise(F.lit(0))})
+
+
+def _direct_series(d: RetailData) -> DataFrame:
+    ev = features.add_event_features(d.panel(), event_types=[], snap_map=SNAP_MAP)
+    series = reshape.to_series_frame(ev, keep=["has_event", "snap", "cat_id", "dept_id"])
+    return reshape.encode_categories(series, ["cat_id", "dept_id"])
+
+
+@register("direct_training_rows")
+def q_direct_training_rows(spark, sf_dir):
+    from panelcast.models.direct import direct_training_rows
+    d = _d(spark, sf_dir)
+    last_train = d.cutoff(TEST_DAYS) - dt.timedelta(days=1)
+    return direct_training_rows(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"])
+
+
+@register("fc_direct")
+def q_fc_direct(spark, sf_dir):
+    from panelcast.models.direct import direct_forecast
+    d = _d(spark, sf_dir)
+    last_train = d.cutoff(TEST_DAYS) - dt.timedelta(days=1)
+    return direct_forecast(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"])
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save the fitted global model, load it back, predict the test window."""
+    from panelcast.models.gbt import gbt_evaluate, load_model, save_model
+    d = _d(spark, sf_dir)
+    path = scratch_path(spark, "gbt_model")
+    save_model(_gbt(d), path)
+    loaded = load_model(spark, path)
+    test = _features(d).where(F.col("date") >= F.lit(d.cutoff(TEST_DAYS)))
+    return gbt_evaluate(loaded, test)
+
+
+@register("run_models", rounded=False)
+def q_run_models(spark, sf_dir):
+    """Fit the per-series and sample-path forecasters, time them, rank them."""
+    from panelcast.models.runner import default_models, run_models
+    d = _d(spark, sf_dir)
+    series = reshape.to_series_frame(d.panel())
+    cut = F.lit(d.cutoff(TEST_DAYS))
+    res = run_models(series.where(F.col("ds") < cut), series.where(F.col("ds") >= cut),
+                     default_models(), TEST_DAYS)
+    return res.board
