@@ -565,3 +565,13 @@ FROM c
 """)
 # the body above continues the WITH clause of the fixture views
 ORACLE["direct_training_rows"] = ORACLE["direct_training_rows"].replace("\n\n, s AS", "\n, s AS")
+
+sql("alignment_report", "panel", "cutoff", body="""
+SELECT count(*) FILTER (WHERE a AND p) AS matched,
+       count(*) FILTER (WHERE a AND p IS NULL) AS actual_only,
+       count(*) FILTER (WHERE a IS NULL AND p) AS forecast_only
+FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds, TRUE AS a FROM panel
+      WHERE date >= (SELECT cut FROM cutoff)) x
+FULL JOIN (SELECT item_id || '_' || store_id AS unique_id, date AS ds, TRUE AS p FROM panel
+           WHERE date >= CAST((SELECT cut FROM cutoff) - 7 AS DATE)) y USING (unique_id, ds)
+""")

@@ -200,3 +200,15 @@ def model_vs_benchmark(pred: DataFrame, model: str, benchmark: str, by: str = "c
                       F.col(benchmark).alias("benchmark_value"),
                       F.round(F.try_divide(F.col(model) - F.col(benchmark), F.col(benchmark)) * 100, 4)
                       .alias("pct_diff"))
+
+
+def alignment_report(actual: DataFrame, pred: DataFrame,
+                     keys: Sequence[str] = ("unique_id", "ds")) -> DataFrame:
+    """How actuals and forecasts line up by key: matched, actual-only and
+    forecast-only row counts (one full outer join, one aggregate)."""
+    a = actual.select(*keys, F.lit(True).alias("_a")).distinct()
+    p = pred.select(*keys, F.lit(True).alias("_p")).distinct()
+    j = a.join(p, list(keys), "full")
+    return j.agg(F.count_if(F.col("_a") & F.col("_p")).alias("matched"),
+                 F.count_if(F.col("_a") & F.col("_p").isNull()).alias("actual_only"),
+                 F.count_if(F.col("_a").isNull() & F.col("_p")).alias("forecast_only"))

@@ -380,12 +380,16 @@ BOARD_LAGS = (7, 14, 28)
 
 
 def _board_forecasts(d: RetailData) -> DataFrame:
-    """Three seasonal-naive forecasters (lag 7, 14, 28) as one long frame."""
-    out = None
-    for L in BOARD_LAGS:
-        f = _forecast(d, L).withColumn("model", F.lit(f"lag_{L}"))
-        out = f if out is None else out.unionByName(f)
-    return out
+    """Three seasonal-naive forecasters (lag 7, 14, 28) as one long frame,
+    from a single window pass over the panel (one shuffle, then unpivot)."""
+    from pyspark.sql.window import Window
+    series = reshape.to_series_frame(d.panel(), keep=FC_KEEP)
+    w = Window.partitionBy("unique_id").orderBy("ds")
+    lags = series.select("unique_id", *FC_KEEP, "ds", "y",
+                         *[F.lag("y", L).over(w).alias(f"lag_{L}") for L in BOARD_LAGS])
+    test = lags.where(F.col("ds") >= F.lit(d.cutoff(TEST_DAYS)))
+    return test.unpivot(["unique_id", *FC_KEEP, "ds", "y"], [f"lag_{L}" for L in BOARD_LAGS],
+                        "model", "yhat")
 
 
 def _board(d: RetailData) -> DataFrame:
@@ -723,3 +727,28 @@ def q_run_models(spark, sf_dir):
     res = run_models(series.where(F.col("ds") < cut), series.where(F.col("ds") >= cut),
                      default_models(), TEST_DAYS)
     return res.board
+
+
+@register("gen_demo_sales")
+def q_gen_demo_sales(spark, sf_dir):
+    """Synthetic series for every (store, category) pair of the data, over its dates."""
+    from panelcast.sources.generator import demo_sales
+    d = _d(spark, sf_dir)
+    pairs = d.sales_sparse().select("store_id", "cat_id").distinct()
+    return demo_sales(pairs, d.day0, d.last_day)
+
+
+@register("fc_changepoints")
+def q_fc_changepoints(spark, sf_dir):
+    from panelcast.models.additive import additive_changepoints
+    return additive_changepoints(_train_series(_d(spark, sf_dir)))
+
+
+@register("alignment_report")
+def q_alignment_report(spark, sf_dir):
+    """Actuals of the test window vs forecasts issued for the last 35 days."""
+    d = _d(spark, sf_dir)
+    series = reshape.to_series_frame(d.panel())
+    actual = series.where(F.col("ds") >= F.lit(d.cutoff(TEST_DAYS)))
+    pred = lag_forecast(series, d.cutoff(TEST_DAYS + 7), 28)
+    return metrics.alignment_report(actual, pred)

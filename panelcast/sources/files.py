@@ -174,3 +174,10 @@ def safe_exists(spark: SparkSession, path: str) -> bool:
         return True
     except (FileNotFoundError, AnalysisException):
         return False
+
+
+def save_insights(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write computed insight tables (importances, components, changepoints,
+    ACF/PACF...) as one Parquet dataset each under ``folder``."""
+    for name, df in tables.items():
+        save_table(df, f"{folder.rstrip('/')}/{name}")

@@ -97,14 +97,25 @@ def base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_retailprice").alias("retail_price")))
 
 
+def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (item, store, day) with a sale: units and the highest list price.
+
+    Sparse sales, the series list and weekly prices all derive from this one
+    aggregate, so the line items are scanned and shuffled once per query
+    (identical exchanges are reused by the planner).
+    """
+    return (base_lines(spark, sf_dir)
+            .groupBy(*HIERARCHY, "date")
+            .agg(F.sum("quantity").alias("units"), F.max("retail_price").alias("price")))
+
+
 def sales_sparse(spark: SparkSession, sf_dir: str, day0: dt.date | None = None) -> DataFrame:
     """Units per (item, store, day) for days with a sale (map-side partial sums)."""
     if day0 is None:
         day0 = date_bounds(spark, sf_dir)[0]
-    return (base_lines(spark, sf_dir)
-            .groupBy(*HIERARCHY, "date")
-            .agg(F.sum("quantity").cast("int").alias("sales"))
-            .select(*HIERARCHY, d_label(day_number(F.col("date"), day0)).alias("d"), "sales"))
+    return (daily_lines(spark, sf_dir)
+            .select(*HIERARCHY, d_label(day_number(F.col("date"), day0)).alias("d"),
+                    F.col("units").cast("int").alias("sales")))
 
 
 def calendar(spark: SparkSession, sf_dir: str,
@@ -152,9 +163,9 @@ def prices(spark: SparkSession, sf_dir: str, day0: dt.date | None = None) -> Dat
     if day0 is None:
         day0 = date_bounds(spark, sf_dir)[0]
     week = (F.lit(WEEK_KEY_BASE) + F.floor(day_number(F.col("date"), day0) / 7)).cast("int")
-    return (base_lines(spark, sf_dir)
+    return (daily_lines(spark, sf_dir)
             .groupBy("store_id", "item_id", week.alias("wm_yr_wk"))
-            .agg(F.max("retail_price").alias("sell_price")))
+            .agg(F.max("price").alias("sell_price")))
 
 
 def sales_long(spark: SparkSession, sf_dir: str,

@@ -1,0 +1,43 @@
+"""Synthetic daily sales per (store, category): base + trend + yearly sine + noise.
+
+The grid (which store x category pairs and which days) comes from the data;
+all randomness is hash-based (``xxhash64`` of the keys), so the result does
+not depend on partitioning or on the Python process.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed values of the demo generator: base level range, trend end range,
+# yearly amplitude and noise standard deviation
+BASE_LO, BASE_HI = 80, 250
+TREND_LO, TREND_HI = 10, 40
+SEASON_AMPLITUDE = 15.0
+NOISE_SD = 8.0
+
+
+def _uniform(*cols) -> F.Column:
+    """A deterministic uniform in (0, 1) from the hash of the columns."""
+    h = F.pmod(F.xxhash64(*cols), F.lit(2 ** 31 - 1)).cast("double")
+    return (h + 0.5) / float(2 ** 31 - 1)
+
+
+def demo_sales(pairs: DataFrame, lo, hi, seed: int = 42) -> DataFrame:
+    """``pairs``: distinct (store_id, cat_id); ``lo``/``hi``: first and last date."""
+    key = [F.col("store_id"), F.col("cat_id"), F.lit(seed)]
+    base = F.lit(BASE_LO) + F.pmod(F.xxhash64(*key, F.lit("base")), F.lit(BASE_HI - BASE_LO))
+    trend_end = F.lit(TREND_LO) + F.pmod(F.xxhash64(*key, F.lit("trend")), F.lit(TREND_HI - TREND_LO))
+    n_days = F.datediff(F.lit(hi), F.lit(lo)) + 1
+    g = pairs.select("store_id", "cat_id", base.alias("_base"), trend_end.alias("_tend"),
+                     F.posexplode(F.sequence(F.lit(lo), F.lit(hi))).alias("_n", "date"))
+    u1 = _uniform(*key, F.col("_n"), F.lit("u1"))
+    u2 = _uniform(*key, F.col("_n"), F.lit("u2"))
+    noise = F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * math.pi * u2) * NOISE_SD
+    trend = F.col("_tend") * F.col("_n") / F.greatest(n_days - 1, F.lit(1))
+    season = SEASON_AMPLITUDE * F.sin(2 * math.pi * F.col("_n") / 365.25)
+    value = F.greatest(F.col("_base") + trend + season + noise, F.lit(0.0))
+    return g.select("date", "store_id", "cat_id", F.floor(value).cast("int").alias("sales"))

@@ -1,0 +1,8 @@
+"""No streaming operators.
+
+The workload this package rebuilds is batch only: it has no streams,
+watermarks, windows over event time or stateful operators, so nothing is
+implemented here. Note for later use: the per-series ``lag`` windows are not
+allowed on streaming DataFrames (non-time windows), so incremental feature
+updates would need ``applyInPandasWithState`` keyed by series.
+"""

@@ -178,3 +178,28 @@ def test_result_independent_of_partitions(spark):
                               .collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
+
+
+def test_one_pass_price_fill_equals_join_then_fill(spark):
+    """The union + window price attach equals a left join followed by the fills,
+    including leading gaps, a series without prices and price weeks outside
+    the series' range."""
+    rng = np.random.default_rng(11)
+    sales, prices = [], []
+    for item in ("a", "b", "c"):
+        for i, d in enumerate(days(60)):
+            sales.append((item, "s", d, 100 + i // 7, int(rng.integers(0, 5))))
+    for wk in range(95, 112):            # weeks 95-99 and 109-111 lie outside 100..108
+        if rng.random() < 0.5:
+            prices.append(("a", "s", wk, float(rng.integers(1, 9))))
+        if wk in (104, 105):
+            prices.append(("b", "s", wk, float(wk)))
+    s = spark.createDataFrame(sales, "item_id string, store_id string, date date, wm_yr_wk int, sales int")
+    p = spark.createDataFrame(prices, "item_id string, store_id string, wm_yr_wk int, sell_price double")
+    one = fills.attach_prices_filled(s, p)
+    two = fills.fill_prices(joins.join_prices(s, p))
+    key = ["item_id", "date"]
+    a = sorted((r["item_id"], r["date"], r["sell_price"]) for r in one.select(*key, "sell_price").collect())
+    b = sorted((r["item_id"], r["date"], r["sell_price"]) for r in two.select(*key, "sell_price").collect())
+    assert a == b
+    assert one.count() == s.count()
