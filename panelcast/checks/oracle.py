@@ -501,7 +501,7 @@ FROM (SELECT store_id, CAST(x AS DATE) AS date FROM (
 LEFT JOIN {STORE_DAY} f ON g.store_id = f.store_id AND g.date = f.date
 """)
 sql("seasonal_decompose", "sales_long", "calendar", body=f"""
-WITH daily AS (SELECT date, CAST(sum(sales) AS DOUBLE) AS observed FROM {DATED} t GROUP BY date),
+, daily AS (SELECT date, CAST(sum(sales) AS DOUBLE) AS observed FROM {DATED} t GROUP BY date),
 x AS (SELECT date, observed,
              CASE WHEN count(observed) OVER w7 = 7 THEN avg(observed) OVER w7 END AS trend,
              (row_number() OVER (ORDER BY date) - 1) % 7 AS pos
@@ -575,3 +575,16 @@ FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds, TRUE AS a FROM
 FULL JOIN (SELECT item_id || '_' || store_id AS unique_id, date AS ds, TRUE AS p FROM panel
            WHERE date >= CAST((SELECT cut FROM cutoff) - 7 AS DATE)) y USING (unique_id, ds)
 """)
+
+sql("load_all", "panel", "cutoff", body="""
+SELECT item_id, store_id, date, sales, round(sell_price, 6) AS sell_price FROM panel
+WHERE date < (SELECT cut FROM cutoff)
+""")
+sql("preprocess_test", "panel", "cutoff", body=f"""
+SELECT {panel_select()} FROM panel WHERE date >= (SELECT cut FROM cutoff)
+""")
+
+sql("preprocess_train", "panel", "cutoff", body=f"""
+SELECT {panel_select()} FROM panel WHERE date < (SELECT cut FROM cutoff)
+""")
+sql("forecast_sink", "panel", "cutoff", body=f"SELECT unique_id, ds, y, yhat FROM {FC_CAT.format(lag=7)} f")

@@ -752,3 +752,46 @@ def q_alignment_report(spark, sf_dir):
     actual = series.where(F.col("ds") >= F.lit(d.cutoff(TEST_DAYS)))
     pred = lag_forecast(series, d.cutoff(TEST_DAYS + 7), 28)
     return metrics.alignment_report(actual, pred)
+
+
+@register("load_all")
+def q_load_all(spark, sf_dir):
+    """Write the three retail files into one folder, load them together, and
+    run the preprocessing on them (melt, top-N, joins, fills); the train part."""
+    from panelcast.plans.preprocess import preprocess
+    d = _d(spark, sf_dir)
+    folder = scratch_path(spark, "retail_folder")
+    files.save_csv(d.sales_wide(), f"{folder}/{files.SALES_FILE}")
+    files.save_csv(d.calendar(), f"{folder}/{files.CALENDAR_FILE}")
+    files.save_csv(d.prices(), f"{folder}/{files.PRICES_FILE}")
+    sales, cal, prices = files.load_all(spark, folder)
+    train, _ = preprocess(sales, cal, prices, top_n=TOP_N, test_days=TEST_DAYS, wide=True)
+    return train.select("item_id", "store_id", "date", "sales", "sell_price")
+
+
+@register("preprocess_test")
+def q_preprocess_test(spark, sf_dir):
+    from panelcast.plans.preprocess import preprocess
+    d = _d(spark, sf_dir)
+    _, test = preprocess(d.sales_long(), d.calendar(), d.prices(), top_n=TOP_N, test_days=TEST_DAYS)
+    return test
+
+
+@register("preprocess_train")
+def q_preprocess_train(spark, sf_dir):
+    from panelcast.plans.preprocess import preprocess
+    d = _d(spark, sf_dir)
+    train, _ = preprocess(d.sales_long(), d.calendar(), d.prices(), top_n=TOP_N,
+                          test_days=TEST_DAYS)
+    return train
+
+
+@register("forecast_sink")
+def q_forecast_sink(spark, sf_dir):
+    """All forecasters' outputs written as one dataset partitioned by model;
+    one model read back (partition pruning on ``model``)."""
+    d = _d(spark, sf_dir)
+    path = scratch_path(spark, "forecasts")
+    fc = _board_forecasts(d).select("model", "unique_id", "ds", "y", "yhat")
+    files.save_forecasts(fc, path)
+    return files.load_forecast(spark, path, "lag_7").drop("model")

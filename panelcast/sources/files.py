@@ -181,3 +181,19 @@ def save_insights(tables: dict[str, DataFrame], folder: str) -> None:
     ACF/PACF...) as one Parquet dataset each under ``folder``."""
     for name, df in tables.items():
         save_table(df, f"{folder.rstrip('/')}/{name}")
+
+
+# The input file names of the retail data folder
+SALES_FILE = "sales_train_evaluation.csv"
+CALENDAR_FILE = "calendar.csv"
+PRICES_FILE = "sell_prices.csv"
+
+
+def load_all(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sales, calendar, prices) as lazy DataFrames; a missing file fails first,
+    listing what the folder holds."""
+    base = folder.rstrip("/")
+    paths = [f"{base}/{n}" for n in (SALES_FILE, CALENDAR_FILE, PRICES_FILE)]
+    for p in paths:
+        require_path(spark, p)
+    return load_sales(spark, paths[0]), load_calendar(spark, paths[1]), load_prices(spark, paths[2])
