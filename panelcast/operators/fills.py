@@ -17,12 +17,17 @@ def fill_prices(df: DataFrame, keys: Sequence[str] = SERIES, date: str = "date",
                 col: str = "sell_price") -> DataFrame:
     """Forward fill, then backward fill, then 0.0, within each series.
 
-    Both directions come out of one Window node (same partition and order).
+    The backward fill only matters where the forward fill is still NULL, i.e.
+    before the series' first price, and there it equals the first non-null
+    price of the whole series: a whole-partition aggregate computed once per
+    series. (A current-row..unbounded-following frame would be re-aggregated
+    for every row, quadratic in the series length.)
     """
     w = Window.partitionBy(*keys).orderBy(date)
     fwd = F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bwd = F.first(col, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(col, F.coalesce(fwd, bwd, F.lit(0.0)))
+    first_in_series = F.first(col, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return df.withColumn(col, F.coalesce(fwd, first_in_series, F.lit(0.0)))
 
 
 def fill_missing(df: DataFrame, keys: Sequence[str] = SERIES, date: str = "date",
@@ -103,6 +108,8 @@ def attach_prices_filled(sales: DataFrame, prices: DataFrame, keys: Sequence[str
     u = u.where(~F.col("_price_row") | F.col(week).between(F.col("_wk_lo"), F.col("_wk_hi")))
     w = Window.partitionBy(*keys).orderBy(F.col(week), F.desc("_price_row"), F.col(date))
     fwd = F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bwd = F.first(price, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # backward fill = the series' first price (see fill_prices): O(n), not O(n^2)
+    bwd = F.first(price, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = u.withColumn(price, F.coalesce(fwd, bwd, F.lit(0.0))).where(~F.col("_price_row"))
     return out.drop("_price_row", "_wk_lo", "_wk_hi")

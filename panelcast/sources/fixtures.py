@@ -172,18 +172,22 @@ def sales_long(spark: SparkSession, sf_dir: str,
                bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """Dense long sales: every (item, store) seen x every day, missing -> 0.
 
-    The grid is generated per series with ``explode(sequence(...))`` (no cross
-    join); it is then left-joined to the sparse facts on the series+day key.
+    Only the sparse facts are shuffled: they are grouped per series into a
+    day -> units map (at most one entry per calendar day, a bounded group),
+    and each series row then expands to all days with a map lookup. No cross
+    join, and no shuffle of the generated grid.
     """
     lo, hi = bounds or date_bounds(spark, sf_dir)
-    sparse = sales_sparse(spark, sf_dir, lo)
-    series = sparse.select(*HIERARCHY).distinct()
     n_days = (hi - lo).days + 1
-    grid = series.select(*HIERARCHY, F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))).alias("n"))
-    grid = grid.select(*HIERARCHY, d_label(F.col("n")).alias("d"))
-    return (grid.join(sparse.select("item_id", "store_id", "d", "sales"),
-                      ["item_id", "store_id", "d"], "left")
-            .select(*HIERARCHY, "d", F.coalesce("sales", F.lit(0)).alias("sales")))
+    per_series = (daily_lines(spark, sf_dir)
+                  .groupBy(*HIERARCHY)
+                  .agg(F.map_from_entries(F.collect_list(F.struct(
+                      day_number(F.col("date"), lo).alias("n"),
+                      F.col("units").cast("int").alias("u")))).alias("_m")))
+    dense = per_series.select(*HIERARCHY, "_m",
+                              F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))).alias("n"))
+    return dense.select(*HIERARCHY, d_label(F.col("n")).alias("d"),
+                        F.coalesce(F.try_element_at("_m", F.col("n")), F.lit(0)).alias("sales"))
 
 
 def sales_wide(spark: SparkSession, sf_dir: str,
