@@ -33,14 +33,26 @@ def _dated_sales(d: RetailData) -> DataFrame:
     return joins.attach_date(d.sales_long(), d.calendar())
 
 
+SERIES_KEYS = ("item_id", "store_id")
+
+
 def _forecast(d: RetailData, lag: int = 28, keep=FC_KEEP) -> DataFrame:
-    series = reshape.to_series_frame(d.panel(), keep=keep)
-    return lag_forecast(series, d.cutoff(TEST_DAYS), lag, keep=keep)
+    """Seasonal-naive forecast of the test window. The window runs on the
+    panel's own key (item_id, store_id), reusing the panel's partitioning;
+    unique_id is only an output column."""
+    extra = [c for c in keep if c not in SERIES_KEYS]
+    series = reshape.to_series_frame(d.panel(), keep=[*SERIES_KEYS, *extra])
+    fc = lag_forecast(series, d.cutoff(TEST_DAYS), lag, keys=SERIES_KEYS,
+                      keep=["unique_id", *extra])
+    return fc.select("unique_id", *keep, "ds", "y", "yhat")
 
 
-def _train_history(d: RetailData) -> DataFrame:
-    series = reshape.to_series_frame(d.panel())
-    return series.where(F.col("ds") < F.lit(d.cutoff(TEST_DAYS)))
+def _scale(d: RetailData) -> DataFrame:
+    """RMSSE scale per series from the training history, computed on the
+    panel's key (no re-shuffle of the history), then keyed by unique_id."""
+    hist = d.panel().where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
+    sc = metrics.series_scale(hist, SERIES_KEYS, "date", "sales")
+    return sc.select(F.concat_ws("_", *SERIES_KEYS).alias("unique_id"), "scale")
 
 
 # ---------------------------------------------------------------- sources / sinks
@@ -294,9 +306,10 @@ def q_m_smape(spark, sf_dir):
 
 @register("m_rmsse")
 def q_m_rmsse(spark, sf_dir):
+    from panelcast.plans.flagship import forecast_and_scale
     d = _d(spark, sf_dir)
-    scale = metrics.series_scale(_train_history(d))
-    out = metrics.rmsse_per_series(_forecast(d, 28, ()), scale)
+    pred, scale = forecast_and_scale(d.panel(), d.cutoff(TEST_DAYS), (28,))
+    out = metrics.rmsse_per_series(pred, scale)
     return out.select("unique_id", F.round("RMSSE", 4).alias("RMSSE"))
 
 
@@ -312,16 +325,17 @@ def _dollar_weights(d: RetailData, days: int = 28) -> DataFrame:
 @register("m_wrmsse")
 def q_m_wrmsse(spark, sf_dir):
     d = _d(spark, sf_dir)
-    scale = metrics.series_scale(_train_history(d))
+    scale = _scale(d)
     fc = _forecast(d, 28, ()).join(_dollar_weights(d), "unique_id", "left")
     return metrics.evaluate_all(fc, [], scale, weight="weight").select("WRMSSE")
 
 
 @register("evaluate_all")
 def q_evaluate_all(spark, sf_dir):
+    from panelcast.plans.flagship import forecast_and_scale
     d = _d(spark, sf_dir)
-    scale = metrics.series_scale(_train_history(d))
-    return metrics.evaluate_all(_forecast(d), ["store_id"], scale)
+    pred, scale = forecast_and_scale(d.panel(), d.cutoff(TEST_DAYS), (28,))
+    return metrics.evaluate_all(pred, ["store_id"], scale)
 
 
 @register("m_card_metrics")
@@ -379,22 +393,20 @@ def q_build_features(spark, sf_dir):
 BOARD_LAGS = (7, 14, 28)
 
 
+def _board_parts(d: RetailData, lags=BOARD_LAGS):
+    """Three seasonal-naive forecasters (lag 7, 14, 28) as one long frame, and
+    the RMSSE scale, from a single window pass over the panel (one shuffle)."""
+    from panelcast.plans.flagship import forecast_and_scale
+    return forecast_and_scale(d.panel(), d.cutoff(TEST_DAYS), lags, keep=("cat_id",))
+
+
 def _board_forecasts(d: RetailData) -> DataFrame:
-    """Three seasonal-naive forecasters (lag 7, 14, 28) as one long frame,
-    from a single window pass over the panel (one shuffle, then unpivot)."""
-    from pyspark.sql.window import Window
-    series = reshape.to_series_frame(d.panel(), keep=FC_KEEP)
-    w = Window.partitionBy("unique_id").orderBy("ds")
-    lags = series.select("unique_id", *FC_KEEP, "ds", "y",
-                         *[F.lag("y", L).over(w).alias(f"lag_{L}") for L in BOARD_LAGS])
-    test = lags.where(F.col("ds") >= F.lit(d.cutoff(TEST_DAYS)))
-    return test.unpivot(["unique_id", *FC_KEEP, "ds", "y"], [f"lag_{L}" for L in BOARD_LAGS],
-                        "model", "yhat")
+    return _board_parts(d)[0]
 
 
 def _board(d: RetailData) -> DataFrame:
-    scale = metrics.series_scale(_train_history(d))
-    scores = metrics.evaluate_all(_board_forecasts(d), ["model"], scale)
+    pred, scale = _board_parts(d)
+    scores = metrics.evaluate_all(pred, ["model"], scale)
     # naive forecasters have nothing to train
     return scores.select(F.col("model").alias("Model"), *metrics.METRICS,
                          F.lit(0.0).alias("train_seconds"))
@@ -429,9 +441,8 @@ def q_metrics_json(spark, sf_dir):
 
 @register("model_vs_benchmark")
 def q_model_vs_benchmark(spark, sf_dir):
-    d = _d(spark, sf_dir)
-    scale = metrics.series_scale(_train_history(d))
-    return metrics.model_vs_benchmark(_board_forecasts(d), "lag_7", "lag_28", "cat_id", scale)
+    pred, scale = _board_parts(_d(spark, sf_dir), (7, 28))
+    return metrics.model_vs_benchmark(pred, "lag_7", "lag_28", "cat_id", scale)
 
 
 # ---------------------------------------------------------------- forecast post-processing
@@ -658,7 +669,7 @@ def q_gbt_evaluate(spark, sf_dir):
     d = _d(spark, sf_dir)
     test = _features(d).where(F.col("date") >= F.lit(d.cutoff(TEST_DAYS)))
     pred = gbt_evaluate(_gbt(d), test)
-    return metrics.evaluate_all(pred, [], metrics.series_scale(_train_history(d)))
+    return metrics.evaluate_all(pred, [], _scale(d))
 
 
 @register("gbt_importance")
