@@ -123,16 +123,20 @@ def residuals(df: DataFrame, actual: str = "actual", predicted: str = "predicted
         "residual_sign", F.when(res > 0, "under").when(res < 0, "over").otherwise("exact"))
 
 
-def encode_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def encode_categories(df: DataFrame, cols: Sequence[str],
+                      vocab_source: DataFrame | None = None) -> DataFrame:
     """Replace each string column by its code in sorted order of the distinct values.
 
     The distinct value list is small (a category vocabulary) and is joined back
-    as a broadcastable dimension; codes are ``dense_rank - 1`` over it.
+    as a broadcastable dimension (row count checked); codes are
+    ``dense_rank - 1`` over it. ``vocab_source`` may be a smaller frame holding
+    the same values (e.g. the sparse facts rather than the dense panel).
     """
     from panelcast.operators.joins import bounded
     out = df
+    src = vocab_source if vocab_source is not None else df
     for c in cols:
-        vocab = out.select(c).where(F.col(c).isNotNull()).distinct()
+        vocab = src.select(c).where(F.col(c).isNotNull()).distinct()
         vocab = vocab.withColumn(f"{c}__code",
                                  (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int"))
         out = out.join(bounded(vocab), c, "left").drop(c).withColumnRenamed(f"{c}__code", c)

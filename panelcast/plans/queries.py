@@ -695,9 +695,12 @@ def q_fc_gbt_recursive(spark, sf_dir):
 
 
 def _direct_series(d: RetailData) -> DataFrame:
+    """Series frame with event/SNAP flags and category codes; keeps the panel's
+    (item_id, store_id) so the windows downstream reuse its partitioning. The
+    code vocabularies come from the sparse facts (a one-column distinct)."""
     ev = features.add_event_features(d.panel(), event_types=[], snap_map=SNAP_MAP)
-    series = reshape.to_series_frame(ev, keep=["has_event", "snap", "cat_id", "dept_id"])
-    return reshape.encode_categories(series, ["cat_id", "dept_id"])
+    series = reshape.to_series_frame(ev, keep=[*SERIES_KEYS, "has_event", "snap", "cat_id", "dept_id"])
+    return reshape.encode_categories(series, ["cat_id", "dept_id"], vocab_source=d.sales_sparse())
 
 
 @register("direct_training_rows")
@@ -705,7 +708,8 @@ def q_direct_training_rows(spark, sf_dir):
     from panelcast.models.direct import direct_training_rows
     d = _d(spark, sf_dir)
     last_train = d.cutoff(TEST_DAYS) - dt.timedelta(days=1)
-    return direct_training_rows(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"])
+    return direct_training_rows(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"],
+                                partition=SERIES_KEYS).drop(*SERIES_KEYS)
 
 
 @register("fc_direct")
@@ -713,7 +717,8 @@ def q_fc_direct(spark, sf_dir):
     from panelcast.models.direct import direct_forecast
     d = _d(spark, sf_dir)
     last_train = d.cutoff(TEST_DAYS) - dt.timedelta(days=1)
-    return direct_forecast(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"])
+    return direct_forecast(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"],
+                           partition=SERIES_KEYS)
 
 
 @register("model_roundtrip")
