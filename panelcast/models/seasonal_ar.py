@@ -170,19 +170,24 @@ def _group_forecast(horizon: int, order, seasonal_order, alpha: float):
 
 
 def seasonal_ar_forecast(series: DataFrame, horizon: int = 28, order=(1, 1, 1),
-                         seasonal_order=(1, 1, 1, 7), alpha: float = 0.05) -> DataFrame:
+                         seasonal_order=(1, 1, 1, 7), alpha: float = 0.05,
+                         group_by: Sequence[str] = ("unique_id",)) -> DataFrame:
     """Forecasts for every series at once; ``series`` = (unique_id, ds, y) on a daily grid.
 
-    Output rows with a non-null ``error`` mark series whose fit failed.
+    ``group_by``: columns identifying a series that the input is already
+    partitioned by (e.g. item_id, store_id of the panel), so the group shuffle
+    is the panel's own. Output rows with a non-null ``error`` mark series
+    whose fit failed.
     """
-    src = series.select("unique_id", "ds", F.col("y").cast("double").alias("y"))
-    out = src.groupBy("unique_id").applyInPandas(
+    extra = [c for c in group_by if c != "unique_id"]
+    src = series.select("unique_id", *extra, "ds", F.col("y").cast("double").alias("y"))
+    out = src.groupBy(*group_by).applyInPandas(
         _group_forecast(horizon, order, seasonal_order, alpha), FORECAST_SCHEMA)
     return clip_forecast(out)
 
 
 def order_search(series: DataFrame, p_max: int = 3, d_max: int = 2, q_max: int = 3,
-                 seasonal_order=(1, 1, 1, 7)) -> DataFrame:
+                 seasonal_order=(1, 1, 1, 7), group_by: Sequence[str] = ("unique_id",)) -> DataFrame:
     """AIC of every (p, d, q) per series, and the winner by row_number.
 
     The grid is evaluated inside each series group (no replication of the
@@ -206,8 +211,9 @@ def order_search(series: DataFrame, p_max: int = 3, d_max: int = 2, q_max: int =
                         rows.append((pdf["unique_id"].iloc[0], p, d, q, float(aic)))
         return pd.DataFrame(rows, columns=["unique_id", "p", "d", "q", "aic"])
 
-    src = series.select("unique_id", "ds", F.col("y").cast("double").alias("y"))
-    aics = src.groupBy("unique_id").applyInPandas(run, ORDER_SCHEMA)
+    extra = [c for c in group_by if c != "unique_id"]
+    src = series.select("unique_id", *extra, "ds", F.col("y").cast("double").alias("y"))
+    aics = src.groupBy(*group_by).applyInPandas(run, ORDER_SCHEMA)
     w = Window.partitionBy("unique_id").orderBy("aic", "p", "d", "q")
     return aics.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 

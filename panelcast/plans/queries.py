@@ -566,7 +566,9 @@ def q_pacf(spark, sf_dir):
 
 # ---------------------------------------------------------------- forecasters
 def _train_series(d: RetailData, keep=()) -> DataFrame:
-    series = reshape.to_series_frame(d.panel(), keep=keep)
+    """Training part as (unique_id, item_id, store_id, ds, y, ...); the panel
+    key is kept so grouped fits reuse the panel's partitioning."""
+    series = reshape.to_series_frame(d.panel(), keep=[*SERIES_KEYS, *keep])
     return series.where(F.col("ds") < F.lit(d.cutoff(TEST_DAYS)))
 
 
@@ -574,19 +576,21 @@ def _train_series(d: RetailData, keep=()) -> DataFrame:
 def q_fc_seasonal_ar(spark, sf_dir):
     """Seasonal AR (1,0,0)(1,0,0,7) on every series, 28 days ahead."""
     from panelcast.models.seasonal_ar import seasonal_ar_forecast
-    return seasonal_ar_forecast(_train_series(_d(spark, sf_dir)), 28, (1, 0, 0), (1, 0, 0, 7))
+    return seasonal_ar_forecast(_train_series(_d(spark, sf_dir)), 28, (1, 0, 0), (1, 0, 0, 7),
+                                group_by=SERIES_KEYS)
 
 
 @register("order_search")
 def q_order_search(spark, sf_dir):
     from panelcast.models.seasonal_ar import order_search
-    return order_search(_train_series(_d(spark, sf_dir)))
+    return order_search(_train_series(_d(spark, sf_dir)), group_by=SERIES_KEYS)
 
 
 @register("fit_errors")
 def q_fit_errors(spark, sf_dir):
     from panelcast.models.seasonal_ar import fit_errors, seasonal_ar_forecast
-    fc = seasonal_ar_forecast(_train_series(_d(spark, sf_dir)), 28, (1, 1, 1), (1, 1, 1, 7))
+    fc = seasonal_ar_forecast(_train_series(_d(spark, sf_dir)), 28, (1, 1, 1), (1, 1, 1, 7),
+                              group_by=SERIES_KEYS)
     return fit_errors(fc)
 
 
@@ -597,7 +601,7 @@ def _holiday_series(d: RetailData) -> DataFrame:
 
 def _holiday_future(d: RetailData) -> DataFrame:
     from panelcast.models.common import future_dates
-    fut = future_dates(_train_series(d), TEST_DAYS).drop("h")
+    fut = future_dates(_train_series(d), TEST_DAYS, keys=["unique_id", *SERIES_KEYS]).drop("h")
     cal = d.calendar().select(F.col("date").alias("ds"), F.col("event_name_1").alias("holiday"))
     return fut.join(joins.bounded(cal), "ds", "left")
 
@@ -606,26 +610,29 @@ def _holiday_future(d: RetailData) -> DataFrame:
 def q_fc_additive(spark, sf_dir):
     from panelcast.models.additive import additive_forecast
     d = _d(spark, sf_dir)
-    return additive_forecast(_holiday_series(d), 28, future=_holiday_future(d)).drop("is_future")
+    return additive_forecast(_holiday_series(d), 28, future=_holiday_future(d),
+                             group_by=SERIES_KEYS).drop("is_future")
 
 
 @register("fc_components")
 def q_fc_components(spark, sf_dir):
     from panelcast.models.additive import additive_forecast
     d = _d(spark, sf_dir)
-    return additive_forecast(_holiday_series(d), 28, future=_holiday_future(d), components=True)
+    return additive_forecast(_holiday_series(d), 28, future=_holiday_future(d), components=True,
+                             group_by=SERIES_KEYS)
 
 
 @register("fc_paths")
 def q_fc_paths(spark, sf_dir):
     from panelcast.models.paths import forecast_paths
-    return forecast_paths(_train_series(_d(spark, sf_dir)), 28, 20)
+    return forecast_paths(_train_series(_d(spark, sf_dir)), 28, 20, keys=SERIES_KEYS)
 
 
 @register("fc_paths_samples")
 def q_fc_paths_samples(spark, sf_dir):
     from panelcast.models.paths import forecast_paths
-    return forecast_paths(_train_series(_d(spark, sf_dir)), 28, 20, return_samples=True)
+    return forecast_paths(_train_series(_d(spark, sf_dir)), 28, 20, keys=SERIES_KEYS,
+                          return_samples=True)
 
 
 # ---------------------------------------------------------------- global models
