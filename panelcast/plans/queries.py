@@ -346,6 +346,13 @@ def q_m_card_metrics(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- features
+def _event_types(d: RetailData) -> list[str]:
+    """Event-type vocabulary for the one-hot columns, read from the calendar
+    (one row per day) instead of a distinct over the whole panel."""
+    return features.event_type_values(d.calendar())
+
+
+
 def _panel_with(spark, sf_dir, fn, *args) -> DataFrame:
     return fn(_d(spark, sf_dir).panel(), *args)
 
@@ -378,7 +385,8 @@ def q_feat_price(spark, sf_dir):
 
 @register("feat_events")
 def q_feat_events(spark, sf_dir):
-    df = features.add_event_features(_d(spark, sf_dir).panel(), snap_map=SNAP_MAP)
+    d = _d(spark, sf_dir)
+    df = features.add_event_features(d.panel(), _event_types(d), snap_map=SNAP_MAP)
     return df.select("item_id", "store_id", "date", "has_event", "snap",
                      *[c for c in df.columns if c.startswith("event_type_") and c[-1] != "1"
                        and c[-1] != "2"])
@@ -386,7 +394,8 @@ def q_feat_events(spark, sf_dir):
 
 @register("build_features")
 def q_build_features(spark, sf_dir):
-    return features.build_features(_d(spark, sf_dir).panel(), snap_map=SNAP_MAP)
+    d = _d(spark, sf_dir)
+    return features.build_features(d.panel(), event_types=_event_types(d), snap_map=SNAP_MAP)
 
 
 # ---------------------------------------------------------------- leaderboard family
@@ -642,7 +651,7 @@ GBT_ITERS = 50
 
 def _features(d: RetailData) -> DataFrame:
     """Features on train and test stacked, so lags cross the split boundary."""
-    return features.build_features(d.panel(), snap_map=SNAP_MAP)
+    return features.build_features(d.panel(), event_types=_event_types(d), snap_map=SNAP_MAP)
 
 
 def _gbt(d: RetailData):
@@ -691,7 +700,7 @@ def q_fc_gbt_recursive(spark, sf_dir):
     cut = d.cutoff(TEST_DAYS)
     hist = _features(d).where(F.col("date") < F.lit(cut))
     cal = d.calendar().where(F.col("date") >= F.lit(cut))
-    known = features.add_event_features(cal, snap_map=None).drop("month", "year")
+    known = features.add_event_features(cal, _event_types(d), snap_map=None).drop("month", "year")
     snap = None
     for state, col in SNAP_MAP.items():
         cond = F.col("state_id") == state
