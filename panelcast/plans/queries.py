@@ -324,10 +324,14 @@ def _dollar_weights(d: RetailData, days: int = 28) -> DataFrame:
 
 @register("m_wrmsse")
 def q_m_wrmsse(spark, sf_dir):
+    """WRMSSE with dollar-sales weights (last 28 training days); forecasts,
+    scales and weights all come from one window pass over the panel."""
+    from panelcast.plans.flagship import forecast_and_scale
     d = _d(spark, sf_dir)
-    scale = _scale(d)
-    fc = _forecast(d, 28, ()).join(_dollar_weights(d), "unique_id", "left")
-    return metrics.evaluate_all(fc, [], scale, weight="weight").select("WRMSSE")
+    pred, scale = forecast_and_scale(d.panel(), d.cutoff(TEST_DAYS), (28,), weight_days=28)
+    fc = pred.join(scale.select("unique_id", "weight"), "unique_id", "left")
+    return metrics.evaluate_all(fc, [], scale.select("unique_id", "scale"),
+                                weight="weight").select("WRMSSE")
 
 
 @register("evaluate_all")
