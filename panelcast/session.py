@@ -3,7 +3,7 @@
 On a cluster the session comes from the platform; these helpers never override
 settings that are already present. The scratch area lives under
 ``spark.checkpoint.dir`` (a shared, fault-tolerant folder named by the cluster);
-only when that is unset (local tests) do we create one under /tmp.
+only when that is unset on a local master (tests) do we create one under /tmp.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -46,12 +47,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="panelcast-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that grouped
+    functions import it whatever folder the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_panelcast_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    made = os.path.join(tempfile.mkdtemp(prefix="panelcast-pkg-"), "panelcast_pkg.zip")
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(made)
+    sc._panelcast_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint dir for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
