@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import arc, bpe, imi, packing, quality, topk, toxicity
+from panelcast.llm import arc, bpe, imi, packing, pii, quality, topk, toxicity
 from panelcast.llm.common import table
 
 #: Vocabulary file of the token queries; workers open it at the same place.
@@ -73,6 +73,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymise(docs, found_col="found")
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda f: f["kind"]))), ",")
+    return out.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), kinds.alias("kinds"))
+
+
 @query
 def op8_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.archive_round_trip(table(spark, sf_dir, "pages"), "page_id", min_bytes=0)
