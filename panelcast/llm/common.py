@@ -66,6 +66,16 @@ def slices(offs: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]
         i = j
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (sorting integers beats hashing them by far)."""
+    x = np.sort(x)
+    if not len(x):
+        return x
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64."""
     h = h ^ (h >> np.uint64(32))

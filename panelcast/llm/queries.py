@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import arc, bpe, imi, packing, pii, quality, topk, toxicity
+from panelcast.llm import arc, bpe, imi, jaccard_join, packing, pii, quality, topk, toxicity
 from panelcast.llm.common import table
 
 #: Vocabulary file of the token queries; workers open it at the same place.
@@ -73,6 +73,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.join_components(docs, jaccard_join.Rule(n=4, percent=85))
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
