@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import arc, bpe, imi, jaccard_join, packing, pii, quality, topk, toxicity
+from panelcast.llm import arc, bpe, imi, jaccard_join, packing, pii, quality, suffix_dedup, topk, toxicity
 from panelcast.llm.common import table
 
 #: Vocabulary file of the token queries; workers open it at the same place.
@@ -58,6 +58,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
