@@ -9,26 +9,26 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * np.clip(z, -60, 60)))
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray,
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, weight: np.ndarray,
                  n_features: int, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by Nesterov gradient descent with
-    per-feature step sizes (diagonal bound of the Hessian)."""
+    """L2-regularised logistic regression on weighted sparse rows, by Nesterov gradient descent
+    with per-feature step sizes (a diagonal bound of the Hessian)."""
     n = len(y)
     w, b = np.zeros(n_features), 0.0
     if n == 0:
         return w, b
-    base = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    base = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
     b = float(np.log(base / (1 - base)))
     width = np.bincount(rows, np.abs(vals), n) + 1.0
-    step = 1.0 / (0.25 * np.bincount(cols, np.abs(vals) * width[rows], n_features) + l2)
-    step_b = 1.0 / (0.25 * width.sum())
+    step = 1.0 / (0.25 * np.bincount(cols, np.abs(vals) * (width * weight)[rows], n_features) + l2)
+    step_b = 1.0 / (0.25 * (width * weight).sum())
     prev, prev_b, t = w.copy(), b, 1.0
     for _ in range(steps):
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         m = (t - 1) / t2
         look, look_b = w + m * (w - prev), b + m * (b - prev_b)
         prev, prev_b, t = w, b, t2
-        err = sigmoid(np.bincount(rows, vals * look[cols], n) + look_b) - y
+        err = weight * (sigmoid(np.bincount(rows, vals * look[cols], n) + look_b) - y)
         w = look - step * (np.bincount(cols, vals * err[rows], n_features) + l2 * look)
         b = look_b - step_b * err.sum()
     return w, float(b)

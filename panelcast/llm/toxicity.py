@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import MIX, slices, string_buffers
+from panelcast.llm.common import MIX, distinct, slices, string_buffers
 from panelcast.llm.linear import fit_logistic, sigmoid
 
 SIZES = (4, 5, 6)
@@ -101,7 +101,7 @@ def _z(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
 
 
 def _unique_pairs(doc: np.ndarray, feature: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    pair = np.unique(doc.astype(np.int64) * width + feature)
+    pair = distinct(doc.astype(np.int64) * width + feature)
     return pair // width, pair % width
 
 
@@ -113,13 +113,9 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         y = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j in slices(offs):
             own = buf[offs[i]:offs[j]]
-            doc, feature = [], []
-            for key, d in _ngrams(own, offs[i:j + 1] - offs[i]):
-                d, f = _unique_pairs(d, _bucket(key), width)
-                doc.append(d)
-                feature.append(f)
-            if doc:
-                d, f = _unique_pairs(np.concatenate(doc), np.concatenate(feature), width)
+            grams = list(_ngrams(own, offs[i:j + 1] - offs[i]))
+            if grams:
+                d, f = _unique_pairs(np.concatenate([d for _, d in grams]), _bucket(np.concatenate([k for k, _ in grams])), width)
                 for label in (0, 1):
                     counts[label] += np.bincount(f[y[i:j][d] == label], minlength=width).astype(np.int32)
     full = [s for s in range(width // SEGMENT) if counts[:, s * SEGMENT:(s + 1) * SEGMENT].any()]
@@ -191,8 +187,10 @@ def _fit_sample(sample: DataFrame) -> ToxicityModel:
                 keys.append(key)
                 poss.append(y[doc])
         if keys:
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            pos = np.bincount(at, np.concatenate(poss), len(key)).astype(np.int64)
+            every, label = np.concatenate(keys), np.concatenate(poss)
+            key = distinct(every)
+            at = np.searchsorted(key, every)
+            pos = np.bincount(at, label, len(key)).astype(np.int64)
             n = np.bincount(at, minlength=len(key)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pos), pa.array(n - pos)],
                                              ["key", "pos", "neg"])
@@ -215,24 +213,26 @@ def _fit_sample(sample: DataFrame) -> ToxicityModel:
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [np.empty((0, 2), np.int64)]
+            hits = [np.empty(0, np.int64)]
             for key, doc in _marked_pairs(batch, table):
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 hit = keys[at] == key
-                hits.append(np.stack([doc[hit], at[hit]], 1))
-            pairs = np.unique(np.concatenate(hits), axis=0)
-            per = np.searchsorted(pairs[:, 0], np.arange(batch.num_rows + 1)).astype(np.int32)
+                hits.append(doc[hit] * len(keys) + at[hit])
+            pairs = distinct(np.concatenate(hits))
+            per = np.searchsorted(pairs // len(keys), np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("label"),
-                 pa.ListArray.from_arrays(pa.array(per), pa.array(pairs[:, 1].astype(np.int32)))],
+                 pa.ListArray.from_arrays(pa.array(per), pa.array((pairs % len(keys)).astype(np.int32)))],
                 ["id", "label", "features"])
 
-    rows = (sample.mapInArrow(rows_of, "id string, label int, features array<int>").toPandas()
-            .sort_values("id").reset_index(drop=True))
-    per = rows["features"].map(len).to_numpy()
-    cols = np.concatenate([np.asarray(x, np.int64) for x in rows["features"]]) if per.sum() else np.empty(0, np.int64)
-    w, bias = fit_logistic(np.repeat(np.arange(len(rows)), per), cols, ratio[cols],
-                           rows["label"].to_numpy(np.float64), len(keys))
+    # rows of equal features count as one with a weight, so copies cost nothing
+    rows = (sample.mapInArrow(rows_of, "id string, label int, features array<int>")
+            .groupBy("label", "features").agg(F.count("*").cast("double").alias("n"), F.min("id").alias("id"))
+            .toArrow().sort_by([("id", "ascending"), ("label", "ascending")]))
+    features = rows.column("features").combine_chunks()
+    per, cols = np.diff(features.offsets.to_numpy()), features.values.to_numpy()
+    w, bias = fit_logistic(np.repeat(np.arange(rows.num_rows, dtype=np.int32), per), cols, ratio.astype(np.float32)[cols],
+                           rows.column("label").to_numpy().astype(np.float64), rows.column("n").to_numpy(), len(keys))
     return ToxicityModel(keys, w * ratio, bias)
 
 
