@@ -36,9 +36,9 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_topk"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS e
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
            FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e::DOUBLE[], v.e::DOUBLE[])::BIGINT AS score
       FROM q JOIN v ON q.vec_id <> v.vec_id),
@@ -63,6 +63,26 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
 
 
+ORACLE["op3_suffix_dedup"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, octet_length(unhex(h)) AS n FROM d),
+w AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s
+      FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM b WHERE n >= 50)),
+first AS (SELECT s, min(doc_id) AS doc FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN first USING (s) WHERE w.doc_id > first.doc),
+marked AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM hit),
+grouped AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM grouped GROUP BY doc_id, g),
+per AS (SELECT doc_id, sum(z - a) AS cut, count(*) AS k, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM spans GROUP BY doc_id),
+kept AS (SELECT b.doc_id, n, coalesce(cut, 0) AS cut, coalesce(k, 0) AS k,
+    CASE WHEN k IS NULL THEN h ELSE list_aggregate(list_transform(range(k + 1), lambda j: substr(h,
+        2 * (CASE WHEN j = 0 THEN 0 ELSE ends[j] END) + 1,
+        2 * ((CASE WHEN j = k THEN n ELSE starts[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE ends[j] END)))), 'string_agg', '') END AS rest
+  FROM b LEFT JOIN per USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_bytes, cut::BIGINT AS n_removed, k::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -84,6 +104,24 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(docs, jaccard_join.Rule(n=4, percent=85))
 
 
+ORACLE["op6_jaccard"] = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, e.b FROM r JOIN edges e ON r.u = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.u, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(u) AS u FROM r GROUP BY v) m ON m.v = d.doc_id
+"""
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,7 +132,24 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arc.archive_round_trip(table(spark, sf_dir, "pages"), "page_id", min_bytes=0)
+    pages = arc.archive_round_trip(table(spark, sf_dir, "pages"), "page_id", min_bytes=0)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op8_arc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS s FROM p),
+d AS (SELECT page_id, n, s, list_aggregate(list_transform(range(8), lambda k: (
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, 5 * k + 1, 5))::INTEGER >> 15) & 31) + 1, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, 5 * k + 1, 5))::INTEGER >> 10) & 31) + 1, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, 5 * k + 1, 5))::INTEGER >> 5) & 31) + 1, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(s, 5 * k + 1, 5))::INTEGER & 31) + 1, 1))), 'string_agg', '') AS digest
+      FROM h)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY digest) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY digest) THEN NULL ELSE max(page_id) OVER (PARTITION BY digest) END AS refers_to
+FROM d
+"""
 
 
 @query
