@@ -80,13 +80,14 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     mean = np.bincount(doc, width, n) / some
     h = span_hashes(buf, start, end)
     same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    order = np.lexsort((h, doc))
-    hs, ds = h[order], doc[order]
-    first = np.ones(len(hs), bool)
-    first[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
+    # distinct words of each text: the document's number and 40 bits of the hash in one integer
+    both = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] != both[:-1]
     at = np.flatnonzero(first)
-    count = np.diff(np.append(at, len(hs))).astype(np.float64)
-    d, bucket = ds[at], (hs[at] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    count = np.diff(np.append(at, len(both))).astype(np.float64)
+    d = (both[at] >> np.uint64(40)).astype(np.int64)
+    bucket = ((both[at] >> np.uint64(40 - HASH_BITS)) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
     top = np.zeros(n)
     np.maximum.at(top, d, count)
     stats |= {"word_bytes": np.log1p(mean), "word_spread": np.sqrt(np.maximum(
