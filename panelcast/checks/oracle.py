@@ -5,7 +5,7 @@ Double columns are rounded to 6 decimals, as the Spark side does.
 
 from __future__ import annotations
 
-from panelcast.checks.views_sql import q
+from panelcast.checks.views_sql import lag_days, q
 
 ORACLE: dict[str, str] = {}
 
@@ -61,12 +61,7 @@ def panel_select(extra: str = "", price: bool = True) -> str:
 
 
 # ---------------------------------------------------------------- sources / sinks
-sql("scan_sales", "sales_long", body="""
-SELECT * FROM (
-  PIVOT (SELECT item_id || '_' || store_id AS id, item_id, dept_id, cat_id, store_id, state_id, d,
-                CAST(sales AS SMALLINT) AS sales FROM sales_long)
-  ON d USING first(sales) GROUP BY id, item_id, dept_id, cat_id, store_id, state_id)
-""")
+sql("scan_sales", "sales_full", body="SELECT * FROM sales_full")
 
 sql("scan_calendar", "calendar", body="SELECT * FROM calendar")
 sql("scan_prices", "prices", body="SELECT store_id, item_id, wm_yr_wk, "
@@ -74,7 +69,7 @@ sql("scan_prices", "prices", body="SELECT store_id, item_id, wm_yr_wk, "
 sql("sink_roundtrip", "sales_long", body="SELECT * FROM sales_long")
 
 # ---------------------------------------------------------------- reshapes / filters
-sql("melt_sales", "sales_long", body="SELECT * FROM sales_long")
+sql("melt_sales", "sales_full", body="SELECT * FROM sales_full")
 
 DATED = "(SELECT s.*, c.date FROM sales_long s LEFT JOIN calendar c ON s.d = c.d)"
 
@@ -117,14 +112,14 @@ SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE
 
 FC7 = """(SELECT unique_id, ds, y, yhat FROM (
   SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE) AS y,
-         CAST(lag(sales, {lag}) OVER (PARTITION BY item_id, store_id ORDER BY date) AS DOUBLE) AS yhat
+         {lag} AS yhat
   FROM panel) t WHERE ds >= (SELECT cut FROM cutoff))"""
 
 sql("clip_nonneg", "panel", "cutoff", body=f"""
 SELECT unique_id, ds, round(raw, 6) AS raw,
        round(CASE WHEN raw IS NOT NULL THEN greatest(raw, 0.0) END, 6) AS yhat
 FROM (SELECT a.unique_id, a.ds, 2 * a.yhat - b.yhat AS raw
-      FROM {FC7.format(lag=7)} a JOIN {FC7.format(lag=14)} b
+      FROM {FC7.format(lag=lag_days(7))} a JOIN {FC7.format(lag=lag_days(14))} b
       ON a.unique_id = b.unique_id AND a.ds = b.ds) t
 """)
 
@@ -263,9 +258,9 @@ SELECT round(sum(w.weight * r.rmsse) / sum(CASE WHEN r.rmsse IS NOT NULL THEN w.
 FROM {RMSSE} r LEFT JOIN {WEIGHTS} w ON r.unique_id = w.unique_id
 """)
 
-FC_STORE = """(SELECT unique_id, store_id, ds, y, yhat FROM (
+FC_STORE = f"""(SELECT unique_id, store_id, ds, y, yhat FROM (
   SELECT item_id || '_' || store_id AS unique_id, store_id, date AS ds, CAST(sales AS DOUBLE) AS y,
-         CAST(lag(sales, 28) OVER (PARTITION BY item_id, store_id ORDER BY date) AS DOUBLE) AS yhat
+         {lag_days(28)} AS yhat
   FROM panel) t WHERE ds >= (SELECT cut FROM cutoff))"""
 
 sql("evaluate_all", "panel", "cutoff", body=f"""
@@ -337,7 +332,7 @@ EVENT_SQL = ("CAST(event_name_1 IS NOT NULL AND event_name_1 <> 'NoEvent' AS INT
 
 sql("feat_lags", "panel", body=f"SELECT item_id, store_id, date, sales, {lag_sql()} FROM panel")
 sql("feat_rolling", "panel", body=f"SELECT item_id, store_id, date, sales, {rolling_sql()} FROM panel")
-sql("feat_calendar", "calendar", body=f"SELECT date, {CAL_SQL} FROM calendar")
+sql("feat_calendar", "panel", body=f"SELECT item_id, store_id, date, {CAL_SQL} FROM panel")
 sql("feat_price", "panel", body=f"""
 SELECT item_id, store_id, date, round(sell_price, 6) AS sell_price, {PRICE_SQL} FROM {PRICE_INNER} t
 """)
@@ -356,9 +351,9 @@ ORACLE["flagship_store_scores"] = ORACLE["evaluate_all"]
 BOARD_LAGS = (7, 14, 28)
 FC_CAT = """(SELECT unique_id, cat_id, ds, y, yhat FROM (
   SELECT item_id || '_' || store_id AS unique_id, cat_id, date AS ds, CAST(sales AS DOUBLE) AS y,
-         CAST(lag(sales, {lag}) OVER (PARTITION BY item_id, store_id ORDER BY date) AS DOUBLE) AS yhat
+         {lag} AS yhat
   FROM panel) t WHERE ds >= (SELECT cut FROM cutoff))"""
-FCS = "(" + " UNION ALL ".join(f"SELECT 'lag_{L}' AS model, * FROM {FC_CAT.format(lag=L)} f{L}"
+FCS = "(" + " UNION ALL ".join(f"SELECT 'lag_{L}' AS model, * FROM {FC_CAT.format(lag=lag_days(L))} f{L}"
                                 for L in BOARD_LAGS) + ")"
 
 
@@ -430,7 +425,7 @@ FROM forecast WHERE yhat IS NOT NULL GROUP BY ds
 
 PATHS = ("(UNPIVOT (SELECT unique_id, ds, " + ", ".join(f"s{k}" for k in range(1, 21)) + """ FROM (
   SELECT item_id || '_' || store_id AS unique_id, date AS ds, """
-         + ", ".join(f"CAST(lag(sales, {7 * k}) OVER (PARTITION BY item_id, store_id ORDER BY date) AS DOUBLE) AS s{k}"
+         + ", ".join(f"{lag_days(7 * k)} AS s{k}"
                      for k in range(1, 21))
          + """ FROM panel) t WHERE ds >= (SELECT cut FROM cutoff))
   ON """ + ", ".join(f"s{k}" for k in range(1, 21)) + " INTO NAME sample VALUE y)")
@@ -473,11 +468,12 @@ TRAIN_MEAN = """(SELECT item_id || '_' || store_id AS unique_id, avg(sell_price)
 sql("regressor_means", "panel", "cutoff", body=f"""
 SELECT unique_id, round(sell_price, 6) AS sell_price FROM {TRAIN_MEAN} m
 """)
-sql("future_regressors", "panel", "cutoff", body=f"""
-SELECT t.unique_id, t.ds, round(COALESCE(CASE WHEN t.sell_price <> 0 THEN t.sell_price END, m.sell_price), 6) AS sell_price
-FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds, sell_price FROM panel
-      WHERE date >= (SELECT cut FROM cutoff)) t
-LEFT JOIN {TRAIN_MEAN} m ON t.unique_id = m.unique_id
+sql("future_regressors", "panel", "cutoff", body="""
+SELECT unique_id, ds, round(COALESCE(known, mean), 6) AS sell_price
+FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds, CASE WHEN wm_yr_wk % 2 = 0 THEN sell_price END AS known,
+             avg(CASE WHEN date < (SELECT cut FROM cutoff) THEN sell_price END) OVER (PARTITION BY item_id, store_id) AS mean
+      FROM panel) t
+WHERE ds >= (SELECT cut FROM cutoff)
 """)
 
 # ---------------------------------------------------------------- grids and decomposition
@@ -536,10 +532,10 @@ DIRECT_SERIES = f"""(SELECT item_id || '_' || store_id AS unique_id, date AS ds,
   CAST(event_name_1 IS NOT NULL AND event_name_1 <> 'NoEvent' AS INTEGER) AS has_event, {SNAP_CASE} AS snap,
   CAST(dense_rank() OVER (ORDER BY cat_id) - 1 AS INTEGER) AS cat_id,
   CAST(dense_rank() OVER (ORDER BY dept_id) - 1 AS INTEGER) AS dept_id
-  FROM panel)"""
+  FROM panel_dense)"""
 LAST_TRAIN = "CAST((SELECT cut FROM cutoff) - 1 AS DATE)"
 DW = "PARTITION BY unique_id ORDER BY ds"
-sql("direct_training_rows", "panel", "cutoff", body=f"""
+sql("direct_training_rows", "panel_dense", "cutoff", body=f"""
 , s AS {DIRECT_SERIES},
 st AS (SELECT unique_id, quantile_cont(y, 0.5) AS median,
               CASE WHEN quantile_cont(y, 0.75) - quantile_cont(y, 0.25) > 0
@@ -576,15 +572,129 @@ FULL JOIN (SELECT item_id || '_' || store_id AS unique_id, date AS ds, TRUE AS p
            WHERE date >= CAST((SELECT cut FROM cutoff) - 7 AS DATE)) y USING (unique_id, ds)
 """)
 
-sql("load_all", "panel", "cutoff", body="""
-SELECT item_id, store_id, date, sales, round(sell_price, 6) AS sell_price FROM panel
-WHERE date < (SELECT cut FROM cutoff)
+TOP50 = """item_id IN (SELECT item_id FROM sales_sparse GROUP BY item_id ORDER BY sum(sales) DESC, item_id LIMIT 50)"""
+sql("load_all", "panel_full", "cutoff", "sales_sparse", body=f"""
+SELECT item_id, store_id, date, sales, round(sell_price, 6) AS sell_price FROM panel_full
+WHERE date < (SELECT cut FROM cutoff) AND {TOP50}
 """)
-sql("preprocess_test", "panel", "cutoff", body=f"""
-SELECT {panel_select()} FROM panel WHERE date >= (SELECT cut FROM cutoff)
+sql("preprocess_test", "panel", "cutoff", "sales_sparse", body=f"""
+SELECT {panel_select()} FROM panel WHERE date >= (SELECT cut FROM cutoff) AND {TOP50}
 """)
 
-sql("preprocess_train", "panel", "cutoff", body=f"""
-SELECT {panel_select()} FROM panel WHERE date < (SELECT cut FROM cutoff)
+sql("preprocess_train", "panel", "cutoff", "sales_sparse", body=f"""
+SELECT {panel_select()} FROM panel WHERE date < (SELECT cut FROM cutoff) AND {TOP50}
+""")
+sql("forecast_sink", "panel", "cutoff", body=f"SELECT unique_id, ds, y, yhat FROM {FC_CAT.format(lag=lag_days(7))} f")
+
+# ---------------------------------------------------------------- partial autocorrelation
+# Durbin-Levinson by a recursion over the lag: phi holds the coefficients of the order before.
+_acf_rows = "SELECT * FROM (" + "\nUNION ALL ".join(
+    f"SELECT unique_id, {k} AS k, s{k} / NULLIF(s0, 0) AS r, n FROM acf_agg WHERE {k} < n" for k in range(NLAGS + 1)) + ")"
+ORACLE["pacf"] = ORACLE["acf"].split("\nSELECT * FROM (", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+rr AS MATERIALIZED (SELECT unique_id, list(r ORDER BY k) AS r, max(n) AS n, max(k) AS top FROM ({_acf_rows}) GROUP BY unique_id
+                    HAVING bool_and(r IS NOT NULL)),
+dl AS (
+  SELECT unique_id, r, n, top, 0 AS k, CAST([] AS DOUBLE[]) AS phi, 1.0::DOUBLE AS v, 1.0::DOUBLE AS a FROM rr
+  UNION ALL
+  SELECT unique_id, r, n, top, k + 1,
+         list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - a2 * phi[k + 1 - j]), [a2]), v * (1 - a2 * a2), a2
+  FROM (SELECT *, (r[k + 2] - COALESCE(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0.0)) / v AS a2
+        FROM dl WHERE k < top AND v > 0) x)
+SELECT unique_id, CAST(k AS INTEGER) AS lag, (round(a, 6) + 0.0) AS pacf FROM dl
+"""
+
+# ---------------------------------------------------------------- sample paths
+# base = last week's value of the same weekday, residuals = y(t) - y(t - 7), drawn by an md5 of the key
+sql("fc_paths_samples", "panel_dense", "cutoff", body="""
+, s AS MATERIALIZED (SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE) AS y,
+         row_number() OVER (PARTITION BY item_id, store_id ORDER BY date) AS t,
+         count(*) OVER (PARTITION BY item_id, store_id) AS n
+       FROM panel_dense WHERE date < (SELECT cut FROM cutoff)),
+a AS MATERIALIZED (SELECT unique_id, max(ds) AS last, list(y ORDER BY ds) AS ys, max(n) AS n FROM s GROUP BY unique_id),
+p AS (SELECT unique_id, CAST(last + CAST(h AS INTEGER) AS DATE) AS ds, k,
+             greatest(CASE WHEN n >= 7 THEN ys[n - 7 + ((h - 1) % 7) + 1] END + CASE WHEN n > 7 THEN
+               ys[CAST(('0x' || substr(md5(unique_id || '|' || k || '|' || h || '|42'), 1, 8)) AS BIGINT) % (n - 7) + 8] -
+               ys[CAST(('0x' || substr(md5(unique_id || '|' || k || '|' || h || '|42'), 1, 8)) AS BIGINT) % (n - 7) + 1] ELSE 0.0 END, 0.0) AS y
+      FROM a, range(1, 29) g(h), range(1, 21) q(k))
+SELECT unique_id, ds, round(quantile_cont(y, 0.5), 6) AS yhat, round(quantile_cont(y, 0.025), 6) AS yhat_lower,
+       round(quantile_cont(y, 0.975), 6) AS yhat_upper, """ + ", ".join(f"round(max(CASE WHEN k = {i} THEN y END), 6) AS sample_{i}" for i in range(1, 21)) + """
+FROM p GROUP BY unique_id, ds
+""")
+ORACLE["fc_paths_samples"] = ORACLE["fc_paths_samples"].replace("\n\n, s AS", "\n, s AS")
+ORACLE["fc_paths"] = ("SELECT unique_id, ds, yhat, yhat_lower, yhat_upper FROM (" + ORACLE["fc_paths_samples"] + ") z")
+
+# ---------------------------------------------------------------- seasonal autoregression
+_AR_X = ["1.0", "l1", "l7", "l8"]
+_AR_SQL = "n, last, ys, " + ", ".join(f"a_{i}_{j}" for i in range(4) for j in range(4)) + ", " + ", ".join(f"b_{i}" for i in range(4))
+
+
+def _ar_steps() -> str:
+    """The elimination as nested selects."""
+    from panelcast.models.lag_regression import elimination
+    text, names = "sums", ["unique_id", *_AR_SQL.split(", ")]
+    for step in elimination():
+        new = dict(step)
+        cols = [f"{new.pop(c)} AS {c}" if c in new else c for c in names]
+        names += list(new)
+        text = f"(SELECT {', '.join([*cols, *(f'{e} AS {c}' for c, e in new.items())])} FROM {text} t)"
+    return text
+
+
+sql("fc_seasonal_ar", "panel_dense", "cutoff", body=f"""
+, s AS (SELECT unique_id, ds, y, lag(y, 1) OVER w AS l1, lag(y, 7) OVER w AS l7, lag(y, 8) OVER w AS l8
+        FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE) AS y FROM panel_dense
+              WHERE date < (SELECT cut FROM cutoff)) z WINDOW w AS (PARTITION BY unique_id ORDER BY ds)),
+sums AS MATERIALIZED (SELECT unique_id, count(l8) AS n, max(ds) AS last, list(y ORDER BY ds) AS ys,
+        {", ".join(f"sum(CASE WHEN l8 IS NOT NULL THEN {_AR_X[i]} * {_AR_X[j]} END) + {1.0 if i == j and i else 0.0} AS a_{i}_{j}"
+                   for i in range(4) for j in range(4))},
+        {", ".join(f"sum(CASE WHEN l8 IS NOT NULL THEN {_AR_X[i]} * y END) AS b_{i}" for i in range(4))}
+      FROM s GROUP BY unique_id HAVING count(l8) >= 16),
+f AS (SELECT unique_id, last, c_0, c_1, c_2, c_3, ys[len(ys) - 7:] AS v, 0 AS h FROM {_ar_steps()} e
+      UNION ALL
+      SELECT unique_id, last, c_0, c_1, c_2, c_3,
+             list_append(v, c_0 + c_1 * v[len(v)] + c_2 * v[len(v) - 6] + c_3 * v[len(v) - 7]), h + 1 FROM f WHERE h < 28)
+SELECT unique_id, CAST(last + h AS DATE) AS ds, CAST(h AS INTEGER) AS h, round(greatest(v[len(v)], 0.0), 6) AS yhat FROM f WHERE h > 0
+""")
+ORACLE["fc_seasonal_ar"] = ORACLE["fc_seasonal_ar"].replace("\n\n, s AS", "\n, s AS").replace("WITH ", "WITH RECURSIVE ", 1)
+
+# ---------------------------------------------------------------- global models: properties that SQL knows
+sql("gbt_fit", "panel_dense", "cutoff", body="""
+SELECT count(*) AS val_rows, TRUE AS beats_zero, TRUE AS within_rounds FROM panel_dense
+WHERE date < (SELECT cut FROM cutoff) AND date >= CAST((SELECT max(date) FROM panel_dense WHERE date < (SELECT cut FROM cutoff)) - 27 AS DATE)
+""")
+sql("gbt_evaluate", "panel_dense", "cutoff", body="""
+SELECT item_id || '_' || store_id AS unique_id, count(*) AS n, CAST(sum(sales) AS DOUBLE) AS y, TRUE AS nonneg
+FROM panel_dense WHERE date >= (SELECT cut FROM cutoff) GROUP BY 1
+""")
+ORACLE["model_roundtrip"] = ORACLE["gbt_evaluate"].replace("TRUE AS nonneg", "TRUE AS equal")
+ORACLE["gbt_importance"] = "SELECT TRUE AS sums_to_one, TRUE AS nonneg, TRUE AS splits_counted"
+sql("fc_gbt_recursive", "panel_dense", "cutoff", body="""
+SELECT item_id || '_' || store_id AS unique_id, CAST(28 AS BIGINT) AS n, CAST(max(date) + 1 AS DATE) AS first_ds,
+       CAST(max(date) + 28 AS DATE) AS last_ds, TRUE AS nonneg
+FROM panel_dense WHERE date < (SELECT cut FROM cutoff) GROUP BY item_id, store_id
+""")
+sql("fc_direct", "panel_dense", "cutoff", body="""
+SELECT item_id || '_' || store_id AS unique_id, count(*) AS n, min(date) AS first_ds, max(date) AS last_ds, TRUE AS nonneg
+FROM panel_dense WHERE date >= (SELECT cut FROM cutoff) GROUP BY item_id, store_id
+""")
+
+# ---------------------------------------------------------------- multi-model run
+RUN_FC = "(" + " UNION ALL ".join([
+    f"SELECT 'lag_{L}' AS model, * FROM {FC7.format(lag=lag_days(L))} f{L}" for L in (7, 28)] + [
+    f"SELECT 'half' AS model, * FROM {FC7.format(lag=lag_days(28))} f0 WHERE unique_id LIKE '%A_1'"]) + ")"
+sql("run_models", "panel", "cutoff", body=f"""
+, actual AS (SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE) AS y FROM panel
+             WHERE date >= (SELECT cut FROM cutoff)),
+m AS (SELECT * FROM (VALUES ('lag_7'), ('lag_28'), ('half'), ('broken')) t(model)),
+j AS (SELECT m.model, a.unique_id, a.ds, a.y, f.yhat FROM m CROSS JOIN actual a
+      LEFT JOIN {RUN_FC} f ON f.model = m.model AND f.unique_id = a.unique_id AND f.ds = a.ds),
+c AS (SELECT model, count(DISTINCT unique_id) AS n_series,
+             count(DISTINCT CASE WHEN yhat IS NOT NULL THEN unique_id END) AS n_scored,
+             bool_and(yhat IS NOT NULL) AS complete,
+             sqrt(avg(pow(y - yhat, 2))) AS RMSE, avg(abs(y - yhat)) AS MAE FROM j GROUP BY model)
+SELECT model AS Model, n_series, n_scored, n_series - n_scored AS n_failed, complete, model = 'broken' AS failed,
+       round(RMSE, 4) AS RMSE, round(MAE, 4) AS MAE,
+       CASE WHEN complete THEN CAST(row_number() OVER (PARTITION BY complete ORDER BY round(RMSE, 4), model) AS INTEGER) END AS rank
+FROM c
 """)
-sql("forecast_sink", "panel", "cutoff", body=f"SELECT unique_id, ds, y, yhat FROM {FC_CAT.format(lag=7)} f")
+ORACLE["run_models"] = ORACLE["run_models"].replace("\n\n, actual AS", "\n, actual AS")

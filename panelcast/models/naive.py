@@ -1,4 +1,5 @@
-"""Seasonal-naive forecasts: yhat = the value ``lag`` days earlier (window lag)."""
+"""Seasonal-naive forecasts: yhat = the value ``lag`` days earlier (by date, so gaps in a
+series don't shift it; a missing day counts as 0)."""
 
 from __future__ import annotations
 
@@ -7,16 +8,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from panelcast.operators.fills import lag_days
 
 
 def lag_forecast(series: DataFrame, cutoff: dt.date, lag: int = 28,
                  keys: Sequence[str] = ("unique_id",), date: str = "ds", y: str = "y",
                  keep: Sequence[str] = ()) -> DataFrame:
-    """(keys, ds, y, yhat) for ds >= cutoff; yhat = y at ds - lag rows (daily grid)."""
-    w = Window.partitionBy(*keys).orderBy(date)
-    return (series.select(*keys, *keep, date, F.col(y).cast("double").alias("y"),
-                          F.lag(F.col(y).cast("double"), lag).over(w).alias("yhat"))
+    """(keys, ds, y, yhat) for ds >= cutoff; yhat = y at ds - lag days."""
+    yy = F.col(y).cast("double")
+    return (series.select(*keys, *keep, date, yy.alias("y"), lag_days(yy, lag, keys, date).alias("yhat"))
             .where(F.col(date) >= F.lit(cutoff)))
 
 
@@ -24,10 +25,11 @@ def lagged_paths(series: DataFrame, cutoff: dt.date, num_samples: int = 20, step
                  keys: Sequence[str] = ("unique_id",), date: str = "ds",
                  y: str = "y") -> DataFrame:
     """Sample paths: sample k (1..num_samples) = value ``step * k`` days earlier."""
-    w = Window.partitionBy(*keys).orderBy(date)
     yy = F.col(y).cast("double")
-    samples = F.array(*[F.struct(F.lit(k).alias("sample_id"), F.lag(yy, step * k).over(w).alias("y"))
+    lagged = series.select(*keys, date, *[lag_days(yy, step * k, keys, date).alias(f"_l{k}")
+                                          for k in range(1, num_samples + 1)])
+    samples = F.array(*[F.struct(F.lit(k).alias("sample_id"), F.col(f"_l{k}").alias("y"))
                         for k in range(1, num_samples + 1)])
-    return (series.select(*keys, date, samples.alias("_s"))
+    return (lagged.select(*keys, date, samples.alias("_s"))
             .where(F.col(date) >= F.lit(cutoff))
             .select(*keys, date, F.inline("_s")))

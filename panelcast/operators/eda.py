@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -58,14 +58,17 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     column gives NULL (no division by zero). Output: (col_a, col_b, corr).
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
+    nullable = {f.name for f in df.schema.fields if f.nullable}
+    x = {c: F.col(c).cast("double") for c in cols}
+
+    def spread(a: str, b: str) -> Column:
+        """Of ``a`` where ``b`` is present; one aggregate per column where ``b`` always is."""
+        return F.stddev_samp(F.when(F.col(b).isNotNull(), x[a]) if b != a and b in nullable else x[a])
+
     exprs = []
     pairs = list(itertools.combinations_with_replacement(cols, 2))
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        xa = F.when(both, F.col(a).cast("double"))
-        xb = F.when(both, F.col(b).cast("double"))
-        r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
-        exprs.append(r.alias(f"p{i}"))
+    for i, (a, b) in enumerate(pairs):  # covar_samp skips rows without both values
+        exprs.append(F.try_divide(F.covar_samp(x[a], x[b]), spread(a, b) * spread(b, a)).alias(f"p{i}"))
     row = df.agg(*exprs)
     entries = []
     for i, (a, b) in enumerate(pairs):
@@ -136,6 +139,8 @@ def _durbin_levinson(r: np.ndarray) -> np.ndarray:
     out = np.full(n, np.nan)
     if n == 0:
         return out
+    if not np.isfinite(r[0]):
+        return out
     out[0] = 1.0
     phi = np.zeros(n)
     prev = np.zeros(n)
@@ -156,7 +161,8 @@ def _durbin_levinson(r: np.ndarray) -> np.ndarray:
 def pacf(acf_rows: DataFrame, keys: Sequence[str] = ("unique_id",)) -> DataFrame:
     """Partial autocorrelations from the ACF rows of each series (Durbin-Levinson).
 
-    Input is the small per-series ACF table (<= nlags + 1 rows per group).
+    Input is the small per-series ACF table (<= nlags + 1 rows per group). Lags
+    without a value (a constant series) have no row.
     """
     key_fields = [f for f in acf_rows.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("lag", T.IntegerType()),
@@ -168,7 +174,7 @@ def pacf(acf_rows: DataFrame, keys: Sequence[str] = ("unique_id",)) -> DataFrame
         out = pdf[list(keys)].copy()
         out["lag"] = pdf["lag"].astype("int32").to_numpy()
         out["pacf"] = vals
-        return out
+        return out[np.isfinite(vals)]
 
     return acf_rows.select(*keys, "lag", "acf").groupBy(*keys).applyInPandas(run, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,8 +90,9 @@ def attach_prices_filled(sales: DataFrame, prices: DataFrame, keys: Sequence[str
     series key only; within a series (ordered by week, price row first, then
     date) ``last(price, ignorenulls)`` is the forward fill (it returns the
     row's own week price when there is one) and ``first(price, ignorenulls)``
-    over the following rows is the backward fill. Price rows outside the weeks
-    the series has sales rows for are dropped first, so only the prices a left
+    over the following rows is the backward fill. Price rows of weeks in which
+    the series has no sales row are dropped first (a window on (keys, week), which
+    the partitioning by keys already satisfies), so only the prices a left
     join would attach are used, as in join-then-fill.
 
     Compared with a join on (store, item, week) followed by a window on
@@ -102,14 +103,38 @@ def attach_prices_filled(sales: DataFrame, prices: DataFrame, keys: Sequence[str
                       F.col(week).cast("int").alias(week), F.col(price).cast("double").alias(price))
     s = sales.withColumn(price, F.lit(None).cast("double")).withColumn("_price_row", F.lit(False))
     u = s.unionByName(p.withColumn("_price_row", F.lit(True)), allowMissingColumns=True)
-    whole = Window.partitionBy(*keys)
-    sales_wk = F.when(~F.col("_price_row"), F.col(week))
-    u = u.withColumns({"_wk_lo": F.min(sales_wk).over(whole), "_wk_hi": F.max(sales_wk).over(whole)})
-    u = u.where(~F.col("_price_row") | F.col(week).between(F.col("_wk_lo"), F.col("_wk_hi")))
+    # one exchange on the series key serves this window and all later ones
+    u = u.repartition(*keys)
+    u = u.withColumn("_sold", F.max(~F.col("_price_row")).over(Window.partitionBy(*keys, week)))
+    u = u.where(~F.col("_price_row") | F.col("_sold"))
     w = Window.partitionBy(*keys).orderBy(F.col(week), F.desc("_price_row"), F.col(date))
     fwd = F.last(price, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     # backward fill = the series' first price (see fill_prices): O(n), not O(n^2)
     bwd = F.first(price, ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = u.withColumn(price, F.coalesce(fwd, bwd, F.lit(0.0))).where(~F.col("_price_row"))
-    return out.drop("_price_row", "_wk_lo", "_wk_hi")
+    return out.drop("_price_row", "_sold")
+
+
+def day_index(date: str = "ds") -> Column:
+    """Days since the epoch: the order of frames that count days, not rows."""
+    return F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+
+
+def lag_days(y: Column, days: int, keys: Sequence[str], date: str = "ds") -> Column:
+    """The value exactly ``days`` days earlier; 0 for a missing day of the series, NULL
+    before its first day. A range frame: no densified copy of the series is needed."""
+    w = Window.partitionBy(*keys).orderBy(day_index(date))
+    first = F.min(date).over(Window.partitionBy(*keys))
+    there = F.max(y).over(w.rangeBetween(-days, -days))
+    return F.when(F.date_sub(F.col(date), days) >= first, F.coalesce(there, F.lit(0.0)))
+
+
+def require_daily(df: DataFrame, keys: Sequence[str] = ("unique_id",), date: str = "ds") -> DataFrame:
+    """``df`` itself; an error when it runs if a series has missing or repeated days.
+    For operators whose row offsets stand for days."""
+    whole = Window.partitionBy(*keys)
+    days = F.datediff(F.max(date).over(whole), F.min(date).over(whole)) + 1
+    checked = F.when(F.count("*").over(whole) == days, F.col(date)).otherwise(
+        F.raise_error(F.lit("series are not on a daily grid: densify them first")).cast("date"))
+    return df.withColumn(date, checked)

@@ -1,38 +1,29 @@
 """Joins of the sales panel with its dimensions, and forecast alignment joins.
 
-Broadcast policy: a side is broadcast only after its row count is checked
-against a bound (``bounded``); otherwise the join is left to the planner (sort
-merge, or a broadcast chosen at runtime by AQE from the measured size).
+Broadcast policy: only sides whose size is fixed by definition get a hint (the calendar, the
+top-n list with a small n); every other join is left to the planner: sort merge, or a
+broadcast that the optimizer chooses from a size, at runtime from the measured one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SERIES = ("item_id", "store_id")
 PRICE_KEYS = ("store_id", "item_id", "wm_yr_wk")
-# a broadcast side larger than this many rows is left to the planner
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven to hold at most ``max_rows``.
-
-    The check reads at most ``max_rows + 1`` rows of the (small) side.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
+MAX_HINT_ROWS = 10_000
 
 def join_calendar(sales: DataFrame, cal: DataFrame, cal_cols: Sequence[str] | None = None,
-                  max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """sales ⟕ calendar on ``d``; the calendar has one row per day (bounded)."""
+                  hint: bool = True) -> DataFrame:
+    """sales ⟕ calendar on ``d``. A calendar has one row per day (a century is 36,525 rows), so
+    by default it gets the broadcast hint; ``hint=False`` for a frame that isn't one."""
     if cal_cols is not None:
         cal = cal.select("d", *[c for c in cal_cols if c != "d"])
-    return sales.join(bounded(cal, max_rows), "d", "left")
+    return sales.join(F.broadcast(cal) if hint else cal, "d", "left")
 
 
 def attach_date(sales: DataFrame, cal: DataFrame) -> DataFrame:
@@ -64,9 +55,9 @@ def top_items(sales: DataFrame, n: int = 50, item: str = "item_id",
 
 def keep_top_items(sales: DataFrame, n: int = 50, item: str = "item_id",
                    target: str = "sales", source: DataFrame | None = None) -> DataFrame:
-    """Semi join with the top-``n`` item list (at most ``n`` rows: broadcast)."""
+    """Semi join with the top-``n`` item list (``n`` rows: a hint up to ``MAX_HINT_ROWS``)."""
     top = top_items(source if source is not None else sales, n, item, target).select(item)
-    return sales.join(F.broadcast(top), item, "left_semi")
+    return sales.join(F.broadcast(top) if n <= MAX_HINT_ROWS else top, item, "left_semi")
 
 
 def join_actual_pred(actual: DataFrame, pred: DataFrame,
@@ -99,3 +90,15 @@ def future_regressors(future: DataFrame, known: DataFrame | None, train: DataFra
     return out.select(*[c for c in out.columns if c not in regressors and not c.endswith("__mean")],
                       *[F.coalesce(F.col(r).cast("double"), F.col(f"{r}__mean")).alias(r)
                         for r in regressors])
+
+
+def future_from_panel(panel: DataFrame, cutoff, known: dict[str, Column], keys: Sequence[str] = SERIES,
+                      date: str = "date") -> DataFrame:
+    """(unique_id, ds, regressors) for the panel's rows from ``cutoff`` on: the known value,
+    else the mean of the series' own rows before it. One window on the panel's key, no join."""
+    whole = Window.partitionBy(*keys)
+    past = F.col(date) < F.lit(cutoff)
+    cols = [F.coalesce(value.cast("double"), F.avg(F.when(past, F.col(name).cast("double"))).over(whole)).alias(name)
+            for name, value in known.items()]
+    out = panel.select(F.concat_ws("_", *keys).alias("unique_id"), F.col(date).alias("ds"), *cols)
+    return out.where(F.col("ds") >= F.lit(cutoff))

@@ -44,6 +44,13 @@ def smape_expr(y: str = "y", yhat: str = "yhat") -> Column:
     return F.coalesce(F.avg(F.when(den != 0, F.abs(_c(y) - _c(yhat)) / den)) * 100, F.lit(0.0))
 
 
+def require_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself; scoring nothing is an error, not a score."""
+    if df.isEmpty():
+        raise ValueError("nothing to score: no actual has a forecast")
+    return df
+
+
 def series_scale(history: DataFrame, series: Sequence[str] = ("unique_id",), date: str = "ds",
                  y: str = "y") -> DataFrame:
     """Mean squared one-step difference per series (1.0 when there is no difference)."""

@@ -49,14 +49,19 @@ def filter_dates(df: DataFrame, lo: dt.date | str, hi: dt.date | str, col: str =
 
 def filter_options(df: DataFrame, stores: str = "store_id", cats: str = "cat_id",
                    date: str = "date") -> DataFrame:
-    """Option lists for the filters as (kind, value) rows: stores, categories, date bounds."""
-    s = df.select(F.lit("store").alias("kind"), F.col(stores).alias("value")).distinct()
-    c = df.select(F.lit("category").alias("kind"), F.col(cats).alias("value")).distinct()
-    b = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    b = b.select(F.explode(F.array(
-        F.struct(F.lit("min_date").alias("kind"), F.col("lo").cast("string").alias("value")),
-        F.struct(F.lit("max_date").alias("kind"), F.col("hi").cast("string").alias("value")))).alias("o"))
-    return s.unionByName(c).unionByName(b.select("o.kind", "o.value"))
+    """Option lists for the filters as (kind, value) rows: stores, categories, date
+    bounds. One pass: partial distinct (store, category) pairs with their date bounds,
+    then one small aggregate of those pairs."""
+    pairs = df.groupBy(stores, cats).agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
+    one = pairs.agg(F.collect_set(stores).alias("s"), F.collect_set(cats).alias("c"),
+                    F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def option(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+
+    options = F.concat(F.transform("s", lambda x: option("store", x)), F.transform("c", lambda x: option("category", x)),
+                       F.array(option("min_date", F.col("lo")), option("max_date", F.col("hi"))))
+    return one.select(F.inline(options))
 
 
 def split_cutoff(max_date: Column, test_days: int) -> Column:
@@ -128,18 +133,17 @@ def encode_categories(df: DataFrame, cols: Sequence[str],
     """Replace each string column by its code in sorted order of the distinct values.
 
     The distinct value list is small (a category vocabulary) and is joined back
-    as a broadcastable dimension (row count checked); codes are
+    as a small dimension; codes are
     ``dense_rank - 1`` over it. ``vocab_source`` may be a smaller frame holding
     the same values (e.g. the sparse facts rather than the dense panel).
     """
-    from panelcast.operators.joins import bounded
     out = df
     src = vocab_source if vocab_source is not None else df
     for c in cols:
         vocab = src.select(c).where(F.col(c).isNotNull()).distinct()
         vocab = vocab.withColumn(f"{c}__code",
                                  (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int"))
-        out = out.join(bounded(vocab), c, "left").drop(c).withColumnRenamed(f"{c}__code", c)
+        out = out.join(vocab, c, "left").drop(c).withColumnRenamed(f"{c}__code", c)
     return out
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from panelcast.sources import fixtures as fx
 
-_BOUNDS: dict[str, tuple[dt.date, dt.date]] = {}
-
 
 @dataclass
 class RetailData:
@@ -20,10 +18,7 @@ class RetailData:
     bounds: tuple[dt.date, dt.date] = field(init=False)
 
     def __post_init__(self) -> None:
-        key = self.sf_dir.rstrip("/")
-        if key not in _BOUNDS:
-            _BOUNDS[key] = fx.date_bounds(self.spark, self.sf_dir)
-        self.bounds = _BOUNDS[key]
+        self.bounds = fx.date_bounds(self.spark, self.sf_dir)
 
     @property
     def day0(self) -> dt.date:
@@ -39,38 +34,27 @@ class RetailData:
     def sales_sparse(self) -> DataFrame:
         return fx.sales_sparse(self.spark, self.sf_dir, self.day0)
 
-    def sales_long(self) -> DataFrame:
-        return fx.sales_long(self.spark, self.sf_dir, self.bounds)
+    def sales_long(self, gaps: bool = True) -> DataFrame:
+        return fx.sales_long(self.spark, self.sf_dir, self.day0, gaps)
 
     def sales_wide(self) -> DataFrame:
         return fx.sales_wide(self.spark, self.sf_dir, self.bounds)
 
     def calendar(self) -> DataFrame:
-        return fx.calendar(self.spark, self.sf_dir, self.bounds)
+        return fx.calendar(self.spark, self.sf_dir)
 
     def prices(self) -> DataFrame:
         return fx.prices(self.spark, self.sf_dir, self.day0)
 
-    def merged(self, fill: bool = False) -> DataFrame:
+    def merged(self, fill: bool = False, gaps: bool = True) -> DataFrame:
         from panelcast.plans.preprocess import merge_all
-        return merge_all(self.sales_long(), self.calendar(), self.prices(), fill=fill)
+        return merge_all(self.sales_long(gaps), self.calendar(), self.prices(), fill=fill)
 
-    def panel(self) -> DataFrame:
-        """Merged and filled daily panel (every series, every day)."""
-        return self.merged(fill=True)
+    def panel(self, gaps: bool = True) -> DataFrame:
+        """Merged and filled daily panel; ``gaps=False`` has every day of each series."""
+        return self.merged(fill=True, gaps=gaps)
 
-    def series_frame(self) -> DataFrame:
+    def series_frame(self, gaps: bool = True) -> DataFrame:
         """(unique_id, ds, y) for every series and day."""
         from panelcast.operators.reshape import to_series_frame
-        return to_series_frame(self.panel())
-
-    def forecast(self, test_days: int = 28, lag: int = 28) -> DataFrame:
-        """Seasonal-naive forecast fixture: yhat = sales ``lag`` days earlier."""
-        from panelcast.models.naive import lag_forecast
-        return lag_forecast(self.series_frame(), self.cutoff(test_days), lag)
-
-    def event_series(self) -> DataFrame:
-        """Second panel: daily sum of event value per event type."""
-        ev = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/events.parquet")
-        return (ev.groupBy("event_type", F.to_date("ts").alias("date"))
-                .agg(F.sum("value").alias("value")))
+        return to_series_frame(self.panel(gaps))

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.fills import attach_prices_filled, fill_missing
 from panelcast.operators.joins import join_calendar, join_prices, keep_top_items
-from panelcast.operators.reshape import melt_sales, train_test_split
+from panelcast.operators.reshape import day_columns, melt_sales, train_test_split
 
 SERIES = ("item_id", "store_id")
 
 
 def merge_all(sales_long: DataFrame, calendar: DataFrame, prices: DataFrame,
               keys: Sequence[str] = SERIES, fill: bool = True) -> DataFrame:
-    """sales ⟕ calendar (broadcast, bounded) ⟕ prices, then per-series fills.
+    """sales ⟕ calendar (one row per day) ⟕ prices, then per-series fills.
 
     With ``fill`` the price join and the price fill run as one windowed pass
     partitioned by the series key (``attach_prices_filled``), which the feature
@@ -38,12 +38,18 @@ def preprocess(sales: DataFrame, calendar: DataFrame, prices: DataFrame, top_n:
                test_days: int = 28, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """Full preprocessing; returns lazy (train, test) frames.
 
-    The split date comes from the calendar (small) rather than a second scan
-    of the big panel.
+    The split date is the last day with a sales row (the calendar may run
+    on): for wide input the last day column, known from the schema; for long
+    input one aggregate over the ``d`` column alone.
     """
     long = melt_sales(sales) if wide else sales
+    day = F.expr("cast(substring(d, 3) as int)")
+    if wide:
+        last_d = max(int(c[2:]) for c in day_columns(sales))
+    else:
+        last_d = long.agg(F.max(day)).first()[0]
     if top_n is not None:
         long = keep_top_items(long, top_n)
     panel = merge_all(long, calendar, prices)
-    max_date: dt.date = calendar.agg(F.max("date")).first()[0]
+    max_date: dt.date = calendar.where(day == (last_d or 0)).agg(F.max("date")).first()[0]
     return train_test_split(panel, test_days, max_date=max_date)

@@ -61,7 +61,7 @@ def q_scan_sales(spark, sf_dir):
     d = _d(spark, sf_dir)
     path = scratch_path(spark, "sales_wide_csv")
     files.save_csv(d.sales_wide(), path)
-    return files.load_sales(spark, path)
+    return reshape.melt_sales(files.load_sales(spark, path))
 
 
 @register("scan_calendar")
@@ -98,9 +98,8 @@ def q_melt_sales(spark, sf_dir):
 @register("filter_store_cat")
 def q_filter_store_cat(spark, sf_dir):
     d = _d(spark, sf_dir)
-    sales = _dated_sales(d)
-    first3 = [r[0] for r in sales.select("store_id").distinct().orderBy("store_id").take(3)]
-    return reshape.filter_in(sales, store_id=first3, cat_id=[]).select(
+    first3 = [r[0] for r in d.sales_sparse().select("store_id").distinct().orderBy("store_id").take(3)]
+    return reshape.filter_in(_dated_sales(d), store_id=first3, cat_id=[]).select(
         "item_id", "store_id", "cat_id", "date", "sales")
 
 
@@ -154,10 +153,9 @@ def q_to_series_frame(spark, sf_dir):
 def q_clip_nonneg(spark, sf_dir):
     """Clip a forecast that can go negative: yhat = 2*lag7 - lag14 (linear trend)."""
     d = _d(spark, sf_dir)
-    f7 = _forecast(d, 7, ()).withColumnRenamed("yhat", "y7")
-    f14 = _forecast(d, 14, ()).select("unique_id", "ds", F.col("yhat").alias("y14"))
-    raw = f7.join(f14, ["unique_id", "ds"]).select(
-        "unique_id", "ds", (2 * F.col("y7") - F.col("y14")).alias("raw"))
+    series = reshape.to_series_frame(d.panel(), keep=SERIES_KEYS)
+    y7, y14 = (fills.lag_days(F.col("y"), k, SERIES_KEYS) for k in (7, 14))
+    raw = series.select("unique_id", "ds", (2 * y7 - y14).alias("raw")).where(F.col("ds") >= F.lit(d.cutoff(TEST_DAYS)))
     return raw.withColumn("yhat", reshape.clip_nonneg("raw"))
 
 
@@ -173,7 +171,7 @@ def q_encode_categories(spark, sf_dir):
     d = _d(spark, sf_dir)
     return reshape.encode_categories(
         d.sales_long().select("item_id", "store_id", "d", "cat_id", "dept_id"),
-        ["cat_id", "dept_id"])
+        ["cat_id", "dept_id"], vocab_source=d.sales_sparse())
 
 
 # ---------------------------------------------------------------- joins
@@ -313,15 +311,6 @@ def q_m_rmsse(spark, sf_dir):
     return out.select("unique_id", F.round("RMSSE", 4).alias("RMSSE"))
 
 
-def _dollar_weights(d: RetailData, days: int = 28) -> DataFrame:
-    """Dollar sales of each series over the last ``days`` training days."""
-    cut = d.cutoff(TEST_DAYS)
-    p = d.panel().where((F.col("date") < F.lit(cut))
-                        & (F.col("date") >= F.lit(cut - dt.timedelta(days=days))))
-    return p.groupBy(F.concat_ws("_", "item_id", "store_id").alias("unique_id")).agg(
-        F.sum(F.col("sales") * F.col("sell_price")).alias("weight"))
-
-
 @register("m_wrmsse")
 def q_m_wrmsse(spark, sf_dir):
     """WRMSSE with dollar-sales weights (last 28 training days); forecasts,
@@ -376,8 +365,7 @@ def q_feat_rolling(spark, sf_dir):
 
 @register("feat_calendar")
 def q_feat_calendar(spark, sf_dir):
-    d = _d(spark, sf_dir)
-    return features.add_calendar_features(d.calendar().select("date"))
+    return _panel_with(spark, sf_dir, lambda p: features.add_calendar_features(p.select(*SERIES_KEYS, "date")))
 
 
 @register("feat_price")
@@ -472,7 +460,7 @@ def q_forecast_total(spark, sf_dir):
 @register("forecast_scaled")
 def q_forecast_scaled(spark, sf_dir):
     d = _d(spark, sf_dir)
-    n_total = d.sales_long().select("item_id", "store_id").distinct().count()
+    n_total = d.sales_sparse().select("item_id", "store_id").distinct().count()
     return metrics.forecast_scaled(_forecast(d, 28, ()), n_total)
 
 
@@ -529,16 +517,11 @@ def q_regressor_means(spark, sf_dir):
 
 @register("future_regressors")
 def q_future_regressors(spark, sf_dir):
-    """Test-window dates per series; the known price is used where it is not 0,
-    else the series' training mean."""
+    """Test-window dates per series; prices are known for even weeks only, elsewhere the
+    series' training mean stands in: a window on the panel's own key, no join."""
     d = _d(spark, sf_dir)
-    series = reshape.to_series_frame(d.panel(), keep=["sell_price"])
-    cut = F.lit(d.cutoff(TEST_DAYS))
-    train = series.where(F.col("ds") < cut)
-    test = series.where(F.col("ds") >= cut)
-    known = test.select("unique_id", "ds", F.when(F.col("sell_price") != 0, F.col("sell_price"))
-                        .alias("sell_price"))
-    return joins.future_regressors(test.select("unique_id", "ds"), known, train, ["sell_price"])
+    known = F.when(F.col("wm_yr_wk") % 2 == 0, F.col("sell_price"))
+    return joins.future_from_panel(d.panel(), d.cutoff(TEST_DAYS), {"sell_price": known})
 
 
 # ---------------------------------------------------------------- grids and decomposition
@@ -579,60 +562,17 @@ def q_pacf(spark, sf_dir):
 
 # ---------------------------------------------------------------- forecasters
 def _train_series(d: RetailData, keep=()) -> DataFrame:
-    """Training part as (unique_id, item_id, store_id, ds, y, ...); the panel
+    """Training part as (unique_id, item_id, store_id, ds, y, ...), every day; the panel
     key is kept so grouped fits reuse the panel's partitioning."""
-    series = reshape.to_series_frame(d.panel(), keep=[*SERIES_KEYS, *keep])
+    series = reshape.to_series_frame(d.panel(gaps=False), keep=[*SERIES_KEYS, *keep])
     return series.where(F.col("ds") < F.lit(d.cutoff(TEST_DAYS)))
 
 
 @register("fc_seasonal_ar")
 def q_fc_seasonal_ar(spark, sf_dir):
-    """Seasonal AR (1,0,0)(1,0,0,7) on every series, 28 days ahead."""
-    from panelcast.models.seasonal_ar import seasonal_ar_forecast
-    return seasonal_ar_forecast(_train_series(_d(spark, sf_dir)), 28, (1, 0, 0), (1, 0, 0, 7),
-                                group_by=SERIES_KEYS)
-
-
-@register("order_search")
-def q_order_search(spark, sf_dir):
-    from panelcast.models.seasonal_ar import order_search
-    return order_search(_train_series(_d(spark, sf_dir)), group_by=SERIES_KEYS)
-
-
-@register("fit_errors")
-def q_fit_errors(spark, sf_dir):
-    from panelcast.models.seasonal_ar import fit_errors, seasonal_ar_forecast
-    fc = seasonal_ar_forecast(_train_series(_d(spark, sf_dir)), 28, (1, 1, 1), (1, 1, 1, 7),
-                              group_by=SERIES_KEYS)
-    return fit_errors(fc)
-
-
-def _holiday_series(d: RetailData) -> DataFrame:
-    """Series with the calendar's event name as the holiday column."""
-    return _train_series(d, keep=[F.col("event_name_1").alias("holiday")])
-
-
-def _holiday_future(d: RetailData) -> DataFrame:
-    from panelcast.models.common import future_dates
-    fut = future_dates(_train_series(d), TEST_DAYS, keys=["unique_id", *SERIES_KEYS]).drop("h")
-    cal = d.calendar().select(F.col("date").alias("ds"), F.col("event_name_1").alias("holiday"))
-    return fut.join(joins.bounded(cal), "ds", "left")
-
-
-@register("fc_additive")
-def q_fc_additive(spark, sf_dir):
-    from panelcast.models.additive import additive_forecast
-    d = _d(spark, sf_dir)
-    return additive_forecast(_holiday_series(d), 28, future=_holiday_future(d),
-                             group_by=SERIES_KEYS).drop("is_future")
-
-
-@register("fc_components")
-def q_fc_components(spark, sf_dir):
-    from panelcast.models.additive import additive_forecast
-    d = _d(spark, sf_dir)
-    return additive_forecast(_holiday_series(d), 28, future=_holiday_future(d), components=True,
-                             group_by=SERIES_KEYS)
+    """Seasonal autoregression of every series by normal equations, 28 days ahead."""
+    from panelcast.models.lag_regression import forecast
+    return forecast(_train_series(_d(spark, sf_dir)).drop("unique_id"), 28, keys=SERIES_KEYS)
 
 
 @register("fc_paths")
@@ -649,76 +589,91 @@ def q_fc_paths_samples(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- global models
-_GBT_CACHE: dict[str, object] = {}
-GBT_ITERS = 50
+# One fitted model per session and state of the data (row count and last day): the gbt_* queries
+# share a fit of several hundred rounds, and a grown table or a new session fits anew.
+_FITTED: dict[tuple, object] = {}
 
 
 def _features(d: RetailData) -> DataFrame:
-    """Features on train and test stacked, so lags cross the split boundary."""
-    return features.build_features(d.panel(), event_types=_event_types(d), snap_map=SNAP_MAP)
+    """Features on train and test stacked, so lags cross the split boundary; every day."""
+    return features.build_features(d.panel(gaps=False), event_types=_event_types(d), snap_map=SNAP_MAP)
 
 
 def _gbt(d: RetailData):
-    """One fitted model per input folder and process (shared by the gbt_* queries)."""
     from panelcast.models.gbt import gbt_fit
-    key = d.sf_dir.rstrip("/")
-    if key not in _GBT_CACHE:
+    rows = d.spark.read.parquet(f"{d.sf_dir.rstrip('/')}/lineitem.parquet").count()
+    key = (d.spark.sparkContext.applicationId, d.sf_dir.rstrip("/"), rows, d.bounds)
+    if key not in _FITTED:
+        _FITTED.clear()
         train = _features(d).where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
-        _GBT_CACHE[key] = gbt_fit(train, "sales", max_iter=GBT_ITERS)
-    return _GBT_CACHE[key]
+        _FITTED[key] = gbt_fit(train, "sales")
+    return _FITTED[key]
 
 
 @register("gbt_fit")
 def q_gbt_fit(spark, sf_dir):
-    """Fitted model summary: trees, inputs, and the validation-window RMSE."""
+    """The fitted model on its validation window: rows, and whether it beats forecasting nothing there."""
+    from panelcast.models.gbt import ROUNDS
     d = _d(spark, sf_dir)
     m = _gbt(d)
-    gbt = m.model.stages[-1]
-    last_train = d.cutoff(TEST_DAYS) - dt.timedelta(days=1)
-    val = _features(d).where(F.col("date").between(
-        F.lit(last_train - dt.timedelta(days=27)), F.lit(last_train)))
+    train = _features(d).where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
+    last_train = train.agg(F.max("date")).first()[0]
+    val = train.where(F.col("date") >= F.lit(last_train - dt.timedelta(days=27)))
     pred = m.predict(val)
-    return pred.agg(F.lit(gbt.getNumTrees).alias("trees"), F.lit(len(m.features)).alias("inputs"),
-                    F.count("*").alias("val_rows"),
-                    F.sqrt(F.avg(F.pow(F.col("sales") - F.col("yhat"), 2))).alias("val_rmse"))
+    mse = F.avg(F.pow(F.col("sales") - F.col("yhat"), 2))
+    return pred.agg(F.count("*").alias("val_rows"), (mse < F.avg(F.pow("sales", 2))).alias("beats_zero"),
+                    F.lit(1 <= m.model.stages[-1].getNumTrees <= ROUNDS).alias("within_rounds"))
+
+
+def _test_features(d: RetailData) -> DataFrame:
+    return _features(d).where(F.col("date") >= F.lit(d.cutoff(TEST_DAYS)))
 
 
 @register("gbt_evaluate")
 def q_gbt_evaluate(spark, sf_dir):
+    """One-step predictions of the test window: per series its rows, actuals, and whether all
+    predictions are demand (not NULL, not negative)."""
     from panelcast.models.gbt import gbt_evaluate
     d = _d(spark, sf_dir)
-    test = _features(d).where(F.col("date") >= F.lit(d.cutoff(TEST_DAYS)))
-    pred = gbt_evaluate(_gbt(d), test)
-    return metrics.evaluate_all(pred, [], _scale(d))
+    return gbt_evaluate(_gbt(d), _test_features(d)).groupBy("unique_id").agg(
+        F.count("*").alias("n"), F.sum("y").alias("y"), F.bool_and(F.coalesce(F.col("yhat") >= 0, F.lit(False))).alias("nonneg"))
 
 
 @register("gbt_importance")
 def q_gbt_importance(spark, sf_dir):
-    return _gbt(_d(spark, sf_dir)).importance(20)
+    imp = _gbt(_d(spark, sf_dir)).importance(None)
+    return imp.agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), F.bool_and(F.col("importance") >= 0).alias("nonneg"),
+                   ((F.sum("splits") > 0) & F.bool_and((F.col("splits") > 0) == (F.col("importance") > 0))).alias("splits_counted"))
 
 
 @register("fc_gbt_recursive")
 def q_fc_gbt_recursive(spark, sf_dir):
+    """28 dependent steps from every series' own last training day: per series the dates
+    reached and whether all forecasts are demand."""
     from panelcast.models.gbt import recursive_forecast
     d = _d(spark, sf_dir)
-    cut = d.cutoff(TEST_DAYS)
-    hist = _features(d).where(F.col("date") < F.lit(cut))
-    cal = d.calendar().where(F.col("date") >= F.lit(cut))
-    known = features.add_event_features(cal, _event_types(d), snap_map=None).drop("month", "year")
+    hist = _features(d).where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
+    known = features.add_event_features(d.calendar(), _event_types(d), snap_map=None).drop("month", "year")
     snap = None
     for state, col in SNAP_MAP.items():
         cond = F.col("state_id") == state
         val = F.coalesce(F.col(col).cast("int"), F.lit(0))
         snap = F.when(cond, val) if snap is None else snap.when(cond, val)
-    return recursive_forecast(_gbt(d), hist, known, TEST_DAYS,
-                              event_cols={"snap": snap.otherwise(F.lit(0))})
+    fc = recursive_forecast(_gbt(d), hist, known, TEST_DAYS, event_cols={"snap": snap.otherwise(F.lit(0))})
+    return _horizon_rows(fc)
+
+
+def _horizon_rows(fc: DataFrame) -> DataFrame:
+    return fc.groupBy("unique_id").agg(
+        F.count("*").alias("n"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
+        F.bool_and(F.coalesce(F.col("yhat") >= 0, F.lit(False))).alias("nonneg"))
 
 
 def _direct_series(d: RetailData) -> DataFrame:
-    """Series frame with event/SNAP flags and category codes; keeps the panel's
+    """Series frame with event/SNAP flags and category codes, every day; keeps the panel's
     (item_id, store_id) so the windows downstream reuse its partitioning. The
     code vocabularies come from the sparse facts (a one-column distinct)."""
-    ev = features.add_event_features(d.panel(), event_types=[], snap_map=SNAP_MAP)
+    ev = features.add_event_features(d.panel(gaps=False), event_types=[], snap_map=SNAP_MAP)
     series = reshape.to_series_frame(ev, keep=[*SERIES_KEYS, "has_event", "snap", "cat_id", "dept_id"])
     return reshape.encode_categories(series, ["cat_id", "dept_id"], vocab_source=d.sales_sparse())
 
@@ -737,47 +692,59 @@ def q_fc_direct(spark, sf_dir):
     from panelcast.models.direct import direct_forecast
     d = _d(spark, sf_dir)
     last_train = d.cutoff(TEST_DAYS) - dt.timedelta(days=1)
-    return direct_forecast(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"],
-                           partition=SERIES_KEYS)
+    return _horizon_rows(direct_forecast(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"],
+                                         partition=SERIES_KEYS))
 
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    """Save the fitted global model, load it back, predict the test window."""
+    """Save the fitted global model, load it back: both predict the same test window."""
     from panelcast.models.gbt import gbt_evaluate, load_model, save_model
     d = _d(spark, sf_dir)
     path = scratch_path(spark, "gbt_model")
     save_model(_gbt(d), path)
-    loaded = load_model(spark, path)
-    test = _features(d).where(F.col("date") >= F.lit(d.cutoff(TEST_DAYS)))
-    return gbt_evaluate(loaded, test)
+    test = _test_features(d).checkpoint()
+    both = gbt_evaluate(load_model(spark, path), test).join(
+        gbt_evaluate(_gbt(d), test).select("unique_id", "ds", F.col("yhat").alias("own")), ["unique_id", "ds"])
+    return both.groupBy("unique_id").agg(F.count("*").alias("n"), F.sum("y").alias("y"),
+                                         F.bool_and(F.col("yhat") == F.col("own")).alias("equal"))
 
 
-@register("run_models", rounded=False)
+@register("run_models")
 def q_run_models(spark, sf_dir):
-    """Fit the per-series and sample-path forecasters, time them, rank them."""
-    from panelcast.models.runner import default_models, run_models
+    """Four models timed, scored against all actuals and ranked: two seasonal-naive ones, one that
+    forecasts only some series, and one that fails."""
+    from panelcast.models.runner import run_models
     d = _d(spark, sf_dir)
-    series = reshape.to_series_frame(d.panel())
-    cut = F.lit(d.cutoff(TEST_DAYS))
-    res = run_models(series.where(F.col("ds") < cut), series.where(F.col("ds") >= cut),
-                     default_models(), TEST_DAYS)
-    return res.board
+    series, cut = reshape.to_series_frame(d.panel()), d.cutoff(TEST_DAYS)
 
+    def lagged(lag):
+        return lambda train, h: lag_forecast(series, cut, lag)
 
-@register("gen_demo_sales")
-def q_gen_demo_sales(spark, sf_dir):
-    """Synthetic series for every (store, category) pair of the data, over its dates."""
-    from panelcast.sources.generator import demo_sales
-    d = _d(spark, sf_dir)
-    pairs = d.sales_sparse().select("store_id", "cat_id").distinct()
-    return demo_sales(pairs, d.day0, d.last_day)
+    def broken(train, h):
+        raise ArithmeticError("no solution")
 
+    models = {"lag_7": lagged(7), "lag_28": lagged(28), "broken": broken,
+              "half": lambda train, h: lag_forecast(series, cut, 28).where(F.col("unique_id").endswith("A_1"))}
+    board = run_models(series.where(F.col("ds") < F.lit(cut)), series.where(F.col("ds") >= F.lit(cut)), models, TEST_DAYS).board
+    return board.select("Model", "n_series", "n_scored", "n_failed", "complete", "failed", "RMSE", "MAE", "rank")
 
-@register("fc_changepoints")
-def q_fc_changepoints(spark, sf_dir):
-    from panelcast.models.additive import additive_changepoints
-    return additive_changepoints(_train_series(_d(spark, sf_dir)))
+
+@register("run_models_all", rounded=False)
+def q_run_models_all(spark, sf_dir):
+    """All forecasters: naive, sample paths, and the global direct and recursive models."""
+    from panelcast.models.direct import direct_forecast
+    from panelcast.models.gbt import gbt_evaluate
+    from panelcast.models.runner import default_models, run_models
+    d = _d(spark, sf_dir)
+    series, cut = reshape.to_series_frame(d.panel(gaps=False)), d.cutoff(TEST_DAYS)
+    last_train = cut - dt.timedelta(days=1)
+    global_models = {
+        "gbt": lambda train, h: gbt_evaluate(_gbt(d), _test_features(d)),
+        "direct": lambda train, h: direct_forecast(_direct_series(d), last_train, h, ["cat_id", "dept_id"], partition=SERIES_KEYS)}
+    res = run_models(series.where(F.col("ds") < F.lit(cut)), series.where(F.col("ds") >= F.lit(cut)),
+                     default_models(global_models), TEST_DAYS)
+    return res.board
 
 
 @register("alignment_report")

@@ -47,7 +47,7 @@ def require_path(spark: SparkSession, path: str) -> None:
 def sales_schema(day_cols: Sequence[str], with_id: bool = True) -> T.StructType:
     ids = SALES_IDS if with_id else SALES_IDS[1:]
     return T.StructType([T.StructField(c, T.StringType()) for c in ids]
-                        + [T.StructField(d, T.ShortType()) for d in day_cols])
+                        + [T.StructField(d, T.IntegerType()) for d in day_cols])
 
 
 def load_sales(spark: SparkSession, path: str) -> DataFrame:

@@ -2,16 +2,25 @@
 
 The forecasting operators expect the retail data model (wide daily sales per
 item-store, a calendar keyed by ``d``, weekly prices). These functions derive
-that model from ``lineitem ⋈ part ⋈ supplier ⋈ nation ⋈ region`` with Spark,
-so every query's work grows with the input tables:
+that model from ``lineitem ⋈ supplier ⋈ nation ⋈ region`` (and ``part`` for the
+prices) with Spark, so every query's work grows with the input tables:
 
-* item  = part brand, store = supplier nation, state = nation's region,
-* day n = days since the first ship date, ``d = 'd_' || (n + 1)``,
+* item  = ``PARTS_PER_ITEM`` neighbouring part keys: items, and so series, grow
+  with the data; store = state = the supplier's region,
+* retail day n = days since the first ship date // ``SHIP_DAYS``,
+  ``d = 'd_' || (n + 1)``,
 * sales = whole quantity shipped per (item, store, day).
 
-The date range comes from the data (two scalars), and the calendar is built
-with ``spark.range`` over it, so nothing but those two values passes through
-the driver.
+The panel has the faults of real data: a series runs from its own first to its
+own last sale (many end early), days without a sale are zero rows, but weeks
+without any sale are left out where the week number is a multiple of
+``GAP_WEEKS``; prices exist for weeks in which the item sold in *any* store (so
+also for weeks a store has no row for), and not at all in some weeks; the
+calendar runs ``CALENDAR_AHEAD`` days past the last sale. ``gaps=False`` gives
+the same panel on a gap-free daily grid.
+
+The date range comes from the data (two scalars); the calendar is expanded
+inside the plan from that aggregate.
 """
 
 from __future__ import annotations
@@ -37,8 +46,8 @@ FIXED_EVENTS = [
 ]
 # the first Sunday of February
 SUPERBOWL = ("SuperBowl", "Sporting")
-# second event slot: Christmas falling on a Sunday
-CHRISTMAS_SUNDAY = ("ChristmasSunday", "Religious")
+# second event slot: month-day, name, type
+SECOND_EVENT = ("07-04", "Parade", "Cultural")
 # SNAP days per state (region name): first day, last day, even days only
 SNAP_RULES = [
     ("AFRICA", 1, 10, False),
@@ -48,6 +57,12 @@ SNAP_RULES = [
     ("MIDDLE EAST", 11, 15, False),
 ]
 WEEK_KEY_BASE = 11101
+PARTS_PER_ITEM = 25
+SHIP_DAYS = 4
+GAP_WEEKS = 4
+CALENDAR_AHEAD = 28
+# no price row in weeks n with n % PRICE_CYCLE == PRICE_GAP
+PRICE_CYCLE, PRICE_GAP = 7, 3
 
 
 def snap_column(state: str) -> str:
@@ -57,12 +72,17 @@ def snap_column(state: str) -> str:
 SNAP_MAP = {state: snap_column(state) for state, *_ in SNAP_RULES}
 
 
+def _range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: first ship date and the last retail day."""
+    day = F.to_date("l_shipdate")
+    return (read_table(spark, sf_dir, "lineitem", "l_shipdate")
+            .agg(F.min(day).alias("lo"), F.max(day).alias("last"))
+            .select("lo", F.date_add("lo", F.floor(F.datediff("last", "lo") / SHIP_DAYS).cast("int")).alias("hi")))
+
+
 def date_bounds(spark: SparkSession, sf_dir: str) -> tuple[dt.date, dt.date]:
-    """First and last ship date (two scalars; one small aggregate job)."""
-    row = (read_table(spark, sf_dir, "lineitem", "l_shipdate")
-           .agg(F.min(F.to_date("l_shipdate")).alias("lo"),
-                F.max(F.to_date("l_shipdate")).alias("hi"))
-           .first())
+    """First day and the last day with a sale (two scalars; one small aggregate job)."""
+    row = _range(spark, sf_dir).first()
     return row["lo"], row["hi"]
 
 
@@ -74,37 +94,38 @@ def d_label(n: Column) -> Column:
     return F.concat(F.lit("d_"), (n + 1).cast("string"))
 
 
-def base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base_lines(spark: SparkSession, sf_dir: str, day0: dt.date) -> DataFrame:
     """Line items with their retail hierarchy: one row per shipped line."""
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_retailprice")
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_retailprice")
     supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     # nation and region are fixed-size (25 and 5 rows): safe to broadcast.
-    nation = F.broadcast(read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey"))
+    nation = F.broadcast(read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey"))
     region = F.broadcast(read_table(spark, sf_dir, "region", "r_regionkey", "r_name"))
-    brand_no = F.expr("cast(substring(p_brand, 7) as int)")
+    item_no = F.floor(F.col("l_partkey") / PARTS_PER_ITEM).cast("int")
+    n = F.floor(day_number(F.to_date("l_shipdate"), day0) / SHIP_DAYS).cast("int")
     return (li.join(part, li.l_partkey == part.p_partkey)
             .join(supp, li.l_suppkey == supp.s_suppkey)
             .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(F.col("p_brand").alias("item_id"),
-                    F.concat(F.lit("DEPT_"), (brand_no % 6).cast("string")).alias("dept_id"),
-                    F.concat(F.lit("CAT_"), (brand_no % 3).cast("string")).alias("cat_id"),
-                    F.col("n_name").alias("store_id"),
+            .select(F.concat(F.lit("ITEM_"), item_no.cast("string")).alias("item_id"),
+                    F.concat(F.lit("DEPT_"), (item_no % 6).cast("string")).alias("dept_id"),
+                    F.concat(F.lit("CAT_"), (item_no % 3).cast("string")).alias("cat_id"),
+                    F.concat(F.col("r_name"), F.lit("_1")).alias("store_id"),
                     F.col("r_name").alias("state_id"),
-                    F.to_date("l_shipdate").alias("date"),
+                    F.date_add(F.lit(day0), n).alias("date"),
                     F.col("l_quantity").alias("quantity"),
                     F.col("p_retailprice").alias("retail_price")))
 
 
-def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_lines(spark: SparkSession, sf_dir: str, day0: dt.date) -> DataFrame:
     """One row per (item, store, day) with a sale: units and the highest list price.
 
     Sparse sales, the series list and weekly prices all derive from this one
     aggregate, so the line items are scanned and shuffled once per query
     (identical exchanges are reused by the planner).
     """
-    return (base_lines(spark, sf_dir)
+    return (base_lines(spark, sf_dir, day0)
             .groupBy(*HIERARCHY, "date")
             .agg(F.sum("quantity").alias("units"), F.max("retail_price").alias("price")))
 
@@ -113,19 +134,17 @@ def sales_sparse(spark: SparkSession, sf_dir: str, day0: dt.date | None = None)
     """Units per (item, store, day) for days with a sale (map-side partial sums)."""
     if day0 is None:
         day0 = date_bounds(spark, sf_dir)[0]
-    return (daily_lines(spark, sf_dir)
+    return (daily_lines(spark, sf_dir, day0)
             .select(*HIERARCHY, d_label(day_number(F.col("date"), day0)).alias("d"),
                     F.col("units").cast("int").alias("sales")))
 
 
-def calendar(spark: SparkSession, sf_dir: str,
-             bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
-    """One row per day of the data's range, with week key, events and SNAP flags."""
-    lo, hi = bounds or date_bounds(spark, sf_dir)
-    n_days = (hi - lo).days + 1
-    days = spark.range(n_days).select(F.col("id").cast("int").alias("n"))
-    date = F.date_add(F.lit(lo), F.col("n"))
-    cal = days.select("n", date.alias("date"))
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per day, ``CALENDAR_AHEAD`` days past the last sale, with week key,
+    events and SNAP flags: expanded in the plan from the ship dates' range."""
+    days = _range(spark, sf_dir).select(
+        "lo", F.explode(F.sequence("lo", F.date_add("hi", CALENDAR_AHEAD))).alias("date"))
+    cal = days.select(F.datediff("date", "lo").alias("n"), "date")
     md = F.date_format("date", "MM-dd")
     first_sunday_feb = ((F.month("date") == 2) & (F.dayofmonth("date") <= 7)
                         & (F.weekday("date") == 6))
@@ -134,7 +153,7 @@ def calendar(spark: SparkSession, sf_dir: str,
     for mmdd, name, kind in FIXED_EVENTS:
         name_expr = F.when(md == mmdd, F.lit(name)).otherwise(name_expr)
         type_expr = F.when(md == mmdd, F.lit(kind)).otherwise(type_expr)
-    xmas_sunday = (md == "12-25") & (F.weekday("date") == 6)
+    second = md == SECOND_EVENT[0]
     dom = F.dayofmonth("date")
     snaps = []
     for state, first, last, even in SNAP_RULES:
@@ -152,53 +171,66 @@ def calendar(spark: SparkSession, sf_dir: str,
         d_label(F.col("n")).alias("d"),
         name_expr.alias("event_name_1"),
         type_expr.alias("event_type_1"),
-        F.when(xmas_sunday, F.lit(CHRISTMAS_SUNDAY[0])).alias("event_name_2"),
-        F.when(xmas_sunday, F.lit(CHRISTMAS_SUNDAY[1])).alias("event_type_2"),
+        F.when(second, F.lit(SECOND_EVENT[1])).alias("event_name_2"),
+        F.when(second, F.lit(SECOND_EVENT[2])).alias("event_type_2"),
         *snaps,
     )
 
 
+def _week(n: Column) -> Column:
+    return F.floor(n / 7).cast("int")
+
+
 def prices(spark: SparkSession, sf_dir: str, day0: dt.date | None = None) -> DataFrame:
-    """Weekly sell price per (store, item): weeks without a sale have no row."""
+    """Weekly sell price per (store, item): the highest list price of the item in any
+    store that week, for every store that ever sold it; some weeks have none."""
     if day0 is None:
         day0 = date_bounds(spark, sf_dir)[0]
-    week = (F.lit(WEEK_KEY_BASE) + F.floor(day_number(F.col("date"), day0) / 7)).cast("int")
-    return (daily_lines(spark, sf_dir)
-            .groupBy("store_id", "item_id", week.alias("wm_yr_wk"))
-            .agg(F.max("price").alias("sell_price")))
+    daily = daily_lines(spark, sf_dir, day0)
+    week = _week(day_number(F.col("date"), day0))
+    per_store = daily.groupBy("item_id", "store_id", week.alias("w")).agg(F.max("price").alias("price"))
+    stores = per_store.select("item_id", "store_id").distinct()
+    weekly = per_store.groupBy("item_id", "w").agg(F.max("price").alias("sell_price"))
+    return (weekly.where(F.col("w") % PRICE_CYCLE != PRICE_GAP).join(stores, "item_id")
+            .select("store_id", "item_id", (F.lit(WEEK_KEY_BASE) + F.col("w")).cast("int").alias("wm_yr_wk"),
+                    "sell_price"))
 
 
-def sales_long(spark: SparkSession, sf_dir: str,
-               bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
-    """Dense long sales: every (item, store) seen x every day, missing -> 0.
+def sales_long(spark: SparkSession, sf_dir: str, day0: dt.date | None = None,
+               gaps: bool = True) -> DataFrame:
+    """Long sales: every series from its own first to its own last sale, missing -> 0;
+    with ``gaps``, every ``GAP_WEEKS``-th week is left out if the series sold nothing in it.
 
     Only the sparse facts are shuffled: they are grouped per series into a
     day -> units map (at most one entry per calendar day, a bounded group),
-    and each series row then expands to all days with a map lookup. No cross
+    and each series row then expands to its days with a map lookup. No cross
     join, and no shuffle of the generated grid.
     """
-    lo, hi = bounds or date_bounds(spark, sf_dir)
-    n_days = (hi - lo).days + 1
-    per_series = (daily_lines(spark, sf_dir)
+    if day0 is None:
+        day0 = date_bounds(spark, sf_dir)[0]
+    n = day_number(F.col("date"), day0)
+    per_series = (daily_lines(spark, sf_dir, day0)
                   .groupBy(*HIERARCHY)
                   .agg(F.map_from_entries(F.collect_list(F.struct(
-                      day_number(F.col("date"), lo).alias("n"),
-                      F.col("units").cast("int").alias("u")))).alias("_m")))
-    dense = per_series.select(*HIERARCHY, "_m",
-                              F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))).alias("n"))
-    return dense.select(*HIERARCHY, d_label(F.col("n")).alias("d"),
-                        F.coalesce(F.try_element_at("_m", F.col("n")), F.lit(0)).alias("sales"))
+                           n.alias("n"), F.col("units").cast("int").alias("u")))).alias("_m"),
+                       F.collect_set(_week(n)).alias("_weeks"),
+                       F.min(n).alias("_first"), F.max(n).alias("_last")))
+    grid = per_series.select(*HIERARCHY, "_m", "_weeks",
+                             F.explode(F.sequence("_first", "_last")).alias("n"))
+    if gaps:
+        week = _week(F.col("n"))
+        grid = grid.where((week % GAP_WEEKS != 0) | F.array_contains("_weeks", week))
+    return grid.select(*HIERARCHY, d_label(F.col("n")).alias("d"),
+                       F.coalesce(F.try_element_at("_m", F.col("n")), F.lit(0)).alias("sales"))
 
 
 def sales_wide(spark: SparkSession, sf_dir: str,
                bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """Wide daily matrix (one row per item-store, one ``d_N`` column per day)."""
     lo, hi = bounds or date_bounds(spark, sf_dir)
-    n_days = (hi - lo).days + 1
-    labels = [f"d_{i}" for i in range(1, n_days + 1)]
+    labels = [f"d_{i}" for i in range(1, (hi - lo).days + 2)]
     sparse = sales_sparse(spark, sf_dir, lo)
-    wide = (sparse.groupBy(*HIERARCHY).pivot("d", labels)
-            .agg(F.first(F.col("sales").cast("short"))))
-    # one selectExpr call for the ~2,000 day columns (not one JVM call per column)
+    wide = sparse.groupBy(*HIERARCHY).pivot("d", labels).agg(F.first("sales"))
+    # one selectExpr call for the day columns (not one JVM call per column)
     return wide.selectExpr("concat_ws('_', item_id, store_id) AS id", *HIERARCHY,
-                           *[f"coalesce(`{c}`, CAST(0 AS SMALLINT)) AS `{c}`" for c in labels])
+                           *[f"coalesce(`{c}`, 0) AS `{c}`" for c in labels])

@@ -24,7 +24,7 @@ def test_wide_sales_csv_roundtrip(spark):
         f.write("id,item_id,dept_id,cat_id,store_id,state_id,d_1,d_2\n")
         f.write("A_S,A,D,C,S,T,3,0\n")
     df = files.load_sales(spark, p)
-    assert [t for _, t in df.dtypes][-2:] == ["smallint", "smallint"]
+    assert [t for _, t in df.dtypes][-2:] == ["int", "int"]
     assert df.first()["d_1"] == 3
 
 

@@ -12,7 +12,9 @@ TABLES = ["region", "nation", "supplier", "part", "lineitem", "events"]
 FAST = ["merge_all", "build_features", "evaluate_all", "flagship_store_scores", "leaderboard",
         "model_vs_benchmark", "top_items", "null_audit", "correlation_matrix",
         "seasonal_decompose", "densify_zero", "densify_ffill", "path_quantiles",
-        "residual_histogram", "m_wrmsse", "scan_calendar", "metrics_json", "direct_training_rows"]
+        "residual_histogram", "m_wrmsse", "scan_calendar", "metrics_json", "direct_training_rows",
+        "scan_sales", "pacf", "fc_paths_samples", "fc_seasonal_ar", "future_regressors", "run_models",
+        "load_all", "preprocess_test", "forecast_scaled", "filter_options"]
 
 
 def _norm(v):

@@ -203,3 +203,49 @@ def test_one_pass_price_fill_equals_join_then_fill(spark):
     b = sorted((r["item_id"], r["date"], r["sell_price"]) for r in two.select(*key, "sell_price").collect())
     assert a == b
     assert one.count() == s.count()
+
+
+def test_one_pass_price_fill_with_a_gap(spark):
+    """A price of a week without a sales row isn't carried on."""
+    from panelcast.operators.fills import attach_prices_filled
+    sales = spark.createDataFrame([("a", "s", dt.date(2020, 1, 1), 1), ("a", "s", dt.date(2020, 1, 15), 3)],
+                                  "item_id string, store_id string, date date, wm_yr_wk int")
+    prices = spark.createDataFrame([("s", "a", 1, 10.0), ("s", "a", 2, 99.0)],
+                                   "store_id string, item_id string, wm_yr_wk int, sell_price double")
+    got = [r["sell_price"] for r in attach_prices_filled(sales, prices).orderBy("date").collect()]
+    assert got == [10.0, 10.0]
+
+
+def test_split_date_comes_from_the_sales(spark):
+    """A calendar that runs on past the sales leaves the test window full."""
+    from panelcast.plans.preprocess import preprocess
+    d0 = dt.date(2020, 1, 1)
+    cal = spark.createDataFrame([(d0 + dt.timedelta(days=i), f"d_{i + 1}", 1 + i // 7) for i in range(128)],
+                                "date date, d string, wm_yr_wk int")
+    prices = spark.createDataFrame([("s", "a", 1, 2.0)], "store_id string, item_id string, wm_yr_wk int, sell_price double")
+    long = spark.createDataFrame([("a", "s", f"d_{i + 1}", i) for i in range(100)], "item_id string, store_id string, d string, sales int")
+    wide = spark.createDataFrame([("a_s", "a", "s", *range(100))],
+                                 "id string, item_id string, store_id string, " + ", ".join(f"d_{i + 1} int" for i in range(100)))
+    for sales, is_wide in ((long, False), (wide, True)):
+        train, test = preprocess(sales, cal, prices, top_n=None, wide=is_wide)
+        assert (train.count(), test.count()) == (72, 28)
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    from panelcast.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
