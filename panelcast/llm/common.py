@@ -26,10 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back (cuts lineage)."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that an operator needs only while it runs; removed when it is left."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str) -> str:
+        self.paths.append(scratch_path(self.spark, name))
+        return self.paths[-1]
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions_for(spark: SparkSession, amount: float, each: float) -> int:
     """Partitions so that each holds about ``each`` of ``amount``; never under the
     session's shuffle partitions, so a small input still uses every core."""
@@ -42,6 +66,17 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed: for blobs that go through a shuffle."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: pa.Scalar, dtype, n: int) -> np.ndarray:
+    """The ``n`` items of a packed array."""
+    size = n * np.dtype(dtype).itemsize
+    return np.frombuffer(pa.decompress(blob.as_buffer(), decompressed_size=size, codec="zstd"), dtype)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a null-free string column and its len+1 offsets."""
     if isinstance(column, pa.ChunkedArray):
