@@ -698,3 +698,11 @@ SELECT model AS Model, n_series, n_scored, n_series - n_scored AS n_failed, comp
 FROM c
 """)
 ORACLE["run_models"] = ORACLE["run_models"].replace("\n\n, actual AS", "\n, actual AS")
+
+# ---------------------------------------------------------------- sinks and readers
+ORACLE["leaderboard_csv"] = ORACLE["leaderboard"]
+sql("leaderboard_by_mae", *V, body=f"""
+SELECT *, CAST(row_number() OVER (ORDER BY MAE, Model) AS INTEGER) AS place FROM {BOARD} t
+""")
+ORACLE["insights_roundtrip"] = ORACLE["acf"]
+sql("forecast_fallback", "forecast", body="SELECT unique_id, ds, y, yhat FROM forecast")

@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelcast.models.naive import lag_forecast, lagged_paths
 from panelcast.operators import eda, features, fills, joins, metrics, reshape
@@ -440,6 +441,39 @@ def q_metrics_json(spark, sf_dir):
     return files.load_metrics(spark, json_dir=path)
 
 
+@register("leaderboard_csv")
+def q_leaderboard_csv(spark, sf_dir):
+    """The leaderboard exported as CSV and read back; the CSV wins over the JSON folder."""
+    path = scratch_path(spark, "leaderboard_csv")
+    files.save_csv(metrics.leaderboard(_board(_d(spark, sf_dir))).coalesce(1), path)
+    return files.load_metrics(spark, csv_path=path, json_dir=f"{path}-json")
+
+
+@register("leaderboard_by_mae")
+def q_leaderboard_by_mae(spark, sf_dir):
+    """The leaderboard under another sort key, with the place of each model (one row per model)."""
+    board = metrics.leaderboard(_board(_d(spark, sf_dir)), "MAE")
+    return board.withColumn("place", F.row_number().over(Window.orderBy("MAE", "Model")))
+
+
+@register("insights_roundtrip")
+def q_insights_roundtrip(spark, sf_dir):
+    """Insight tables written as one dataset each, one of them read back."""
+    folder = scratch_path(spark, "insights")
+    series = reshape.to_series_frame(_d(spark, sf_dir).panel())
+    acf_rows = eda.acf(series, nlags=40)
+    files.save_insights({"acf": acf_rows, "series": series.groupBy("unique_id").agg(F.count("*").alias("n"))}, folder)
+    return files.load_insight(spark, folder, "acf")
+
+
+@register("forecast_fallback")
+def q_forecast_fallback(spark, sf_dir):
+    """The first location that exists of an ordered list of forecast folders."""
+    path = scratch_path(spark, "forecast_fallback")
+    files.save_table(_forecast(_d(spark, sf_dir), 28, ()), path)
+    return files.load_first(spark, [f"{path}-newer", f"{path}-new", path])
+
+
 @register("model_vs_benchmark")
 def q_model_vs_benchmark(spark, sf_dir):
     pred, scale = _board_parts(_d(spark, sf_dir), (7, 28))

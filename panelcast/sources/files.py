@@ -183,6 +183,11 @@ def save_insights(tables: dict[str, DataFrame], folder: str) -> None:
         save_table(df, f"{folder.rstrip('/')}/{name}")
 
 
+def load_insight(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One insight table written by ``save_insights``."""
+    return load_table(spark, f"{folder.rstrip('/')}/{name}")
+
+
 # The input file names of the retail data folder
 SALES_FILE = "sales_train_evaluation.csv"
 CALENDAR_FILE = "calendar.csv"
