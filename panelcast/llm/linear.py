@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+CHUNK = 500_000  # entries at once: the temporaries stay small beside the rows
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * np.clip(z, -60, 60)))
@@ -17,10 +19,26 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.nda
     w, b = np.zeros(n_features), 0.0
     if n == 0:
         return w, b
+
+    def by_row(of_cols: np.ndarray | None, magnitude: bool = False) -> np.ndarray:
+        """Sum over a row's entries of value (or its magnitude) times the column's number, a chunk at a time."""
+        out = np.zeros(n)
+        for k in range(0, len(rows), CHUNK):
+            v = np.abs(vals[k:k + CHUNK]) if magnitude else vals[k:k + CHUNK]
+            out += np.bincount(rows[k:k + CHUNK], v if of_cols is None else v * of_cols[cols[k:k + CHUNK]], n)
+        return out
+
+    def by_col(of_rows: np.ndarray, magnitude: bool = False) -> np.ndarray:
+        out = np.zeros(n_features)
+        for k in range(0, len(rows), CHUNK):
+            v = np.abs(vals[k:k + CHUNK]) if magnitude else vals[k:k + CHUNK]
+            out += np.bincount(cols[k:k + CHUNK], v * of_rows[rows[k:k + CHUNK]], n_features)
+        return out
+
     base = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
     b = float(np.log(base / (1 - base)))
-    width = np.bincount(rows, np.abs(vals), n) + 1.0
-    step = 1.0 / (0.25 * np.bincount(cols, np.abs(vals) * (width * weight)[rows], n_features) + l2)
+    width = by_row(None, magnitude=True) + 1.0
+    step = 1.0 / (0.25 * by_col(width * weight, magnitude=True) + l2)
     step_b = 1.0 / (0.25 * (width * weight).sum())
     prev, prev_b, t = w.copy(), b, 1.0
     for _ in range(steps):
@@ -28,7 +46,7 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.nda
         m = (t - 1) / t2
         look, look_b = w + m * (w - prev), b + m * (b - prev_b)
         prev, prev_b, t = w, b, t2
-        err = weight * (sigmoid(np.bincount(rows, vals * look[cols], n) + look_b) - y)
-        w = look - step * (np.bincount(cols, vals * err[rows], n_features) + l2 * look)
+        err = weight * (sigmoid(by_row(look) + look_b) - y)
+        w = look - step * (by_col(err) + l2 * look)
         b = look_b - step_b * err.sum()
     return w, float(b)

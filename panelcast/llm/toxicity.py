@@ -229,10 +229,12 @@ def _fit_sample(sample: DataFrame) -> ToxicityModel:
     rows = (sample.mapInArrow(rows_of, "id string, label int, features array<int>")
             .groupBy("label", "features").agg(F.count("*").cast("double").alias("n"), F.min("id").alias("id"))
             .toArrow().sort_by([("id", "ascending"), ("label", "ascending")]))
+    y, weight = rows.column("label").to_numpy().astype(np.float64), rows.column("n").to_numpy()
     features = rows.column("features").combine_chunks()
-    per, cols = np.diff(features.offsets.to_numpy()), features.values.to_numpy()
-    w, bias = fit_logistic(np.repeat(np.arange(rows.num_rows, dtype=np.int32), per), cols, ratio.astype(np.float32)[cols],
-                           rows.column("label").to_numpy().astype(np.float64), rows.column("n").to_numpy(), len(keys))
+    per, cols = np.diff(features.offsets.to_numpy()), features.values.to_numpy().copy()
+    del rows, features
+    pa.default_memory_pool().release_unused()
+    w, bias = fit_logistic(np.repeat(np.arange(len(y), dtype=np.int32), per), cols, ratio.astype(np.float32)[cols], y, weight, len(keys))
     return ToxicityModel(keys, w * ratio, bias)
 
 
