@@ -32,6 +32,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
@@ -40,8 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import saved
-from panelcast.session import scratch_path
+from panelcast.llm.common import Scratch, saved
 
 ARCHIVE_BYTES = 8_000_000
 KEY_HEADER = "X-Record-Key"
@@ -159,7 +159,7 @@ def write_arc(pages: DataFrame, path: str, key_col: str = "page_id", uri_col: st
                     name = f"part-{made}.arc"
                     parts.append(version_block(version, name))
                     size = len(parts[0])
-                moment = _EPOCH + timedelta(seconds=hash(key or 0) % 500_000_000)
+                moment = _EPOCH + timedelta(seconds=zlib.crc32(str(key).encode()) % 500_000_000)
                 uri = re.sub(r"[\r\n]+", "", uri) or "about:blank"
                 parts.append(arc_record(version, name, uri, key, moment.strftime("%Y%m%d%H%M%S"), payload, size))
                 size += len(parts[-1]) + 1
@@ -238,7 +238,12 @@ def to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
                      enumerate((pa.string(), pa.int32(), pa.int64(), pa.string()))], ["name", "number", "key", "digest"])
 
     # a small table of what the archives hold, read twice below
-    records = saved(archives.mapInArrow(listed, "name string, number int, key long, digest string"), "arc-records")
+    with Scratch(spark) as scratch:
+        listing = archives.mapInArrow(listed, "name string, number int, key long, digest string")
+        _convert(archives, scratch.saved(listing, "arc-records"), warc_path)
+
+
+def _convert(archives: DataFrame, records: DataFrame, warc_path: str) -> None:
     kept = (records.groupBy("digest").agg(F.max(F.struct("key", "name", "number")).alias("kept"), F.count("*").alias("n"))
             .where("n > 1").select("digest", "kept"))
     repeats = (records.join(kept, "digest")
@@ -305,10 +310,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame, key_col: str = "page_id", min_bytes: int = 0) -> DataFrame:
     """Write ARC files of ``pages``, convert them to WARC, read those: one row per page."""
     spark = pages.sparkSession
-    arc_path, warc_path = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, arc_path, key_col)
-    to_warc(spark, arc_path, warc_path, min_bytes)
-    records = saved(read_warc(spark, warc_path), "warc-records")
+    with Scratch(spark) as scratch:
+        arc_path, warc_path = scratch.path("arc"), scratch.path("warc")
+        write_arc(pages, arc_path, key_col)
+        to_warc(spark, arc_path, warc_path, min_bytes)
+        records = saved(read_warc(spark, warc_path), "warc-records")
     targets = (records.where("record_type <> 'revisit'")
                .select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to")))
     return records.join(targets, "refers_to_id", "left").select(
