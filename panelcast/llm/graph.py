@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import saved
+from panelcast.llm.common import Scratch
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,13 +32,14 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
+    Valid while ``scratch`` is.
 
     Each partition first reduces its own edges to stars (never more rows than nodes), then the
     two star steps alternate until nothing changes: a number of rounds that grows with the
     logarithm of the longest path. Every round is written to the shared folder."""
-    stars = saved(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long").distinct(), "stars")
+    stars = scratch.saved(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long").distinct(), "stars")
     before = None
     while True:
         # large-star: a node's larger neighbours go to its smallest one
@@ -51,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                              F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        stars = saved(small, "stars")
+        stars = scratch.saved(small, "stars")
         state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

@@ -12,14 +12,19 @@ A document's set holds its distinct n-word shingles (64-bit hashes). Two sets li
    ordered by set size and position; the partners of an entry lie in one window of sizes, which is walked
    block by block: blocks beyond the window and blocks of one group (see 3) are skipped whole. A pair
    stays only if the positions of one of its shared shingles leave enough shingles after it.
-3. Answers from answers. First each set is checked with its likeliest neighbours in the lists (the one
+3. Answers from answers. First each set is checked with its likeliest neighbour in the lists (the one
    that it most often stands beside). The links so far form groups of highly similar sets; for sets of one
-   group the answer follows, and all their pairs in all lists are skipped. Only pairs over group borders are
+   group the answer follows, and all their pairs in all lists are skipped. Up to ``ROUNDS`` times more, each set is
+   checked with its likeliest neighbour of another group, which makes groups of copies grow together in a row
+   per copy. Then *all* pairs over the remaining borders are
    gathered, with the number of prefix shingles they share, and dropped where that number bounds the
-   intersection below the threshold; the others are checked. So links are found for every
-   component, while a group of thousands of copies costs a row per copy, not per pair.
-4. A check intersects the two whole sets, which are made anew from the texts of the documents concerned
-   (picked in the scan by a fixed-size Bloom filter, then joined by id).
+   intersection below the threshold; the others are checked. So no link between components is missed, while
+   a group of thousands of copies costs some rows per copy, not a row per pair. In lists of ``LONG_LIST`` entries
+   and more each set brings its parity bitmap (a bit or two per shingle): two bitmaps differ in at most as many
+   places as their sets, so most pairs that don't link end in the list's own task.
+4. A check compares the bitmaps of all pairs, then finer ones, made from the texts of the documents
+   concerned (picked in the scan by a fixed-size Bloom filter); the few pairs that these admit intersect their whole
+   sets. So sets, eight bytes a shingle, travel hardly further than the links that they prove.
 
 No step collects rows to the driver; joins by id are skew-split by Spark, since only plain rows with unique
 keys stand on one side. Work on one list grows with the square of its *groups*, not of its sets.
@@ -36,17 +41,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import mix64, partitions_for, saved, slices, string_buffers, text_bytes
+from panelcast.llm.common import Scratch, distinct, mix64, partitions_for, saved, slices, string_buffers, text_bytes
 from panelcast.llm.graph import components, id_bitmap, maybe_in
 from panelcast.llm.shingles import shingle_hashes, unique_sets
 
 MAX_SKETCH_BITS = 26
 SEGMENT = 1 << 14
 BUCKET_BYTES = 24_000_000
+LEAST_BUCKETS = 64
 BLOCK = 64
+LONG_LIST = 16
+ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -117,8 +126,22 @@ def ordered_sets(buf: np.ndarray, offs: np.ndarray, n: int, classes: np.ndarray)
 
 # ---- representatives and lists ---------------------------------------------------------------
 
+def parity(keys: np.ndarray, times: int = 1) -> bytes:
+    """A set's parity bitmap, of a power of two of ``times`` to twice as many bits per shingle (64 at least)."""
+    width = max(64, 1 << int(times * len(keys) - 1).bit_length())
+    return np.packbits((np.bincount((keys & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) folded to ``width`` bytes."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _described(texts: DataFrame, rule: Rule, held) -> DataFrame:
-    """(id, size, f1, f2, prefix) of every document."""
+    """(id, size, f1, f2, prefix, bits) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = held.value
         for batch in batches:
@@ -132,10 +155,11 @@ def _described(texts: DataFrame, rule: Rule, held) -> DataFrame:
                     [batch.column("id").slice(i, j - i), pa.array(size.astype(np.int32)),
                      pa.array([int(x.sum().view(np.int64)) if len(x) else 0 for x in mixed], pa.int64()),
                      pa.array([int(np.bitwise_xor.reduce(x * x | np.uint64(1)).view(np.int64)) if len(x) else 0 for x in mixed], pa.int64()),
-                     pa.array([x[:p].tobytes() if len(x) else None for x, p in zip(sets, prefix, strict=True)], pa.binary())],
-                    ["id", "size", "f1", "f2", "prefix"])
+                     pa.array([x[:p].tobytes() if len(x) else None for x, p in zip(sets, prefix, strict=True)], pa.binary()),
+                     pa.array([parity(x) if len(x) else None for x in mixed], pa.binary())],
+                    ["id", "size", "f1", "f2", "prefix", "bits"])
 
-    return texts.mapInArrow(run, "id long, size int, f1 long, f2 long, prefix binary")
+    return texts.mapInArrow(run, "id long, size int, f1 long, f2 long, prefix binary, bits binary")
 
 
 _ENTRY = np.dtype([("token", "<u8"), ("rep", "<i8"), ("size", "<i4"), ("pos", "<i4"), ("last", "<u4")])
@@ -205,36 +229,94 @@ def _neighbours(lists: DataFrame, rule: Rule) -> DataFrame:
     return likeliest.select(F.least(F.col("a"), -F.col("m.b")).alias("a"), F.greatest(F.col("a"), -F.col("m.b")).alias("b")).distinct()
 
 
-def _across(lists: DataFrame, groups: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """(a, b): all pairs of different groups whose sets can still link."""
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(lists: DataFrame) -> DataFrame:
+    """(rep, bucket, long): where each set stands, and whether in a long list there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column("entries"):
+            for bucket, blob in zip(batch.column("bucket"), batch.column("entries"), strict=True):
                 e = np.frombuffer(blob.as_buffer(), _ENTRY)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(e["token"].view(np.int64) if e["token"].flags.c_contiguous else e["token"].copy().view(np.int64)),
-                     *(pa.array(np.ascontiguousarray(e[c]).astype(t)) for c, t in
-                       (("rep", np.int64), ("size", np.int32), ("pos", np.int32), ("last", np.int64)))],
-                    ["token", "rep", "size", "pos", "last"])
-
-    rows = lists.mapInArrow(entries, "token long, rep long, size int, pos int, last long")
-    labelled = (rows.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-                .select("token", "rep", "size", "pos", "last", F.coalesce("component", "rep").alias("own"))
-                .withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))))
-
+                length = np.diff(np.append(_starts(e["token"]), len(e)))
+                both = distinct(e["rep"].astype(np.int64) << 1 | np.repeat(length >= LONG_LIST, length))
+                yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array([bucket.as_py()] * len(both), pa.int32()),
+                                                  pa.array((both & 1).astype(bool))], ["rep", "bucket", "long"])
+
+    return (lists.mapInArrow(run, "rep long, bucket int, long boolean")
+            .groupBy("rep", "bucket").agg(F.bool_or("long").alias("long")))
+
+
+def _starts(token: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+
+
+def _gathered(static: DataFrame, places: DataFrame, groups: DataFrame) -> DataFrame:
+    """A bucket's lists and bitmaps with the groups of its sets; only the groups change between rounds."""
+    own = places.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("own")), "rep")
+    return static.withColumn("own", F.lit(None).cast("long")).unionByName(own.select(
+        "bucket", F.lit(None).cast("binary").alias("entries"), "rep", F.lit(None).cast("binary").alias("bits"), "own"))
+
+
+def _columns(group: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's entries in list order; where its lists start, their lengths, and each entry's list."""
+    e = [np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("entries") if x.is_valid]
+    e = np.concatenate(e) if e else np.empty(0, _ENTRY)
+    c = {name: np.ascontiguousarray(e[name]) for name in ("token", "rep", "size", "pos", "last")}
+    c["rep"] = c["rep"].astype(np.int64)
+    labels = group.filter(pc.is_valid(group.column("own")))
+    node, own = labels.column("rep").to_numpy(), labels.column("own").to_numpy()
+    order = np.argsort(node)
+    node, own = node[order], own[order]
+    c["own"] = c["rep"].copy()
+    if len(node):
+        at = np.minimum(np.searchsorted(node, c["rep"]), len(node) - 1)
+        c["own"] = np.where(node[at] == c["rep"], own[at], c["rep"])
+    maps = group.filter(pc.is_valid(group.column("bits")))
+    bits = {r.as_py(): np.frombuffer(x.as_buffer(), np.uint8) for r, x in zip(maps.column("rep"), maps.column("bits"), strict=True)}
+    order = np.lexsort((c["rep"], c["pos"], c["size"], c["token"]))
+    c = {k: v[order] for k, v in c.items()}
+    c["bits"] = np.empty(len(e), object)
+    c["bits"][:] = [bits.get(r) for r in c["rep"].tolist()]
+    start = _starts(c["token"])
+    length = np.diff(np.append(start, len(e)))
+    return c, start, length, np.repeat(np.arange(len(start)), length)
+
+
+def _likely_across(gathered: DataFrame, tried: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): each set with the one of another group that it seems to share most with: in long lists by
+    their bitmaps; in short ones, where standing side by side counts for the list's length, among
+    pairs that seem to share most of their prefixes."""
+    def likely(key: tuple, group: pa.Table) -> pa.Table:
+        c, start, length, at = _columns(group)
+        ok = np.flatnonzero((at[1:] == at[:-1]) & (c["own"][1:] != c["own"][:-1]) & (length[at[1:]] < LONG_LIST))
+        si = c["size"][ok].astype(np.int64)
+        near = si * 100 >= c["size"][ok + 1].astype(np.int64) * rule.percent
+        i, j, n, prefix = [ok[near]], [ok[near] + 1], [np.maximum(length[at[ok[near]]] // 2, 1)], [rule.prefix(si[near])]
+        for k in np.flatnonzero(length >= LONG_LIST):
+            x, y, spare = _best_in_long_list({name: v[start[k]:start[k] + length[k]] for name, v in c.items()}, rule)
+            i.append(x + start[k])
+            j.append(y + start[k])
+            prefix.append(rule.prefix(c["size"][i[-1]].astype(np.int64)))
+            n.append(prefix[-1] + spare)
+        i, j = np.concatenate(i), np.concatenate(j)
+        return pa.table({"a": np.minimum(c["rep"][i], c["rep"][j]), "b": np.maximum(c["rep"][i], c["rep"][j]),
+                         "n": np.concatenate(n), "prefix": np.concatenate(prefix)})
+
+    pairs = (gathered.groupBy("bucket").applyInArrow(likely, "a long, b long, n long, prefix long")
+             .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("prefix").alias("prefix"))
+             .where("n * 5 >= prefix * 3").join(tried, ["a", "b"], "left_anti"))
+    each = pairs.select("a", "b", "n").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    best = each.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m"))
+    return best.select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).distinct()
+
+
+def _across(gathered: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): all pairs of different groups whose sets can still link."""
     def pairs(key: tuple, group: pa.Table) -> pa.Table:
-        c = {name: group.column(name).to_numpy() for name in ("token", "rep", "size", "pos", "last", "own")}
-        order = np.lexsort((c["rep"], c["pos"], c["size"], c["token"]))
-        c = {k: v[order] for k, v in c.items()}
-        token = c["token"]
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        length = np.diff(np.append(start, len(token)))
+        c, start, length, lists_at = _columns(group)
         # a list within one group has nothing to ask
-        lists_at = np.repeat(np.arange(len(start)), length)
         mixed = np.zeros(len(start), bool)
         mixed[lists_at[c["own"] != c["own"][start][lists_at]]] = True
         found = [np.empty((0, 4), np.int64)]
-        short = mixed & (length <= BLOCK)
+        short = mixed & (length < LONG_LIST)
         if short.any():
             found.append(_short_lists(c, start, length, lists_at, short, rule))
         for k in np.flatnonzero(mixed & ~short):
@@ -247,7 +329,7 @@ def _across(lists: DataFrame, groups: DataFrame, rule: Rule, buckets: int) -> Da
         return pa.table({"a": a[new], "b": b[new], "margin": margin[new], "n": np.diff(np.append(new, len(a))), "fits": total})
 
     # a pair's shared prefix shingles over all lists, against the least number that can suffice
-    return (labelled.groupBy("bucket").applyInArrow(pairs, "a long, b long, margin long, n long, fits long")
+    return (gathered.groupBy("bucket").applyInArrow(pairs, "a long, b long, margin long, n long, fits long")
             .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("margin").alias("margin"), F.sum("fits").alias("fits"))
             .where("n >= margin and fits > 0").select("a", "b"))
 
@@ -283,52 +365,113 @@ def _short_lists(c: dict, start: np.ndarray, length: np.ndarray, lists_at: np.nd
     return np.concatenate(out) if out else np.empty((0, 4), np.int64)
 
 
-def _long_list(c: dict, rule: Rule) -> list[np.ndarray]:
-    """A long list, block against block: a block of larger sizes than the window ends the walk; blocks of
-    one group are skipped."""
-    out, n = [], len(c["rep"])
+def _block_pairs(c: dict, rule: Rule) -> Iterator[tuple[int, int, np.ndarray]]:
+    """A long list, block against block: where two blocks start, and for each of their pairs how many places
+    its bitmaps could still differ in if it links (negative: it doesn't). A block of larger sizes than the
+    window ends the walk; blocks of one group are skipped."""
+    n = len(c["rep"])
     cuts = np.arange(0, n, BLOCK)
-    low = c["size"][cuts].astype(np.int64)
-    top = c["size"][np.minimum(cuts + BLOCK, n) - 1].astype(np.int64)
+    size = c["size"].astype(np.int64)
+    low, top = size[cuts], size[np.minimum(cuts + BLOCK, n) - 1]
     own_low, own_high = np.minimum.reduceat(c["own"], cuts), np.maximum.reduceat(c["own"], cuts)
+    bits = []
+    for x in cuts:
+        rows = c["bits"][x:x + BLOCK]
+        width = min(len(r) for r in rows)
+        bits.append(np.stack([folded(r, width) for r in rows]))
     for x in range(len(cuts)):
         for y in range(x, len(cuts)):
             if top[x] * 100 < low[y] * rule.percent:
                 break
             if own_low[x] == own_high[x] == own_low[y] == own_high[y]:
                 continue
-            i, j = np.meshgrid(np.arange(cuts[x], min(cuts[x] + BLOCK, n)), np.arange(cuts[y], min(cuts[y] + BLOCK, n)), indexing="ij")
-            i, j = i.ravel(), j.ravel()
-            if x == y:
-                i, j = i[i < j], j[i < j]
-            out.append(_pair_rows(c, i, j, rule))
+            width = min(bits[x].shape[1], bits[y].shape[1])
+            u, v = (folded(bits[k], width).copy().view(np.uint64) for k in (x, y))
+            apart = np.bitwise_count(u[:, None, :] ^ v[None, :, :]).sum(2, dtype=np.int64)
+            si, sj = size[cuts[x]:cuts[x] + len(u), None], size[None, cuts[y]:cuts[y] + len(v)]
+            yield cuts[x], cuts[y], si + sj - 2 * rule.needed(si, sj) - apart
+
+
+def _long_list(c: dict, rule: Rule) -> list[np.ndarray]:
+    out = []
+    for x, y, spare in _block_pairs(c, rule):
+        i, j = np.nonzero(spare >= 0)
+        i, j = i + x, j + y
+        if x == y:
+            i, j = i[i < j], j[i < j]
+        out.append(_pair_rows(c, i, j, rule))
     return out
 
 
+def _best_in_long_list(c: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, partner, spare places): each entry with the closest one of another group that can link."""
+    n = len(c["rep"])
+    best, partner = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    for x, y, spare in _block_pairs(c, rule):
+        rows, cols = spare.shape
+        spare = np.where(c["own"][x:x + rows, None] == c["own"][None, y:y + cols], -1, spare)
+        for first, other, table in ((x, y, spare), (y, x, spare.T)):
+            at = table.argmax(1)
+            top = table[np.arange(len(table)), at]
+            better = np.flatnonzero(top > best[first:first + len(table)])
+            best[first + better], partner[first + better] = top[better], at[better] + other
+    some = np.flatnonzero(best >= 0)
+    return some, partner[some], best[some]
+
+
 # ---- checks ----------------------------------------------------------------------------------
 
-def _sets_of(texts: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """(id, keys) of the documents in ``ids``: whole sets as sorted hashes."""
+def _picked(frame: DataFrame, ids: DataFrame, make, shape: str) -> DataFrame:
+    """``make`` of the batches of ``frame`` with the rows whose id is in ``ids`` (and perhaps a few more, by
+    a Bloom filter of a fixed size): nothing is shuffled."""
     bits = int(np.clip(np.ceil(np.log2(max(ids.count(), 1) * 32)), 16, 27))
-    held = texts.sparkSession.sparkContext.broadcast(id_bitmap(ids, "id", bits))
+    held = frame.sparkSession.sparkContext.broadcast(id_bitmap(ids, "id", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(maybe_in(held.value, batch.column("id").to_numpy())))
-            buf, offs = string_buffers(batch.column("text"))
-            for i, j in slices(offs):
-                h, doc = shingle_hashes(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], rule.n)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i),
-                                                  pa.array([x.tobytes() for x in unique_sets(h, doc, j - i)], pa.binary())],
-                                                 ["id", "keys"])
+            yield from make(batch.filter(pa.array(maybe_in(held.value, batch.column("id").to_numpy()))))
+
+    return frame.mapInArrow(run, shape)
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """(rep, size, bits, keys) of the documents in ``ids``: whole sets as sorted hashes, and bitmaps of four to eight
+    bits per shingle."""
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        buf, offs = string_buffers(batch.column("text"))
+        for i, j in slices(offs):
+            h, doc = shingle_hashes(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], rule.n)
+            sets = unique_sets(h, doc, j - i)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").slice(i, j - i), pa.array([len(x) for x in sets], pa.int32()),
+                 pa.array([parity(mix64(x), 4) if len(x) else b"\0" * 8 for x in sets], pa.binary()),
+                 pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "size", "bits", "keys"])
+
+    return _picked(texts, ids, make, "rep long, size int, bits binary, keys binary")
+
+
+def _can_link(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose bitmaps don't rule a link out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = batch.column("m").to_numpy().astype(np.int64), batch.column("n").to_numpy().astype(np.int64)
+            most = m + n - 2 * rule.needed(m, n)
+            good = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                u, v = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                width = min(len(u), len(v))
+                good[k] = np.bitwise_count((folded(u, width) ^ folded(v, width)).view(np.uint64)).sum() <= most[k]
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return texts.mapInArrow(run, "id long, keys binary").join(ids, "id")
+    both = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x")), "a")
+            .join(sets.select(F.col("rep").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y")), "b"))
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that link."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = _sets_of(texts, ids, rule)
+def _checked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The pairs that link: those that coarse and then fine bitmaps admit, by their whole sets."""
+    def both_ids(pairs: DataFrame, own: Scratch) -> DataFrame:
+        return own.saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,35 +484,62 @@ def _checked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 good[k] = 100 * common >= rule.percent * (len(u) + len(v) - common) and common > 0
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b"))
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    with Scratch(texts.sparkSession) as own:
+        admitted = own.saved(_can_link(pairs, reps, rule), "admitted")
+        sets = own.saved(_sets_of(texts, both_ids(admitted, own), rule), "sets")
+        likely = own.saved(_can_link(admitted, sets, rule), "likely").distinct()
+        few = _picked(sets.select(F.col("rep").alias("id"), "keys"), both_ids(likely, own), lambda b: [b], "id long, keys binary")
+        both = (likely.join(few.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a")
+                .join(few.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b"))
+        return scratch.saved(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def join_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document with an id."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
+    with Scratch(spark) as scratch:
+        found = saved(_components(texts, rule, scratch), "components")
+    none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("n_shingles"),
+                                                     F.lit(None).cast("long").alias("component_id"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id").unionByName(none)
+
+
+def _components(texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(id, n_shingles, component_id), on tables that ``scratch`` holds."""
+    spark = texts.sparkSession
     amount = text_bytes(texts, "text")
     classes = spark.sparkContext.broadcast(frequency_classes(texts, rule.n, amount))  # a fixed size at most
-    described = saved(_described(texts, rule, classes), "described")
+    described = scratch.saved(_described(texts, rule, classes), "described")
     same = ["size", "f1", "f2"]
-    reps = saved(described.where("size > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.min("prefix").alias("prefix")), "reps")
-    # about a byte of prefix entries for a byte of text
-    buckets = partitions_for(spark, amount, BUCKET_BYTES)
-    lists = saved(_lists(reps.select("rep", "size", "prefix"), buckets), "lists")
-    tried = saved(_neighbours(lists, rule), "tried")
-    links = saved(_checked(tried, texts, rule), "links")
-    groups = components(links)
-    rest = saved(_across(lists, groups, rule, buckets).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = saved(_checked(rest, texts, rule), "links")
+    reps = scratch.saved(described.where("size > 0").groupBy(*same).agg(
+        F.min("id").alias("rep"), F.min("prefix").alias("prefix"), F.min("bits").alias("bits")), "reps")
+    # about a byte of prefix entries for a byte of text; never so few buckets that their number decides in how many
+    # of them a set stands
+    buckets = max(LEAST_BUCKETS, partitions_for(spark, amount, BUCKET_BYTES))
+    lists = scratch.saved(_lists(reps.select("rep", "size", "prefix"), buckets), "lists")
+    tried = scratch.saved(_neighbours(lists, rule), "tried")
+    links = _checked(tried, texts, reps, rule, scratch)
+    groups = components(links, scratch)
+    places = scratch.saved(_places(lists), "places")
+    maps = places.where("long").join(reps.select("rep", "bits"), "rep")
+    none = F.lit(None)
+    static = scratch.saved(lists.select("bucket", "entries", none.cast("long").alias("rep"), none.cast("binary").alias("bits")).union(
+        maps.select("bucket", none.cast("binary").alias("entries"), "rep", "bits")), "static")
+    for _ in range(ROUNDS):
+        asked = scratch.saved(_likely_across(_gathered(static, places, groups), tried, rule), "tried")
+        found = _checked(asked, texts, reps, rule, scratch)
+        tried, links = tried.union(asked), links.union(found)
+        n_found = found.count()
+        if n_found:
+            groups = components(links, scratch)
+        if n_found * 20 < asked.count():  # groups hardly grow any more
+            break
+    rest = scratch.saved(_across(_gathered(static, places, groups), rule).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = _checked(rest, texts, reps, rule, scratch)
     # equal sets hold documents together by their representative; a document's id may have several sets
     own = described.where("size > 0").join(reps.select(*same, "rep"), same)
     versions = own.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    groups = components(links.union(more).union(versions).distinct())
-    ids = described.select("id", "size").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    found = ids.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"),
-                       F.coalesce("component", "id").alias("component_id"))
-    none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("n_shingles"),
-                                                     F.lit(None).cast("long").alias("component_id"))
-    return found.unionByName(none)
+    groups = components(links.union(more).union(versions).distinct(), scratch)
+    return (described.select("id", "size").join(groups.withColumnRenamed("node", "id"), "id", "left")
+            .select("id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))

@@ -7,6 +7,7 @@ import pytest
 from brute import components, removed
 
 from panelcast.llm import jaccard_join, suffix_array, suffix_dedup
+from panelcast.llm.common import Scratch
 from panelcast.llm.graph import components as graph_components
 from panelcast.llm.graph import id_bitmap, maybe_in
 
@@ -82,7 +83,8 @@ def test_graph_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(1, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(200, 200), (500, 300)]
     frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
-    got = {r.node: r.component for r in graph_components(frame).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component for r in graph_components(frame, scratch).collect()}
     parent = {}
 
     def root(x):
@@ -92,7 +94,8 @@ def test_graph_components(spark):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     assert got == {x: root(x) for x in parent if x != 200}
-    assert graph_components(frame.limit(0)).count() == 0
+    with Scratch(spark) as scratch:
+        assert graph_components(frame.limit(0), scratch).count() == 0
 
 
 def test_id_bitmap_holds_all_ids(spark):
