@@ -55,7 +55,7 @@ BUCKET_BYTES = 24_000_000
 LEAST_BUCKETS = 64
 BLOCK = 64
 LONG_LIST = 16
-ROUNDS = 3
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -485,7 +485,9 @@ def _checked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, rule: Rule, sc
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     with Scratch(texts.sparkSession) as own:
-        admitted = own.saved(_can_link(pairs, reps, rule), "admitted")
+        coarse = _picked(reps.select(F.col("rep").alias("id"), "size", "bits"), both_ids(pairs, own), lambda b: [b],
+                         "id long, size int, bits binary").withColumnRenamed("id", "rep")
+        admitted = own.saved(_can_link(pairs, coarse, rule), "admitted")
         sets = own.saved(_sets_of(texts, both_ids(admitted, own), rule), "sets")
         likely = own.saved(_can_link(admitted, sets, rule), "likely").distinct()
         few = _picked(sets.select(F.col("rep").alias("id"), "keys"), both_ids(likely, own), lambda b: [b], "id long, keys binary")
