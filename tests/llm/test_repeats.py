@@ -170,6 +170,26 @@ def test_removed_bytes(spark, monkeypatch, seed, length):
     assert got == removed(list(zip(ids, texts, strict=True)), length)
 
 
+def test_common_line_between_other_words_is_dealt_to_many_shards(spark, monkeypatch):
+    for name, value in (("SHARD_TEXT", 8_000), ("HEAVY_BYTES", 3_000), ("UNIT_BYTES", 6_000), ("UNIT_STRINGS", 500)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng, line = random.Random(5), "a line of forty-six bytes that all documents have"[:46]
+    word = lambda: "".join(rng.choice("bcdfghjklm") for _ in range(60))
+    texts = [word() + line + word() for _ in range(600)]
+    texts += [t[20:130] for t in texts[::9]] + [t[:100] + word() for t in texts[::13]]
+    seen, answers = {}, suffix_dedup._answers
+
+    def counted(cut, length):
+        for r in cut.where("shard >= 0").select("shard", "sizes").collect():
+            seen[r.shard] = seen.get(r.shard, 0) + int(np.frombuffer(r.sizes, "<u2").sum())
+        return answers(cut, length)
+    monkeypatch.setattr(suffix_dedup, "_answers", counted)
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs).collect()}
+    assert max(seen.values()) <= 3 * 8_000
+    assert got == removed([(r.doc_id, r.text) for r in docs.collect()], 50)
+
+
 def test_dedup_texts_null_and_repeated_ids(spark):
     line = "this line of more than fifty bytes stands in many documents. "
     docs = docs_of(spark, [line, line, line + "é", None, "own " + line], [1, 1, 2, 3, None])
