@@ -684,17 +684,27 @@ def q_gbt_importance(spark, sf_dir):
 def q_fc_gbt_recursive(spark, sf_dir):
     """28 dependent steps from every series' own last training day: per series the dates
     reached and whether all forecasts are demand."""
+    return _horizon_rows(_gbt_recursive(_d(spark, sf_dir)))
+
+
+def _gbt_recursive(d: RetailData) -> DataFrame:
     from panelcast.models.gbt import recursive_forecast
-    d = _d(spark, sf_dir)
     hist = _features(d).where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
-    known = features.add_event_features(d.calendar(), _event_types(d), snap_map=None).drop("month", "year")
+    return recursive_forecast(_gbt(d), hist, _known_future(d), TEST_DAYS, event_cols={"snap": _snap()})
+
+
+def _known_future(d: RetailData) -> DataFrame:
+    return features.add_event_features(d.calendar(), _event_types(d), snap_map=None).drop("month", "year")
+
+
+def _snap():
+    """The SNAP flag of the row's own state, from the calendar's columns."""
     snap = None
     for state, col in SNAP_MAP.items():
         cond = F.col("state_id") == state
         val = F.coalesce(F.col(col).cast("int"), F.lit(0))
         snap = F.when(cond, val) if snap is None else snap.when(cond, val)
-    fc = recursive_forecast(_gbt(d), hist, known, TEST_DAYS, event_cols={"snap": snap.otherwise(F.lit(0))})
-    return _horizon_rows(fc)
+    return snap.otherwise(F.lit(0))
 
 
 def _horizon_rows(fc: DataFrame) -> DataFrame:
@@ -708,7 +718,7 @@ def _direct_series(d: RetailData) -> DataFrame:
     (item_id, store_id) so the windows downstream reuse its partitioning. The
     code vocabularies come from the sparse facts (a one-column distinct)."""
     ev = features.add_event_features(d.panel(gaps=False), event_types=[], snap_map=SNAP_MAP)
-    series = reshape.to_series_frame(ev, keep=[*SERIES_KEYS, "has_event", "snap", "cat_id", "dept_id"])
+    series = reshape.to_series_frame(ev, keep=[*SERIES_KEYS, "has_event", "snap", "cat_id", "dept_id", "state_id"])
     return reshape.encode_categories(series, ["cat_id", "dept_id"], vocab_source=d.sales_sparse())
 
 
@@ -723,11 +733,15 @@ def q_direct_training_rows(spark, sf_dir):
 
 @register("fc_direct")
 def q_fc_direct(spark, sf_dir):
+    return _horizon_rows(_direct(_d(spark, sf_dir)))
+
+
+def _direct(d: RetailData, horizon: int = TEST_DAYS) -> DataFrame:
     from panelcast.models.direct import direct_forecast
-    d = _d(spark, sf_dir)
     last_train = d.cutoff(TEST_DAYS) - dt.timedelta(days=1)
-    return _horizon_rows(direct_forecast(_direct_series(d), last_train, TEST_DAYS, ["cat_id", "dept_id"],
-                                         partition=SERIES_KEYS))
+    known = _known_future(d).withColumnRenamed("date", "ds")
+    return direct_forecast(_direct_series(d), last_train, horizon, ["cat_id", "dept_id"], partition=SERIES_KEYS,
+                           calendar=known, event_cols={"snap": _snap()}, carry=["state_id"])
 
 
 @register("model_roundtrip")
@@ -767,15 +781,13 @@ def q_run_models(spark, sf_dir):
 @register("run_models_all", rounded=False)
 def q_run_models_all(spark, sf_dir):
     """All forecasters: naive, sample paths, and the global direct and recursive models."""
-    from panelcast.models.direct import direct_forecast
     from panelcast.models.gbt import gbt_evaluate
     from panelcast.models.runner import default_models, run_models
     d = _d(spark, sf_dir)
     series, cut = reshape.to_series_frame(d.panel(gaps=False)), d.cutoff(TEST_DAYS)
-    last_train = cut - dt.timedelta(days=1)
     global_models = {
         "gbt": lambda train, h: gbt_evaluate(_gbt(d), _test_features(d)),
-        "direct": lambda train, h: direct_forecast(_direct_series(d), last_train, h, ["cat_id", "dept_id"], partition=SERIES_KEYS)}
+        "direct": lambda train, h: _direct(d, h)}
     res = run_models(series.where(F.col("ds") < F.lit(cut)), series.where(F.col("ds") >= F.lit(cut)),
                      default_models(global_models), TEST_DAYS)
     return res.board
