@@ -687,10 +687,10 @@ def q_fc_gbt_recursive(spark, sf_dir):
     return _horizon_rows(_gbt_recursive(_d(spark, sf_dir)))
 
 
-def _gbt_recursive(d: RetailData) -> DataFrame:
+def _gbt_recursive(d: RetailData, horizon: int = TEST_DAYS) -> DataFrame:
     from panelcast.models.gbt import recursive_forecast
     hist = _features(d).where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
-    return recursive_forecast(_gbt(d), hist, _known_future(d), TEST_DAYS, event_cols={"snap": _snap()})
+    return recursive_forecast(_gbt(d), hist, _known_future(d), horizon, event_cols={"snap": _snap()})
 
 
 def _known_future(d: RetailData) -> DataFrame:
@@ -780,13 +780,15 @@ def q_run_models(spark, sf_dir):
 
 @register("run_models_all", rounded=False)
 def q_run_models_all(spark, sf_dir):
-    """All forecasters: naive, sample paths, and the global direct and recursive models."""
-    from panelcast.models.gbt import gbt_evaluate
+    """All forecasters: naive, sample paths, seasonal autoregression, and the global direct and recursive models;
+    none reads the test window's sales."""
+    from panelcast.models.lag_regression import forecast
     from panelcast.models.runner import default_models, run_models
     d = _d(spark, sf_dir)
     series, cut = reshape.to_series_frame(d.panel(gaps=False)), d.cutoff(TEST_DAYS)
     global_models = {
-        "gbt": lambda train, h: gbt_evaluate(_gbt(d), _test_features(d)),
+        "seasonal_ar": forecast,
+        "gbt": lambda train, h: _gbt_recursive(d, h),
         "direct": lambda train, h: _direct(d, h)}
     res = run_models(series.where(F.col("ds") < F.lit(cut)), series.where(F.col("ds") >= F.lit(cut)),
                      default_models(global_models), TEST_DAYS)

@@ -45,3 +45,28 @@ def test_one_panel_shuffle_where_joins_were(spark):
     import __spark_entry__ as E
     for name in ("future_regressors", "clip_nonneg", "fc_paths_samples"):
         assert len(PANEL_ROWS.findall(_plan(E.queries()[name](spark, SF_SMALL)))) == 1, name
+
+
+def test_run_of_all_models_forecasts_without_the_test_window(spark, monkeypatch):
+    """All forecasters take part, and the recursive model makes its own 28 steps."""
+    import __spark_entry__ as E
+    from panelcast.models import runner
+    from panelcast.models.gbt import gbt_fit
+    from panelcast.plans import queries
+    from pyspark.sql import functions as F
+
+    def refused(d):
+        raise AssertionError("features of the test window hold its sales")
+    run = {}
+    monkeypatch.setattr(queries, "_test_features", refused)
+    monkeypatch.setattr(queries, "_gbt", lambda d: gbt_fit(
+        queries._features(d).where(F.col("date") < F.lit(d.cutoff(28))), "sales", max_iter=2, patience=2))
+    monkeypatch.setattr(runner, "run_models", lambda train, actual, models, h: run.update(models, train=train)
+                        or runner.RunResult(actual, actual, {}))
+    E.queries()["run_models_all"](spark, SF_SMALL)
+    train = run.pop("train")
+    assert set(run) == {"naive_7", "naive_28", "paths", "seasonal_ar", "gbt", "direct"}
+    series = train.select("unique_id").distinct().count()
+    rows = run["gbt"](train, 28).groupBy("unique_id").agg(F.count("*").alias("n"), F.min("yhat").alias("least")).collect()
+    assert len(rows) == series and all(r.n == 28 and r.least >= 0 for r in rows)
+    assert run["seasonal_ar"](train, 28).select("unique_id", "ds", "yhat").count() % 28 == 0
