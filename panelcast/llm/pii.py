@@ -39,7 +39,8 @@ KEY = "panelcast"
 #: The formats, in the order in which they are tried.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}",
-    "secret": r"\b(?:password|passwd|secret|token|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']{0,1}[A-Za-z0-9+/_-]{8,128}",
+    "secret": r"\b(?:password|passwd|secret|token|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']{0,1}"
+              r"[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{6,}[A-Za-z0-9+/_-]",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/]|[.-]\d)",
@@ -263,9 +264,14 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    name, value = F.regexp_extract(m, r"^([A-Za-z_-]+ *[=:] *[\"']?)", 1), F.regexp_extract(m, r"([A-Za-z0-9+/_-]+)$", 1)
-    return F.concat(name, F.when(value.rlike("^[0-9a-fA-F]+$"), feistel_text(value, key, "secret", hexes=True))
-                    .otherwise(feistel_text(value, key, "secret")))
+    name, value = F.regexp_extract(m, r"^([A-Za-z_-]+ *[=:] *[\"']?)", 1), F.regexp_extract(m, r"([A-Za-z0-9+/_.-]+)$", 1)
+
+    def chunks(v: Column, hexes: bool) -> Column:
+        # feistel_text moves at most 128 characters a half
+        starts = F.sequence(F.lit(0), F.floor((F.length(v) - 1) / 256).cast("int"))
+        return F.array_join(F.transform(starts, lambda i: feistel_text(F.substr(v, i * 256 + 1, F.lit(256)), key, "secret", hexes)), "")
+
+    return F.concat(name, let(value, lambda v: F.when(v.rlike("^[0-9a-fA-F]+$"), chunks(v, True)).otherwise(chunks(v, False))))
 
 
 def _access_key(m: Column, key: str) -> Column:

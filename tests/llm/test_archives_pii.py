@@ -130,6 +130,14 @@ def test_pseudonyms_keep_their_format_and_stay_linked(spark):
     assert other != by["4349000490986231"]
 
 
+def test_the_whole_secret_is_replaced(spark):
+    values = ["k3y" * 100, "eyJhbGciOi.eyJzdWIiOjEy.SflKxwRJSMeKKF2QT4", "0a" * 200, "Zz9" * 43]
+    for v, r in zip(values, run(spark, [f"token={v}. Then" for v in values]), strict=True):
+        new = r.text[len("token="):-len(". Then")]
+        assert r.text == f"token={new}. Then" and form(new) == form(v) and len(r.found) == 1
+        assert all(new[i:i + 8] != v[i:i + 8] for i in range(len(v) - 7))
+
+
 def test_what_is_not_valid_stays(spark):
     texts = [None, "", "plain text\nwith 12 numbers 3.14 and 1,000", "4349000490986232", "999.1.1.1 or 1.2.3.4.5", "2001-02-30 and 1850-01-01",
              "666-12-3456 and 123-00-6789", "GB82WEST12345698765433", "+1 (143) 055-9258", "a @ b", "x" * 100_000, "version 3. 4.0."]
