@@ -160,11 +160,11 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every word; words never cross documents."""
     if len(buf) == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = ~_IS_SPACE[buf]
+    inside = ~separators[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     bounds = offs[1:-1]

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import arc, bpe, imi, jaccard_join, packing, pii, quality, suffix_dedup, topk, toxicity
+from panelcast.llm import (arc, bpe, decontaminate, imi, jaccard_join, packing, pii, quality, suffix_dedup, topk, toxicity,
+                           vector_codes, whitening)
 from panelcast.llm.common import table
 
 #: Vocabulary file of the token queries; workers open it at the same place.
@@ -161,3 +162,78 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return imi.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), n=10, found_col="found")
+    items = F.array_sort("found.items")
+    return out.select("doc_id", "found.n_words", "found.n_hit", F.size(items).cast("long").alias("n_items"),
+                      F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+                      (F.col("found.n_hit") > 0).alias("contaminated"))
+
+
+ORACLE["op11_decontaminate"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS MATERIALIZED (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT k FROM g),
+w AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g
+      FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, lens WHERE len(ws) >= k)),
+hit AS MATERIALIZED (SELECT w.doc_id, w.k, w.i, g.item_id FROM w JOIN g USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=32, scale=64)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), scale=1024)
+
+
+def _codes_sql() -> str:
+    """Codebooks round by round; a part is (part, vec_id, x), a codebook (part, entry, c)."""
+    parts = ["""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, e[part * len(e) // 4 + 1:(part + 1) * len(e) // 4] AS x FROM v, range(4) t(part)),
+c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM p JOIN (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 256) s USING (vec_id))"""]
+    near = """
+a{r} AS MATERIALIZED (SELECT part, vec_id, any_value(x) AS x, min((d, entry)) AS best FROM (
+  SELECT p.part, p.vec_id, p.x, c.entry, list_sum(list_transform(list_zip(p.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM p JOIN c{r} c USING (part)) GROUP BY part, vec_id)"""
+    for r in range(4):
+        parts.append(near.format(r=r))
+        parts.append(f"""
+m{r} AS (SELECT part, entry, list(m ORDER BY i) AS c FROM (
+  SELECT part, best[2] AS entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{r}, range(1, len(x) + 1) t(i)
+  GROUP BY part, best[2], i) GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m USING (part, entry))""")
+    parts.append(near.format(r=4))
+    return ",".join(parts) + """,
+o AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a4 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM c4)
+SELECT o.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256
+FROM o JOIN v USING (vec_id), h
+"""
+
+
+ORACLE["op13_vector_codes"] = _codes_sql()
