@@ -5,7 +5,7 @@ Double columns are rounded to 6 decimals, as the Spark side does.
 
 from __future__ import annotations
 
-from panelcast.checks.views_sql import lag_days, q
+from panelcast.checks.views_sql import lag_days, lag_from, q
 
 ORACLE: dict[str, str] = {}
 
@@ -119,7 +119,7 @@ sql("clip_nonneg", "panel", "cutoff", body=f"""
 SELECT unique_id, ds, round(raw, 6) AS raw,
        round(CASE WHEN raw IS NOT NULL THEN greatest(raw, 0.0) END, 6) AS yhat
 FROM (SELECT a.unique_id, a.ds, 2 * a.yhat - b.yhat AS raw
-      FROM {FC7.format(lag=lag_days(7))} a JOIN {FC7.format(lag=lag_days(14))} b
+      FROM {FC7.format(lag=lag_from(7))} a JOIN {FC7.format(lag=lag_from(14))} b
       ON a.unique_id = b.unique_id AND a.ds = b.ds) t
 """)
 
@@ -353,7 +353,7 @@ FC_CAT = """(SELECT unique_id, cat_id, ds, y, yhat FROM (
   SELECT item_id || '_' || store_id AS unique_id, cat_id, date AS ds, CAST(sales AS DOUBLE) AS y,
          {lag} AS yhat
   FROM panel) t WHERE ds >= (SELECT cut FROM cutoff))"""
-FCS = "(" + " UNION ALL ".join(f"SELECT 'lag_{L}' AS model, * FROM {FC_CAT.format(lag=lag_days(L))} f{L}"
+FCS = "(" + " UNION ALL ".join(f"SELECT 'lag_{L}' AS model, * FROM {FC_CAT.format(lag=lag_from(L))} f{L}"
                                 for L in BOARD_LAGS) + ")"
 
 
@@ -424,10 +424,11 @@ FROM forecast WHERE yhat IS NOT NULL GROUP BY ds
 """)
 
 PATHS = ("(UNPIVOT (SELECT unique_id, ds, " + ", ".join(f"s{k}" for k in range(1, 21)) + """ FROM (
-  SELECT item_id || '_' || store_id AS unique_id, date AS ds, """
-         + ", ".join(f"{lag_days(7 * k)} AS s{k}"
-                     for k in range(1, 21))
-         + """ FROM panel) t WHERE ds >= (SELECT cut FROM cutoff))
+  SELECT unique_id, ds, """
+         + ", ".join(f"CASE turn {' '.join(f'WHEN {t} THEN l{k + t - 1}' for t in range(1, 5))} END AS s{k}" for k in range(1, 21))
+         + """ FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds, date_diff('day', (SELECT cut FROM cutoff), date) // 7 + 1 AS turn, """
+         + ", ".join(f"{lag_days(7 * k)} AS l{k}" for k in range(1, 24))
+         + """ FROM panel) u) t WHERE ds >= (SELECT cut FROM cutoff))
   ON """ + ", ".join(f"s{k}" for k in range(1, 21)) + " INTO NAME sample VALUE y)")
 sql("path_quantiles", "panel", "cutoff", body=f"""
 SELECT unique_id, ds, round(quantile_cont(y, 0.5), 6) AS yhat,
@@ -584,7 +585,7 @@ SELECT {panel_select()} FROM panel WHERE date >= (SELECT cut FROM cutoff) AND {T
 sql("preprocess_train", "panel", "cutoff", "sales_sparse", body=f"""
 SELECT {panel_select()} FROM panel WHERE date < (SELECT cut FROM cutoff) AND {TOP50}
 """)
-sql("forecast_sink", "panel", "cutoff", body=f"SELECT unique_id, ds, y, yhat FROM {FC_CAT.format(lag=lag_days(7))} f")
+sql("forecast_sink", "panel", "cutoff", body=f"SELECT unique_id, ds, y, yhat FROM {FC_CAT.format(lag=lag_from(7))} f")
 
 # ---------------------------------------------------------------- partial autocorrelation
 # Durbin-Levinson by a recursion over the lag: phi holds the coefficients of the order before.
@@ -610,22 +611,22 @@ sql("fc_paths_samples", "panel_dense", "cutoff", body="""
          row_number() OVER (PARTITION BY item_id, store_id ORDER BY date) AS t,
          count(*) OVER (PARTITION BY item_id, store_id) AS n
        FROM panel_dense WHERE date < (SELECT cut FROM cutoff)),
-a AS MATERIALIZED (SELECT unique_id, max(ds) AS last, list(y ORDER BY ds) AS ys, max(n) AS n FROM s GROUP BY unique_id),
-p AS (SELECT unique_id, CAST(last + CAST(h AS INTEGER) AS DATE) AS ds, k,
-             greatest(CASE WHEN n >= 7 THEN ys[n - 7 + ((h - 1) % 7) + 1] END + CASE WHEN n > 7 THEN
+a AS MATERIALIZED (SELECT unique_id, max(ds) AS last, list(y ORDER BY ds) AS ys, max(n) AS n, avg(y) AS mean FROM s GROUP BY unique_id),
+p AS (SELECT unique_id, CAST(last + CAST(h AS INTEGER) AS DATE) AS ds, k, CASE WHEN n < 7 THEN 'too_short' ELSE 'ok' END AS status,
+             greatest(CASE WHEN n >= 7 THEN ys[n - 7 + ((h - 1) % 7) + 1] ELSE mean END + CASE WHEN n > 7 THEN
                ys[CAST(('0x' || substr(md5(unique_id || '|' || k || '|' || h || '|42'), 1, 8)) AS BIGINT) % (n - 7) + 8] -
                ys[CAST(('0x' || substr(md5(unique_id || '|' || k || '|' || h || '|42'), 1, 8)) AS BIGINT) % (n - 7) + 1] ELSE 0.0 END, 0.0) AS y
       FROM a, range(1, 29) g(h), range(1, 21) q(k))
 SELECT unique_id, ds, round(quantile_cont(y, 0.5), 6) AS yhat, round(quantile_cont(y, 0.025), 6) AS yhat_lower,
-       round(quantile_cont(y, 0.975), 6) AS yhat_upper, """ + ", ".join(f"round(max(CASE WHEN k = {i} THEN y END), 6) AS sample_{i}" for i in range(1, 21)) + """
+       round(quantile_cont(y, 0.975), 6) AS yhat_upper, min(status) AS status, """ + ", ".join(f"round(max(CASE WHEN k = {i} THEN y END), 6) AS sample_{i}" for i in range(1, 21)) + """
 FROM p GROUP BY unique_id, ds
 """)
 ORACLE["fc_paths_samples"] = ORACLE["fc_paths_samples"].replace("\n\n, s AS", "\n, s AS")
-ORACLE["fc_paths"] = ("SELECT unique_id, ds, yhat, yhat_lower, yhat_upper FROM (" + ORACLE["fc_paths_samples"] + ") z")
+ORACLE["fc_paths"] = ("SELECT unique_id, ds, yhat, yhat_lower, yhat_upper, status FROM (" + ORACLE["fc_paths_samples"] + ") z")
 
 # ---------------------------------------------------------------- seasonal autoregression
 _AR_X = ["1.0", "l1", "l7", "l8"]
-_AR_SQL = "n, last, ys, " + ", ".join(f"a_{i}_{j}" for i in range(4) for j in range(4)) + ", " + ", ".join(f"b_{i}" for i in range(4))
+_AR_SQL = "n, last, ys, mean, variance, " + ", ".join(f"a_{i}_{j}" for i in range(4) for j in range(4)) + ", " + ", ".join(f"b_{i}" for i in range(4))
 
 
 def _ar_steps() -> str:
@@ -644,22 +645,23 @@ sql("fc_seasonal_ar", "panel_dense", "cutoff", body=f"""
 , s AS (SELECT unique_id, ds, y, lag(y, 1) OVER w AS l1, lag(y, 7) OVER w AS l7, lag(y, 8) OVER w AS l8
         FROM (SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE) AS y FROM panel_dense
               WHERE date < (SELECT cut FROM cutoff)) z WINDOW w AS (PARTITION BY unique_id ORDER BY ds)),
-sums AS MATERIALIZED (SELECT unique_id, count(l8) AS n, max(ds) AS last, list(y ORDER BY ds) AS ys,
+sums AS MATERIALIZED (SELECT unique_id, count(l8) AS n, max(ds) AS last, list(y ORDER BY ds) AS ys, avg(y) AS mean, var_pop(y) AS variance,
         {", ".join(f"sum(CASE WHEN l8 IS NOT NULL THEN {_AR_X[i]} * {_AR_X[j]} END) + {1.0 if i == j and i else 0.0} AS a_{i}_{j}"
                    for i in range(4) for j in range(4))},
         {", ".join(f"sum(CASE WHEN l8 IS NOT NULL THEN {_AR_X[i]} * y END) AS b_{i}" for i in range(4))}
-      FROM s GROUP BY unique_id HAVING count(l8) >= 16),
-f AS (SELECT unique_id, last, c_0, c_1, c_2, c_3, ys[len(ys) - 7:] AS v, 0 AS h FROM {_ar_steps()} e
+      FROM s GROUP BY unique_id),
+st AS (SELECT *, CASE WHEN variance = 0 THEN 'constant' WHEN n < 4 THEN 'too_short' ELSE 'ok' END AS status FROM {_ar_steps()} e),
+f AS (SELECT unique_id, last, mean, status, c_0, c_1, c_2, c_3, ys[greatest(len(ys) - 7, 1):] AS v, 0 AS h FROM st
       UNION ALL
-      SELECT unique_id, last, c_0, c_1, c_2, c_3,
-             list_append(v, c_0 + c_1 * v[len(v)] + c_2 * v[len(v) - 6] + c_3 * v[len(v) - 7]), h + 1 FROM f WHERE h < 28)
-SELECT unique_id, CAST(last + h AS DATE) AS ds, CAST(h AS INTEGER) AS h, round(greatest(v[len(v)], 0.0), 6) AS yhat FROM f WHERE h > 0
+      SELECT unique_id, last, mean, status, c_0, c_1, c_2, c_3,
+             list_append(v, CASE WHEN status = 'ok' THEN c_0 + c_1 * v[len(v)] + c_2 * v[len(v) - 6] + c_3 * v[len(v) - 7] ELSE mean END), h + 1 FROM f WHERE h < 28)
+SELECT unique_id, CAST(last + h AS DATE) AS ds, CAST(h AS INTEGER) AS h, round(greatest(v[len(v)], 0.0), 6) AS yhat, status FROM f WHERE h > 0
 """)
 ORACLE["fc_seasonal_ar"] = ORACLE["fc_seasonal_ar"].replace("\n\n, s AS", "\n, s AS").replace("WITH ", "WITH RECURSIVE ", 1)
 
 # ---------------------------------------------------------------- global models: properties that SQL knows
 sql("gbt_fit", "panel_dense", "cutoff", body="""
-SELECT count(*) AS val_rows, TRUE AS beats_zero, TRUE AS within_rounds FROM panel_dense
+SELECT count(*) AS val_rows, TRUE AS beats_zero, TRUE AS beats_mean, TRUE AS within_rounds FROM panel_dense
 WHERE date < (SELECT cut FROM cutoff) AND date >= CAST((SELECT max(date) FROM panel_dense WHERE date < (SELECT cut FROM cutoff)) - 27 AS DATE)
 """)
 sql("gbt_evaluate", "panel_dense", "cutoff", body="""
@@ -673,17 +675,15 @@ SELECT item_id || '_' || store_id AS unique_id, CAST(28 AS BIGINT) AS n, CAST(ma
        CAST(max(date) + 28 AS DATE) AS last_ds, TRUE AS nonneg
 FROM panel_dense WHERE date < (SELECT cut FROM cutoff) GROUP BY item_id, store_id
 """)
-sql("fc_direct", "panel_dense", "cutoff", body="""
-SELECT item_id || '_' || store_id AS unique_id, count(*) AS n, min(date) AS first_ds, max(date) AS last_ds, TRUE AS nonneg
-FROM panel_dense WHERE date >= (SELECT cut FROM cutoff) GROUP BY item_id, store_id
-""")
+ORACLE["fc_direct"] = ORACLE["fc_gbt_recursive"]   # 28 rows from every training series' own last day
 
 # ---------------------------------------------------------------- multi-model run
+FC7D = FC7.replace("FROM panel)", "FROM panel_dense)")
 RUN_FC = "(" + " UNION ALL ".join([
-    f"SELECT 'lag_{L}' AS model, * FROM {FC7.format(lag=lag_days(L))} f{L}" for L in (7, 28)] + [
-    f"SELECT 'half' AS model, * FROM {FC7.format(lag=lag_days(28))} f0 WHERE unique_id LIKE '%A_1'"]) + ")"
-sql("run_models", "panel", "cutoff", body=f"""
-, actual AS (SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE) AS y FROM panel
+    f"SELECT 'lag_{L}' AS model, * FROM {FC7D.format(lag=lag_from(L))} f{L}" for L in (7, 28)] + [
+    f"SELECT 'half' AS model, * FROM {FC7D.format(lag=lag_from(28))} f0 WHERE unique_id LIKE '%A_1'"]) + ")"
+sql("run_models", "panel_dense", "cutoff", body=f"""
+, actual AS (SELECT item_id || '_' || store_id AS unique_id, date AS ds, CAST(sales AS DOUBLE) AS y FROM panel_dense
              WHERE date >= (SELECT cut FROM cutoff)),
 m AS (SELECT * FROM (VALUES ('lag_7'), ('lag_28'), ('half'), ('broken')) t(model)),
 j AS (SELECT m.model, a.unique_id, a.ds, a.y, f.yhat FROM m CROSS JOIN actual a
@@ -698,6 +698,22 @@ SELECT model AS Model, n_series, n_scored, n_series - n_scored AS n_failed, comp
 FROM c
 """)
 ORACLE["run_models"] = ORACLE["run_models"].replace("\n\n, actual AS", "\n, actual AS")
+# a model that is fitted per series, or on all, has 28 rows for every series with training rows
+sql("run_models_all", "panel_dense", "cutoff", body=f"""
+, actual AS (SELECT item_id || '_' || store_id AS unique_id, date AS ds FROM panel_dense WHERE date >= (SELECT cut FROM cutoff)),
+trained AS (SELECT DISTINCT item_id || '_' || store_id AS unique_id FROM panel_dense WHERE date < (SELECT cut FROM cutoff)),
+naive AS (SELECT 'naive_7' AS model, unique_id, ds, yhat FROM {FC7D.format(lag=lag_from(7))} f7
+          UNION ALL SELECT 'naive_28', unique_id, ds, yhat FROM {FC7D.format(lag=lag_from(28))} f28),
+m AS (SELECT * FROM (VALUES ('naive_7'), ('naive_28'), ('paths'), ('seasonal_ar'), ('arima'), ('additive'), ('gbt'), ('direct')) t(model)),
+j AS (SELECT m.model, a.unique_id, CASE WHEN m.model LIKE 'naive%' THEN n.yhat IS NOT NULL ELSE t.unique_id IS NOT NULL END AS there
+      FROM m CROSS JOIN actual a LEFT JOIN trained t USING (unique_id)
+      LEFT JOIN naive n ON n.model = m.model AND n.unique_id = a.unique_id AND n.ds = a.ds)
+SELECT model AS Model, count(DISTINCT unique_id) AS n_series, count(DISTINCT CASE WHEN there THEN unique_id END) AS n_scored,
+       count(DISTINCT unique_id) - count(DISTINCT CASE WHEN there THEN unique_id END) AS n_failed, bool_and(there) AS complete,
+       FALSE AS failed, bool_and(there) AS ranked, bool_or(there) AS scored
+FROM j GROUP BY model
+""")
+ORACLE["run_models_all"] = ORACLE["run_models_all"].replace("\n\n, actual AS", "\n, actual AS")
 
 # ---------------------------------------------------------------- sinks and readers
 ORACLE["leaderboard_csv"] = ORACLE["leaderboard"]
@@ -706,3 +722,18 @@ SELECT *, CAST(row_number() OVER (ORDER BY MAE, Model) AS INTEGER) AS place FROM
 """)
 ORACLE["insights_roundtrip"] = ORACLE["acf"]
 sql("forecast_fallback", "forecast", body="SELECT unique_id, ds, y, yhat FROM forecast")
+
+DAILY = "(SELECT ds, sum(y) AS y, sum(yhat) AS yhat FROM {fc} f GROUP BY ds)"
+sql("forecast_files", "panel", "cutoff", body=" UNION ALL ".join(f"""
+SELECT ds AS date, round(y, 6) AS actual, round(yhat, 6) AS predicted, round(greatest(yhat - yhat * 0.05, 0.0), 6) AS ci_lower,
+       round(yhat + yhat * 0.05, 6) AS ci_upper, '{folder}' AS folder FROM {DAILY.format(fc=FC_CAT.format(lag=lag_from(lag)))} t{lag}
+""" for folder, lag in (("all", 7), ("no_csv", 14), ("old_only", 28))))
+sql("sales_files", "sales_full", body=" UNION ALL ".join(f"""
+SELECT item_id, store_id, cat_id, count(*) AS days, CAST(sum(sales) AS BIGINT) AS sales, '{folder}' AS folder FROM sales_full {where} GROUP BY 1, 2, 3
+""" for folder, where in (("parquet", ""), ("csv", "WHERE cat_id = 'CAT_0'"), ("raw", "WHERE cat_id = 'CAT_1'"), ("beside", "WHERE cat_id = 'CAT_2'"))))
+sql("insight_tables", "panel_dense", "cutoff", body="""
+, trained AS (SELECT count(DISTINCT (item_id, store_id)) AS n FROM panel_dense WHERE date < (SELECT cut FROM cutoff))
+SELECT 'covariate_weights' AS name, CAST(5 AS BIGINT) AS n, TRUE AS sound
+UNION ALL SELECT 'components', n * 28, TRUE FROM trained UNION ALL SELECT 'changepoints', n * 25, TRUE FROM trained
+""")
+ORACLE["insight_tables"] = ORACLE["insight_tables"].replace("\n\n, trained AS", "\n, trained AS")

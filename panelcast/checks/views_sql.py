@@ -148,6 +148,13 @@ def lag_days(days: int, y: str = "CAST(sales AS DOUBLE)", part: str = "item_id,
             f"(PARTITION BY {part} ORDER BY {date} RANGE BETWEEN INTERVAL {days} DAY PRECEDING AND INTERVAL {days} DAY PRECEDING), 0.0) END")
 
 
+def lag_from(lag: int, horizon: int = 28, cut: str = "(SELECT cut FROM cutoff)", part: str = "item_id, store_id", date: str = "date") -> str:
+    """Seasonal-naive value from the day before ``cut``: step h repeats the day lag * ceil(h / lag) before it."""
+    turn = f"(date_diff('day', {cut}, {date}) // {lag} + 1)"
+    whens = " ".join(f"WHEN {turn} = {k} THEN {lag_days(lag * k, part=part, date=date)}" for k in range(1, -(-horizon // lag) + 1))
+    return f"CASE {whens} END"
+
+
 # forecast fixture: last 28 days, yhat = sales 28 days earlier
 view("forecast", ("panel", "cutoff"), f"""
 SELECT unique_id, ds, y, yhat FROM (

@@ -10,14 +10,13 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelcast.functions.calendar import day_of_week
+from panelcast.functions.linalg import dot, doubles, indices, let
 
 
 def totals_by(df: DataFrame, key: str, target: str = "sales", name: str = "sales") -> DataFrame:
@@ -133,50 +132,29 @@ def acf(series: DataFrame, keys: Sequence[str] = ("unique_id",), date: str = "ds
             .select(*keys, "lag", "acf", (F.lit(1.96) / F.sqrt("n")).alias("conf")))
 
 
-def _durbin_levinson(r: np.ndarray) -> np.ndarray:
-    """PACF values 0..len(r)-1 from autocorrelations r (r[0] = 1)."""
-    n = len(r)
-    out = np.full(n, np.nan)
-    if n == 0:
-        return out
-    if not np.isfinite(r[0]):
-        return out
-    out[0] = 1.0
-    phi = np.zeros(n)
-    prev = np.zeros(n)
-    v = 1.0
-    for k in range(1, n):
-        if not np.isfinite(v) or v <= 0:
-            break
-        num = r[k] - np.dot(prev[1:k], r[1:k][::-1])
-        a = num / v
-        phi[1:k] = prev[1:k] - a * prev[1:k][::-1]
-        phi[k] = a
-        out[k] = a
-        v = v * (1 - a * a)
-        prev = phi.copy()
-    return out
-
-
 def pacf(acf_rows: DataFrame, keys: Sequence[str] = ("unique_id",)) -> DataFrame:
-    """Partial autocorrelations from the ACF rows of each series (Durbin-Levinson).
+    """Partial autocorrelations from the ACF rows of each series: Durbin-Levinson as a fold over its ACF array.
 
     Input is the small per-series ACF table (<= nlags + 1 rows per group). Lags
     without a value (a constant series) have no row.
     """
-    key_fields = [f for f in acf_rows.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField("lag", T.IntegerType()),
-                                        T.StructField("pacf", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        vals = _durbin_levinson(pdf["acf"].to_numpy(dtype=float))
-        out = pdf[list(keys)].copy()
-        out["lag"] = pdf["lag"].astype("int32").to_numpy()
-        out["pacf"] = vals
-        return out[np.isfinite(vals)]
-
-    return acf_rows.select(*keys, "lag", "acf").groupBy(*keys).applyInPandas(run, schema)
+    r = F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"])
+    rows = acf_rows.groupBy(*keys).agg(r.alias("_r")).where(F.get("_r", F.lit(0)).isNotNull())
+
+    def step(s: Column, k: Column) -> Column:
+        # phi holds the k - 1 coefficients of the order before, v its innovation variance
+        known = F.reverse(F.slice("_r", F.lit(2), k - 1))
+        gap = F.get("_r", k) - dot(s["phi"], known)
+
+        def longer(a: Column) -> Column:
+            phi = F.concat(F.zip_with(s["phi"], F.reverse(s["phi"]), lambda x, y: x - a * y), F.array(a))
+            return F.struct(phi.alias("phi"), (s["v"] * (1 - a * a)).alias("v"), F.concat(s["out"], F.array(a)).alias("out"))
+        return let(F.when(s["v"] > 0, gap / s["v"]), longer)
+
+    start = F.struct(doubles([]).alias("phi"), F.lit(1.0).alias("v"), doubles([1.0]).alias("out"))
+    lags = F.transform(indices(F.size("_r") - 1), lambda i: i + 1)
+    out = rows.select(*keys, F.posexplode(F.aggregate(lags, start, step, lambda s: s["out"])).alias("lag", "pacf"))
+    return out.where("pacf IS NOT NULL")
 
 
 def path_quantiles(paths: DataFrame, keys: Sequence[str] = ("unique_id", "ds"),

@@ -130,6 +130,17 @@ def lag_days(y: Column, days: int, keys: Sequence[str], date: str = "ds") -> Col
     return F.when(F.date_sub(F.col(date), days) >= first, F.coalesce(there, F.lit(0.0)))
 
 
+def lag_from(y: Column, lag: int, origin: Column, horizon: int, keys: Sequence[str], date: str = "ds") -> Column:
+    """Seasonal-naive value of the ``horizon`` days after ``origin``, the last known day: step h repeats the day
+    ``lag * ceil(h / lag)`` before it, which is never after the origin. NULL on all other days."""
+    turn = F.ceil(F.datediff(F.col(date), origin) / lag)
+    cases = None
+    for k in range(1, -(-horizon // lag) + 1):
+        value = lag_days(y, lag * k, keys, date)
+        cases = F.when(turn == k, value) if cases is None else cases.when(turn == k, value)
+    return cases
+
+
 def require_daily(df: DataFrame, keys: Sequence[str] = ("unique_id",), date: str = "ds") -> DataFrame:
     """``df`` itself; an error when it runs if a series has missing or repeated days.
     For operators whose row offsets stand for days."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelcast.operators import metrics
-from panelcast.operators.fills import lag_days
+from panelcast.operators.fills import lag_from
 from panelcast.plans.data import RetailData
 from panelcast.plans.registry import register, round_doubles
 
@@ -39,7 +39,7 @@ def forecast_and_scale(panel: DataFrame, cut, lags=(28,), keys=("item_id", "stor
     y = F.col("y")
     base = src.select(*keys, *keep, "ds", "y", *(["_price"] if weight_days else []),
                       (y - F.lag(y, 1).over(w)).alias("_diff"),
-                      *[lag_days(y, L, keys).alias(f"lag_{L}") for L in lags])
+                      *[lag_from(y, L, F.date_sub(F.lit(cut), 1), TEST_DAYS, keys).alias(f"lag_{L}") for L in lags])
     base = base.withColumn("unique_id", F.concat_ws("_", *keys))
     test = base.where(F.col("ds") >= F.lit(cut))
     pred = test.unpivot(["unique_id", *keys, *keep, "ds", "y"], [f"lag_{L}" for L in lags],

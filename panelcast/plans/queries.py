@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from panelcast.models.naive import lag_forecast, lagged_paths
 from panelcast.operators import eda, features, fills, joins, metrics, reshape
 from panelcast.plans.data import RetailData
-from panelcast.plans.registry import register
+from panelcast.plans.registry import register, round_doubles
 from panelcast.session import scratch_path
 from panelcast.sources import files
 from panelcast.sources.fixtures import SNAP_MAP
@@ -155,7 +155,8 @@ def q_clip_nonneg(spark, sf_dir):
     """Clip a forecast that can go negative: yhat = 2*lag7 - lag14 (linear trend)."""
     d = _d(spark, sf_dir)
     series = reshape.to_series_frame(d.panel(), keep=SERIES_KEYS)
-    y7, y14 = (fills.lag_days(F.col("y"), k, SERIES_KEYS) for k in (7, 14))
+    origin = F.date_sub(F.lit(d.cutoff(TEST_DAYS)), 1)
+    y7, y14 = (fills.lag_from(F.col("y"), k, origin, TEST_DAYS, SERIES_KEYS) for k in (7, 14))
     raw = series.select("unique_id", "ds", (2 * y7 - y14).alias("raw")).where(F.col("ds") >= F.lit(d.cutoff(TEST_DAYS)))
     return raw.withColumn("yhat", reshape.clip_nonneg("raw"))
 
@@ -474,6 +475,45 @@ def q_forecast_fallback(spark, sf_dir):
     return files.load_first(spark, [f"{path}-newer", f"{path}-new", path])
 
 
+@register("forecast_files")
+def q_forecast_files(spark, sf_dir):
+    """Daily forecasts of three models in three formats; of each folder the first candidate that exists is read: the CSV,
+    where it is missing the Parquet file, where that is missing too the file beside the folder."""
+    d = _d(spark, sf_dir)
+    fc = _board_forecasts(d).checkpoint()   # read once per file
+    folder, out = scratch_path(spark, "forecast_files"), None
+    for skipped, name in enumerate(("all", "no_csv", "old_only")):
+        places = files.forecast_files(f"{folder}/{name}", "Lag")
+        for place, model in list(zip(places, BOARD_LAGS))[skipped:]:
+            files.save_forecast_file(files.daily_forecast(fc.where(F.col("model") == f"lag_{model}"), metrics.BAND_PCT["gbt"]), place)
+        got = files.load_forecast_file(spark, f"{folder}/{name}", "Lag").withColumn("folder", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@register("sales_files")
+def q_sales_files(spark, sf_dir):
+    """Long sales from each candidate in turn: processed Parquet (all items), processed CSV (one category), the raw wide
+    file (another), the wide file beside it (the third)."""
+    d = _d(spark, sf_dir)
+    wide = d.sales_wide().checkpoint()   # written to four places
+    long = reshape.melt_sales(wide)
+    of = lambda df, k: df.where(F.col("cat_id") == f"CAT_{k}")
+    folder, out = scratch_path(spark, "sales_files"), None
+    for skipped, name in enumerate(("parquet", "csv", "raw", "beside")):
+        base = f"{folder}/{name}"
+        writes = [lambda: files.save_table(long, f"{base}/processed/sales_long.parquet"),
+                  lambda: files.save_csv(of(long, 0), f"{base}/processed/sales_long.csv"),
+                  lambda: files.save_csv(of(wide, 1), f"{base}/raw/{files.SALES_FILE}"),
+                  lambda: files.save_csv(of(wide, 2), f"{base}/{files.SALES_FILE}")]
+        for write in writes[skipped:]:
+            write()
+        got = files.load_sales_long(spark, base).groupBy("item_id", "store_id", "cat_id").agg(
+            F.count("*").alias("days"), F.sum("sales").alias("sales")).withColumn("folder", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @register("model_vs_benchmark")
 def q_model_vs_benchmark(spark, sf_dir):
     pred, scale = _board_parts(_d(spark, sf_dir), (7, 28))
@@ -622,9 +662,85 @@ def q_fc_paths_samples(spark, sf_dir):
                           return_samples=True)
 
 
+def _arima(d: RetailData, orders=None) -> DataFrame:
+    """The model table of the training part: one row per series."""
+    from panelcast.models import arima
+    return arima.fit(_train_series(d).drop("unique_id"), orders or [arima.Order()], keys=SERIES_KEYS)
+
+
+@register("fc_arima")
+def q_fc_arima(spark, sf_dir):
+    """(1,1,1)(1,0,0,7) for every series, with 95 % intervals; what can't be fitted is a row with its status."""
+    from panelcast.models import arima
+    return arima.forecast(_arima(_d(spark, sf_dir)), TEST_DAYS, keys=SERIES_KEYS).drop("error")
+
+
+@register("arima_orders")
+def q_arima_orders(spark, sf_dir):
+    """The AIC of 48 orders for every series, all from one Gram matrix per series; the chosen one marked."""
+    from panelcast.models import arima
+    return arima.order_scores(_arima(_d(spark, sf_dir), arima.SEARCH), SERIES_KEYS)
+
+
+@register("fc_arima_auto")
+def q_fc_arima_auto(spark, sf_dir):
+    """Forecasts at each series' own chosen order: per series its dates and whether the intervals hold the forecasts."""
+    from panelcast.models import arima
+    fc = arima.forecast(_arima(_d(spark, sf_dir), arima.SEARCH), TEST_DAYS, keys=SERIES_KEYS)
+    return fc.groupBy("unique_id", "status").agg(
+        F.count("*").alias("n"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
+        F.bool_and((F.col("yhat_lower") >= 0) & (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("ordered"))
+
+
+@register("arima_roundtrip")
+def q_arima_roundtrip(spark, sf_dir):
+    """The fitted table saved, loaded, and forecast from without the history."""
+    from panelcast.models import arima, store
+    path = scratch_path(spark, "arima_model")
+    store.save(_arima(_d(spark, sf_dir)), path, arima.KIND)
+    return arima.forecast(store.load(spark, path, arima.KIND), TEST_DAYS, keys=SERIES_KEYS).drop("error")
+
+
+def _additive(d: RetailData) -> DataFrame:
+    """The additive model of the training part, price and the state's SNAP flag as regressors."""
+    from panelcast.models import additive
+    panel = d.panel(gaps=False).withColumn("snap", _snap())
+    series = reshape.to_series_frame(panel, keep=[*SERIES_KEYS, "sell_price", "snap"])
+    train = series.where(F.col("ds") < F.lit(d.cutoff(TEST_DAYS))).drop("unique_id")
+    return additive.fit(train, d.calendar(), SERIES_KEYS, regressors=("sell_price", "snap"))
+
+
+#: Digits that the additive model's queries keep: its normal equations are worse conditioned than sums and means.
+ADDITIVE_DIGITS = 3
+
+
+@register("fc_additive", rounded=False)
+def q_fc_additive(spark, sf_dir):
+    from panelcast.models import additive
+    d = _d(spark, sf_dir)
+    return round_doubles(additive.forecast(_additive(d), d.calendar(), TEST_DAYS, keys=SERIES_KEYS).drop("error"), ADDITIVE_DIGITS)
+
+
+@register("additive_components", rounded=False)
+def q_additive_components(spark, sf_dir):
+    """Trend, weekly, yearly, holiday and regressor parts of each forecast day; ``adds_up``: they sum to the uncut forecast."""
+    from panelcast.models import additive
+    d = _d(spark, sf_dir)
+    out = additive.components(_additive(d), d.calendar(), TEST_DAYS, keys=SERIES_KEYS)
+    parts = ["trend", "weekly", "yearly", "holidays", "part_sell_price", "part_snap"]
+    adds = F.abs(sum((F.col(p) for p in parts), F.lit(0.0)) - F.col("yhat")) < 1e-6 * (1 + F.abs(F.col("yhat")))
+    return round_doubles(out.select("unique_id", "ds", *parts, adds.alias("adds_up")), ADDITIVE_DIGITS)
+
+
+@register("additive_changepoints", rounded=False)
+def q_additive_changepoints(spark, sf_dir):
+    from panelcast.models import additive
+    return round_doubles(additive.changepoints(_additive(_d(spark, sf_dir)), SERIES_KEYS), ADDITIVE_DIGITS)
+
+
 # ---------------------------------------------------------------- global models
-# One fitted model per session and state of the data (row count and last day): the gbt_* queries
-# share a fit of several hundred rounds, and a grown table or a new session fits anew.
+# One fitted model per session and state of the input files (names, sizes, times): the gbt_* queries
+# share a fit of up to several hundred rounds, and changed data or a new session fits anew.
 _FITTED: dict[tuple, object] = {}
 
 
@@ -635,8 +751,9 @@ def _features(d: RetailData) -> DataFrame:
 
 def _gbt(d: RetailData):
     from panelcast.models.gbt import gbt_fit
-    rows = d.spark.read.parquet(f"{d.sf_dir.rstrip('/')}/lineitem.parquet").count()
-    key = (d.spark.sparkContext.applicationId, d.sf_dir.rstrip("/"), rows, d.bounds)
+    tables = ("lineitem", "part", "supplier", "nation", "region")
+    listing = tuple(files.listing(d.spark, f"{d.sf_dir.rstrip('/')}/{t}.parquet") for t in tables)
+    key = (d.spark.sparkContext.applicationId, d.sf_dir.rstrip("/"), listing)
     if key not in _FITTED:
         _FITTED.clear()
         train = _features(d).where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
@@ -646,16 +763,17 @@ def _gbt(d: RetailData):
 
 @register("gbt_fit")
 def q_gbt_fit(spark, sf_dir):
-    """The fitted model on its validation window: rows, and whether it beats forecasting nothing there."""
+    """The fitted model on its validation window: rows, and whether it beats forecasting nothing and the training mean there."""
     from panelcast.models.gbt import ROUNDS
     d = _d(spark, sf_dir)
     m = _gbt(d)
     train = _features(d).where(F.col("date") < F.lit(d.cutoff(TEST_DAYS)))
-    last_train = train.agg(F.max("date")).first()[0]
+    last_train, mean = train.agg(F.max("date"), F.avg("sales")).first()
     val = train.where(F.col("date") >= F.lit(last_train - dt.timedelta(days=27)))
     pred = m.predict(val)
     mse = F.avg(F.pow(F.col("sales") - F.col("yhat"), 2))
     return pred.agg(F.count("*").alias("val_rows"), (mse < F.avg(F.pow("sales", 2))).alias("beats_zero"),
+                    (mse < F.avg(F.pow(F.col("sales") - F.lit(float(mean)), 2))).alias("beats_mean"),
                     F.lit(1 <= m.model.stages[-1].getNumTrees <= ROUNDS).alias("within_rounds"))
 
 
@@ -680,6 +798,32 @@ def q_gbt_importance(spark, sf_dir):
                    ((F.sum("splits") > 0) & F.bool_and((F.col("splits") > 0) == (F.col("importance") > 0))).alias("splits_counted"))
 
 
+INSIGHT_COLUMNS = ("lag_7", "rolling_mean_28", "sell_price", "day_of_week", "snap")
+
+
+@register("insight_tables")
+def q_insight_tables(spark, sf_dir):
+    """Covariate weights (by permutation on the validation days), components and changepoints written as one table each and
+    read back: the rows of each, and whether weights are a share, parts sum up and knots lie inside their series."""
+    from panelcast.models import additive
+    from panelcast.models.importance import permutation_importance
+    d = _d(spark, sf_dir)
+    model, cut = _gbt(d), d.cutoff(TEST_DAYS)
+    val = _features(d).where((F.col("date") < F.lit(cut)) & (F.col("date") >= F.date_sub(F.lit(cut), 28)))
+    weights = permutation_importance(model.predict, val, "sales", INSIGHT_COLUMNS, (*SERIES_KEYS, "date"))
+    fitted = _additive(d).checkpoint()   # read for both tables
+    folder = scratch_path(spark, "insight_tables")
+    files.save_insights({"covariate_weights": weights, "changepoints": additive.changepoints(fitted, SERIES_KEYS),
+                         "components": additive.components(fitted, d.calendar(), TEST_DAYS, keys=SERIES_KEYS)}, folder)
+    read = lambda name: files.load_insight(spark, folder, name)
+    parts = ["trend", "weekly", "yearly", "holidays", "part_sell_price", "part_snap"]
+    sound = {"covariate_weights": F.bool_and(F.col("weight").between(0, 1)) & (F.abs(F.sum("weight") - 1) < 1e-9),
+             "components": F.bool_and(F.abs(sum((F.col(p) for p in parts), F.lit(0.0)) - F.col("yhat")) < 1e-6 * (1 + F.abs(F.col("yhat")))),
+             "changepoints": F.bool_and(F.col("delta").isNotNull() & (F.col("ds") < F.lit(cut)))}
+    out = [read(name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), ok.alias("sound")) for name, ok in sound.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register("fc_gbt_recursive")
 def q_fc_gbt_recursive(spark, sf_dir):
     """28 dependent steps from every series' own last training day: per series the dates
@@ -761,38 +905,54 @@ def q_model_roundtrip(spark, sf_dir):
 @register("run_models")
 def q_run_models(spark, sf_dir):
     """Four models timed, scored against all actuals and ranked: two seasonal-naive ones, one that
-    forecasts only some series, and one that fails."""
-    from panelcast.models.runner import run_models
+    forecasts only some series, and one that fails. All forecast from the written training frame."""
+    from panelcast.models.runner import default_models, run_models
     d = _d(spark, sf_dir)
-    series, cut = reshape.to_series_frame(d.panel()), d.cutoff(TEST_DAYS)
-
-    def lagged(lag):
-        return lambda train, h: lag_forecast(series, cut, lag)
+    series, cut = reshape.to_series_frame(d.panel(gaps=False)), d.cutoff(TEST_DAYS)
+    naive = default_models()
 
     def broken(train, h):
         raise ArithmeticError("no solution")
 
-    models = {"lag_7": lagged(7), "lag_28": lagged(28), "broken": broken,
-              "half": lambda train, h: lag_forecast(series, cut, 28).where(F.col("unique_id").endswith("A_1"))}
+    models = {"lag_7": naive["naive_7"], "lag_28": naive["naive_28"], "broken": broken,
+              "half": lambda train, h: naive["naive_28"](train, h).where(F.col("unique_id").endswith("A_1"))}
     board = run_models(series.where(F.col("ds") < F.lit(cut)), series.where(F.col("ds") >= F.lit(cut)), models, TEST_DAYS).board
     return board.select("Model", "n_series", "n_scored", "n_failed", "complete", "failed", "RMSE", "MAE", "rank")
 
 
-@register("run_models_all", rounded=False)
+def _per_series_models(d: RetailData) -> dict:
+    from panelcast.models import additive, arima, lag_regression
+    return {"seasonal_ar": lag_regression.forecast, "arima": lambda train, h: arima.forecast(arima.fit(train), h),
+            "additive": lambda train, h: additive.forecast(additive.fit(train, d.calendar()), d.calendar(), h)}
+
+
+@register("run_models_all")
 def q_run_models_all(spark, sf_dir):
-    """All forecasters: naive, sample paths, seasonal autoregression, and the global direct and recursive models;
-    none reads the test window's sales."""
-    from panelcast.models.lag_regression import forecast
+    """All forecasters: naive, sample paths, seasonal autoregression, seasonal ARIMA, the additive model, and the global direct and
+    recursive models; none reads the test window's sales. What each covered, and whether it was ranked."""
     from panelcast.models.runner import default_models, run_models
     d = _d(spark, sf_dir)
     series, cut = reshape.to_series_frame(d.panel(gaps=False)), d.cutoff(TEST_DAYS)
-    global_models = {
-        "seasonal_ar": forecast,
-        "gbt": lambda train, h: _gbt_recursive(d, h),
-        "direct": lambda train, h: _direct(d, h)}
+    global_models = {**_per_series_models(d), "gbt": lambda train, h: _gbt_recursive(d, h), "direct": lambda train, h: _direct(d, h)}
     res = run_models(series.where(F.col("ds") < F.lit(cut)), series.where(F.col("ds") >= F.lit(cut)),
                      default_models(global_models), TEST_DAYS)
-    return res.board
+    scored = F.coalesce(F.col("RMSE") >= 0, F.lit(False)).alias("scored")
+    return res.board.select("Model", "n_series", "n_scored", "n_failed", "complete", "failed", F.col("rank").isNotNull().alias("ranked"), scored)
+
+
+@register("run_failures")
+def q_run_failures(spark, sf_dir):
+    """Every (model, series) that a model did not simply fit: too short, constant, without a forecast, or a model that raised."""
+    from panelcast.models.runner import default_models, run_models
+    d = _d(spark, sf_dir)
+    series, cut = reshape.to_series_frame(d.panel(gaps=False)), d.cutoff(TEST_DAYS)
+
+    def broken(train, h):
+        raise ArithmeticError("no solution")
+
+    models = {"paths": default_models()["paths"], **_per_series_models(d), "broken": broken}
+    res = run_models(series.where(F.col("ds") < F.lit(cut)), series.where(F.col("ds") >= F.lit(cut)), models, TEST_DAYS)
+    return res.failures.select("model", "unique_id", "status")
 
 
 @register("alignment_report")
@@ -801,7 +961,7 @@ def q_alignment_report(spark, sf_dir):
     d = _d(spark, sf_dir)
     series = reshape.to_series_frame(d.panel())
     actual = series.where(F.col("ds") >= F.lit(d.cutoff(TEST_DAYS)))
-    pred = lag_forecast(series, d.cutoff(TEST_DAYS + 7), 28)
+    pred = lag_forecast(series, d.cutoff(TEST_DAYS + 7), 28, horizon=TEST_DAYS + 7)
     return metrics.alignment_report(actual, pred)
 
 

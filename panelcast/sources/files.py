@@ -44,6 +44,16 @@ def require_path(spark: SparkSession, path: str) -> None:
     raise FileNotFoundError(f"missing input {path}; folder holds: {listing}")
 
 
+def listing(spark: SparkSession, path: str) -> tuple:
+    """(name, length, time) of every file at or below a path: the state of a table's files."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hpath, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def sales_schema(day_cols: Sequence[str], with_id: bool = True) -> T.StructType:
     ids = SALES_IDS if with_id else SALES_IDS[1:]
     return T.StructType([T.StructField(c, T.StringType()) for c in ids]
@@ -120,6 +130,66 @@ def load_first(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
     raise FileNotFoundError("; ".join(errors) or "no candidate paths")
 
 
+def read_as(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table in the format that its name ends in (.csv with a header, .json, else Parquet) as ``schema``: columns
+    by name, cast; those that it lacks are NULL."""
+    kind = "csv" if path.endswith(".csv") else "json" if path.endswith(".json") else "parquet"
+    df = (spark.read.option("header", True) if kind == "csv" else spark.read).format(kind).load(path)
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def resolve(spark: SparkSession, candidates: Sequence[str], schema: T.StructType) -> DataFrame:
+    """The first candidate that exists, whatever its format, as ``schema``; an error that lists what was looked for."""
+    for path in candidates:
+        if safe_exists(spark, path):
+            return read_as(spark, path, schema)
+    raise FileNotFoundError("none of " + ", ".join(candidates))
+
+
+FORECAST_SCHEMA = T.StructType([T.StructField("date", T.DateType())] + [
+    T.StructField(c, T.DoubleType()) for c in ("actual", "predicted", "ci_lower", "ci_upper")])
+
+
+def forecast_files(folder: str, model: str) -> list[str]:
+    """Where a model's daily forecast may lie, in the order in which it is looked for."""
+    base, name = folder.rstrip("/"), f"{model.lower()}_forecast"
+    return [f"{base}/forecasts/{name}.csv", f"{base}/forecasts/{name}.parquet", f"{base}/{name}.csv"]
+
+
+def daily_forecast(forecasts: DataFrame, pct: float) -> DataFrame:
+    """(date, actual, predicted, ci_lower, ci_upper): totals of all series a day, with a band of ``pct``."""
+    total = forecasts.groupBy(F.col("ds").alias("date")).agg(F.sum("y").alias("actual"), F.sum("yhat").alias("predicted"))
+    p = F.col("predicted")
+    return total.select("date", "actual", "predicted", F.greatest(p - p * pct, F.lit(0.0)).alias("ci_lower"), (p + p * pct).alias("ci_upper"))
+
+
+def save_forecast_file(daily: DataFrame, path: str) -> None:
+    """One model's daily forecast (a row a day) in the format of the name."""
+    one = daily.select(*FORECAST_SCHEMA.fieldNames()).coalesce(1)
+    save_csv(one, path) if path.endswith(".csv") else save_table(one, path)
+
+
+def load_forecast_file(spark: SparkSession, folder: str, model: str) -> DataFrame:
+    return resolve(spark, forecast_files(folder, model), FORECAST_SCHEMA)
+
+
+LONG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (*SALES_IDS[1:], "d")] + [T.StructField("sales", T.IntegerType())])
+
+
+def load_sales_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Long sales from the first that exists: processed Parquet, processed CSV, the wide file under raw/, the wide file
+    beside it; a wide one is melted."""
+    from panelcast.operators.reshape import melt_sales
+    base = folder.rstrip("/")
+    for path in (f"{base}/processed/sales_long.parquet", f"{base}/processed/sales_long.csv"):
+        if safe_exists(spark, path):
+            return read_as(spark, path, LONG_SCHEMA)
+    for path in (f"{base}/raw/{SALES_FILE}", f"{base}/{SALES_FILE}"):
+        if safe_exists(spark, path):
+            return melt_sales(load_sales(spark, path)).select(*LONG_SCHEMA.fieldNames())
+    raise FileNotFoundError(f"no sales below {folder}")
+
+
 def save_forecasts(df: DataFrame, path: str) -> None:
     """All forecasters' outputs in one dataset partitioned by model."""
     save_table(df, path, ["model"])

@@ -60,7 +60,7 @@ def test_run_of_all_models_forecasts_without_the_test_window(spark, monkeypatch)
     run = {}
     monkeypatch.setattr(queries, "_test_features", refused)
     monkeypatch.setattr(queries, "_gbt", lambda d: gbt_fit(
-        queries._features(d).where(F.col("date") < F.lit(d.cutoff(28))), "sales", max_iter=2, patience=2))
+        queries._features(d).where(F.col("date") < F.lit(d.cutoff(28))), "sales", max_iter=2))
     monkeypatch.setattr(runner, "run_models", lambda train, actual, models, h: run.update(models, train=train)
                         or runner.RunResult(actual, actual, {}))
     E.queries()["run_models_all"](spark, SF_SMALL)
