@@ -41,9 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, saved
+from panelcast.llm.common import Scratch, partitions_for, saved
 
 ARCHIVE_BYTES = 8_000_000
+PARTITION_BYTES = 64_000_000
 KEY_HEADER = "X-Record-Key"
 #: The field lines of the two versions of the format.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length",
@@ -104,7 +105,7 @@ def arc_record(version: int, name: str, uri: str, key: object, date: str, payloa
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records of an ARC file, its version block left out."""
-    at, version = 0, 1
+    at, version, begun = 0, 1, False
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
@@ -113,7 +114,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         fields = line.split(b" ")
         if len(fields) < 5 or not fields[-1].isdigit():
             continue  # the blank line between records, or one that can't be parsed
-        is_start = line.startswith(b"filedesc://")
+        is_start = line.startswith(b"filedesc://") and not begun   # only the first block is a version block
         if is_start:
             first = data[at:at + 2]
             version = 2 if first[:1] == b"2" else 1
@@ -124,7 +125,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         ip, date, mime = right[:3]
         if not re.fullmatch(r"\d{4,14}", date):
             continue
-        length = int(right[-1])
+        length, begun = int(right[-1]), True
         block = data[at:at + length]
         at += length
         if not is_start:
@@ -257,8 +258,10 @@ def _convert(archives: DataFrame, records: DataFrame, warc_path: str) -> None:
                 refers = {r["number"]: record_id(r["of"], r["at"]) for r in own.as_py() or []}
                 yield _strings([converted(name.as_py(), unpacked(content.as_py()), refers)])
 
-    # an archive's repeats are bounded by its own records
-    write_archives(archives.join(repeats, "name", "left").mapInArrow(convert, "value string"), warc_path, "\r\n\r\n")
+    # an archive's repeats are bounded by its own records; the archives are dealt into partitions of bounded size
+    size = archives.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    dealt = archives.repartition(partitions_for(archives.sparkSession, size, PARTITION_BYTES), "name")
+    write_archives(dealt.join(repeats, "name", "left").mapInArrow(convert, "value string"), warc_path, "\r\n\r\n")
 
 
 # ---- WARC ------------------------------------------------------------------------------------

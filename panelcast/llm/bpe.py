@@ -12,7 +12,12 @@ has that suffix. The pair test undoes the merges of both tokens alternately, lat
 looks for a merge across the boundary that would have come earlier. Both run as array
 expressions over all distinct pieces of a slice at once; a bounded cache keeps the pieces seen.
 
-Spark scans the texts; one map pass encodes and decodes every whole text, without a shuffle.
+Spark scans the texts; one map pass encodes and decodes every whole text, however long, without a shuffle; an empty
+table gives no rows.
+
+A text is cut into pieces where the vocabulary's own library cuts it: which characters are letters, numbers or blanks is
+asked of its pre-tokenizer once, on the driver, so that a newer Unicode table in the pattern's module doesn't matter. Pieces of
+more than ``LONG_PIECE`` bytes are encoded one by one, by the same recurrence in a plain loop.
 
 Defined results: a null text counts as empty, with no ids and an empty decoded text. The
 special tokens' strings in a text become their ids, as the tokenizer's file says. Repeated
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +43,7 @@ from pyspark.sql import types as T
 #: Fixed value: the pattern by which this kind of byte-level vocabulary splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_PIECES = 400_000
+LONG_PIECE = 256
 _NO = np.int32(-1)
 
 
@@ -47,6 +54,54 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _ranges(codes: list[int]) -> str:
+    """Ascending characters as the inside of a regex set."""
+    if not codes:
+        return ""
+    x = np.array(codes, np.int64)
+    new = np.flatnonzero(np.diff(x, prepend=-2) != 1)
+    ends = np.append(new[1:], len(x)) - 1
+    return "".join(f"\\U{a:08X}-\\U{z:08X}" for a, z in zip(x[new].tolist(), x[ends].tolist(), strict=True))
+
+
+_KINDS = (r"\p{L}", r"\p{N}", r"\s")
+
+
+@lru_cache(maxsize=4)
+def library_pattern(path: str) -> tuple[str, str]:
+    """``PATTERN`` with the letters, numbers and blanks of the library that the vocabulary's file belongs to, and
+    the characters (as a regex set, or nothing) for which it differs from ``PATTERN``."""
+    from tokenizers import Tokenizer
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    own = {kind: regex.findall(kind, every) for kind in _KINDS}
+    own["other"] = regex.findall(r"[^\s\p{L}\p{N}\p{Cn}]", every)   # what isn't assigned here is in no older table
+    doubtful = list(own[r"\s"])
+    sample = {r"\p{L}": "a", r"\p{N}": "1", "other": "!"}
+    for kind, beside in sample.items():
+        for at in range(0, len(own[kind]), 512):
+            some = own[kind][at:at + 512]
+            if len(cut(beside + "".join(some))) > 1:   # of one kind they are one piece
+                doubtful += some
+
+    def kind_of(c: str) -> str:
+        """The kind of neighbour that it shares a piece with."""
+        return next((kind for kind, beside in sample.items() if len(cut(beside + c)) == 1), r"\s")
+
+    before = {c: kind for kind, chars in own.items() for c in chars}
+    moved = {c: kind for c in doubtful if (kind := kind_of(c)) != before[c]}
+    if not moved:
+        return PATTERN, ""
+    classes = []
+    for kind in _KINDS:
+        more = _ranges(sorted(ord(c) for c, k in moved.items() if k == kind))
+        fewer = _ranges(sorted(ord(c) for c in moved if before[c] == kind))
+        classes.append(f"[[{kind}{more}]--[{fewer}]]" if fewer else f"[{kind}{more}]")
+    letter, number, blank = classes
+    pattern = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[^{blank}{letter}{number}]+|{blank}+(?![^{blank}])|{blank}+")
+    return pattern, f"[{_ranges(sorted(map(ord, moved)))}]"
+
+
 class _PairTable:
     """Open-addressed map from a pair of small integers to an integer, for array lookups."""
 
@@ -89,7 +144,7 @@ class _PairTable:
 class Encoder:
     """One vocabulary: encodes and decodes pieces; bounded cache of distinct pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: tuple[str, str] = (PATTERN, "")):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
@@ -103,7 +158,8 @@ class Encoder:
         for token, i in added.items():
             self.bytes_of[i] = token.encode()
         self.special = added
-        self.split = regex.compile(PATTERN)
+        self.usual, self.exact = regex.compile(PATTERN), regex.compile(pattern[0], regex.V1)
+        self.odd = re.compile(pattern[1]) if pattern[1] else None
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.base = np.full(256, -1, np.int32)
         for token, i in vocab.items():
@@ -117,6 +173,7 @@ class Encoder:
         self.parts = np.stack([np.arange(size), np.arange(size)], 1)
         self.parts[made] = np.stack([left, right], 1)
         self.pair = _PairTable(left, right, np.arange(len(made)))
+        self.merges = left, right
         self._automaton(vocab, letters)
         self.cache: dict[str, tuple[str, int, bytes]] = {}
 
@@ -137,6 +194,8 @@ class Encoder:
                 at = nxt
             token_at[at] = i
         self.step = _PairTable(np.array(source), np.array(byte), np.array(target))
+        self.edges = source, byte, target
+        self.plain: tuple[dict, dict, dict] | None = None
         self.token_of = np.full(len(state), -1, np.int32)
         for s, i in token_at.items():
             self.token_of[s] = i
@@ -167,8 +226,62 @@ class Encoder:
             limit[live] = np.where(on_left, ra, rb + 1)
         return good
 
+    def _fits(self, u: int, t: int, ranks: dict[int, int], seen: dict[int, bool]) -> bool:
+        """``compatible`` of one pair, remembered."""
+        key = u << 32 | t
+        if key in seen:
+            return seen[key]
+        rank, parts, limit, a, b = self.rank, self.parts, 1 << 62, u, t
+        while True:
+            if ranks.get(a << 32 | b, limit) < limit:
+                good = False
+                break
+            ra, rb = int(rank[a]), int(rank[b])
+            if ra < 0 and rb < 0:
+                good = True
+                break
+            if ra > rb:
+                limit, a = ra, int(parts[a, 1])
+            else:
+                limit, b = rb + 1, int(parts[b, 0])
+        seen[key] = good
+        return good
+
+    def encode_long(self, piece: bytes) -> list[int]:
+        """Ids of one long piece, prefix by prefix."""
+        if self.plain is None:
+            source, byte, target = self.edges
+            self.plain = ({a << 8 | b: c for a, b, c in zip(source, byte, target, strict=True)},
+                          {int(a) << 32 | int(b): r for r, (a, b) in enumerate(zip(*self.merges, strict=True))}, {})
+        step, ranks, seen = self.plain
+        if len(seen) > CACHE_PIECES:
+            seen.clear()
+        token_of, last, width = self.token_of.tolist(), [0] * len(piece), [0] * len(piece)
+        for end in range(len(piece)):
+            state, at = 0, end
+            while at >= 0:
+                state = step.get(state << 8 | piece[at], -1)
+                if state < 0:
+                    break
+                token = token_of[state]
+                if token >= 0 and (at == 0 or self._fits(last[at - 1], token, ranks, seen)):
+                    last[end], width[end] = token, end - at + 1
+                    break
+                at -= 1
+        out, end = [], len(piece) - 1
+        while end >= 0:
+            out.append(last[end])
+            end -= width[end]
+        return out[::-1]
+
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece, all pieces at once."""
+        """Ids of each piece; all but long ones at once."""
+        long = [k for k, p in enumerate(pieces) if len(p) > LONG_PIECE]
+        if long:
+            chains = self.encode_pieces([b"" if len(p) > LONG_PIECE else p for p in pieces])
+            for k in long:
+                chains[k] = self.encode_long(pieces[k])
+            return chains
         sizes = np.array([len(p) for p in pieces], np.int64)
         if not len(sizes) or not sizes.max():
             return [[] for _ in pieces]
@@ -222,6 +335,11 @@ class Encoder:
                 chains[i] = flat[cut[k]:cut[k + 1]][::-1]
         return chains
 
+    def split(self, text: str) -> list[str]:
+        """The pieces of a stretch of text; the slower exact pattern only where it differs."""
+        exact = self.odd is not None and not text.isascii() and self.odd.search(text)
+        return (self.exact if exact else self.usual).findall(text)
+
     def parts_of(self, text: str) -> list[tuple[bool, str]]:
         """A text's stretches, and whether each is a special token's string."""
         if self.special_split is None:
@@ -243,7 +361,7 @@ class Encoder:
         while i < len(texts):
             cut, size = [], 0
             while i < len(texts) and (size < 4_000_000 or not cut):
-                plain = [(special, x if special else self.split.findall(x)) for special, x in self.parts_of(texts[i])]
+                plain = [(special, x if special else self.split(x)) for special, x in self.parts_of(texts[i])]
                 cut.append(plain)
                 size += len(texts[i])
                 i += 1
@@ -270,9 +388,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pattern: tuple[str, str] = (PATTERN, "")) -> Encoder:
     """One encoder per Python worker and vocabulary; its cache outlives a task."""
-    return Encoder(path)
+    return Encoder(path, pattern)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
@@ -283,10 +401,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     docs = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
     shape = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())),
                           *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
-    text = "__text"
+    text, pattern = "__text", library_pattern(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, pattern)
         for batch in batches:
             ids = own.encode(batch.column(text).to_pylist())
             out = batch.drop_columns([text]).append_column(ids_col, pa.array(ids, pa.list_(pa.int32())))
@@ -301,9 +419,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """Per document: the number of ids, and SHA-256 of the joined decimal ids and of the decoded text."""
     shape = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()),
                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    pattern = library_pattern(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, pattern)
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for rows in own.look_up(batch.column("__text").to_pylist()):

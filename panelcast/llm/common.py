@@ -91,8 +91,9 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of documents of about ``limit`` bytes (one long document alone)."""
+def slices(offs: np.ndarray, limit: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of documents of about ``limit`` bytes (one long document alone): a slice's array
+    expressions hold some dozens of bytes per byte of text."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1

@@ -62,29 +62,29 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def id_bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     """A Bloom filter of a long column with 2**bits places: a fixed size, whatever the rows."""
-    segment = 1 << min(bits, 20)
+    segment = (1 << min(bits, 20)) // 8   # bytes
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << bits, bool)
+        own = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
             for at in places(batch.column("id").to_numpy(), bits):
-                own[at] = True
+                np.bitwise_or.at(own, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         full = [s for s in range(len(own) // segment) if own[s * segment:(s + 1) * segment].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(full, pa.int32()),
-             pa.array([np.packbits(own[s * segment:(s + 1) * segment]).tobytes() for s in full], pa.binary())], ["segment", "places"])
+             pa.array([own[s * segment:(s + 1) * segment].tobytes() for s in full], pa.binary())], ["segment", "places"])
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
-        total = np.zeros(segment // 8, np.uint8)
+        total = np.zeros(segment, np.uint8)
         for x in group.column("places"):
             total |= np.frombuffer(x.as_buffer(), np.uint8)
         return pa.table({"segment": group.column("segment").slice(0, 1), "places": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(1 << bits, bool)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     shape = "segment int, places binary"
     for r in ids.select(F.col(column).alias("id")).mapInArrow(mark, shape).groupBy("segment").applyInArrow(merge, shape).collect():
-        out[r["segment"] * segment:(r["segment"] + 1) * segment] = np.unpackbits(np.frombuffer(r["places"], np.uint8)).view(bool)
-    return np.packbits(out)
+        out[r["segment"] * segment:(r["segment"] + 1) * segment] = np.frombuffer(r["places"], np.uint8)
+    return out
 
 
 def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:

@@ -3,8 +3,8 @@
 Vectors are scaled to length 1 and split into two halves; each half has its own codebook of
 ``CODES`` centroids, so a vector lies in one of CODES^2 cells (a pair of centroids). A query
 orders the centroids of each half by distance and takes the pairs by increasing summed
-distance with a heap, until the cells taken hold ``share`` of all rows (at least
-``least`` rows). The rows of those cells are reranked by the exact cosine.
+distance with a heap, until the cells taken hold ``share`` of all rows (more than ``k`` at
+least). The rows of those cells are reranked by the exact cosine.
 
 The codebooks are fitted (k-means) on at most ``SAMPLE_ROWS`` rows, chosen by hashed id; every
 row is indexed. Rows of a cell are dealt over all shards by hashed id, so a cell with a third of
@@ -37,7 +37,6 @@ from panelcast.llm.vectors import best, finite, matrix, ranked
 CODES = 64
 SAMPLE_ROWS = 20_000
 SHARE = 0.45
-LEAST = 2_000
 SHARD_ROWS = 16_384
 QUERY_CHUNK = 1_024
 
@@ -91,7 +90,7 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
-           vec_col: str = "embedding", codes: int = CODES, share: float = SHARE, least: int = LEAST,
+           vec_col: str = "embedding", codes: int = CODES, share: float = SHARE,
            sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found by cosine for every row that ``is_query``."""
     spark = vectors.sparkSession
@@ -122,7 +121,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     counts = np.zeros(len(books[0]) * width, np.int64)
     for r in indexed.groupBy("cell").count().collect():  # one row a cell: a fixed size
         counts[r["cell"]] = r["count"]
-    wanted = min(n, max(least, int(np.ceil(share * n))) + 1)
+    wanted = min(n, max(k, int(np.ceil(share * n))) + 1)
     sizes = spark.sparkContext.broadcast(counts)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

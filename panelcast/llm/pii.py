@@ -4,15 +4,17 @@ What is found and validated in a text is replaced by a keyed permutation within
 equal values get equal pseudonyms in every document and different values different ones:
 
 * card numbers (13 to 19 digits that pass the Luhn test): all digits but the last are permuted,
-  the last is the new check digit; blanks and hyphens stay;
-* IBANs (that pass the mod-97 test): country and format stay, new check digits;
+  the last is the new check digit; blanks and hyphens stay. Where a longer run of groups of digits doesn't pass as a whole, every
+  part of it that is written like a card (one group, 4-4-4-4 and on, 4-6-4, 4-6-5) and passes is replaced, the longest first;
+* IBANs (of the country's length, that pass the mod-97 test): country and format stay, new check digits;
 * social security numbers: permuted among the valid ones (area, group and serial not zero...);
 * North American phone numbers: permuted among the valid area codes, exchanges and lines;
   other international numbers: the digits after the first three;
 * IPv4 addresses (each octet at most 255): permuted among all addresses;
 * dates of 1900 to 2099 that exist: permuted among those days, written in their own format;
-* e-mail addresses: the local part, letter for letter of its class, the domain stays;
-* access keys and values of password/secret/token/api key assignments: likewise.
+* e-mail addresses: the local part, letter for letter of its class (letters beyond Latin-1 stay), the domain stays;
+* access keys, and the values of password/secret/token/api key assignments (names in any case, with any prefix) up to a
+  blank or a quote: likewise; signs inside a value stay.
 
 Numbers use a Feistel network on Z_a x Z_b with modular addition (a permutation for any
 a, b; where a x b exceeds the domain, cycle walking); strings one on two halves with
@@ -22,7 +24,10 @@ kind, round and the other half.
 Matches and the stretches between them come from one pattern, line by line; lines without a digit, @, =
 or colon aren't searched, and everything that isn't replaced stays byte for byte. There is no shuffle.
 
-Defined results: null text stays null with no matches; what fails its validation stays; a value in
+``KEY`` is a public default for tests and reports: whoever knows the key can undo the permutations, so give a secret one
+where pseudonyms leave the house.
+
+Very long texts are searched line by line, whole; an empty text or table stays empty. Defined results: null text stays null with no matches; what fails its validation stays; a value in
 two formats of dates stays linked by its day; repeated rows give equal results; all other columns
 pass through, existing columns of the outputs' names are replaced.
 """
@@ -36,19 +41,29 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KEY = "panelcast"
+#: The length of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20}
+_IBAN = "|".join("(?:" + "|".join(c for c, n in IBAN_LENGTHS.items() if n == length) + r")\d{2}(?: ?[A-Z0-9]){" + str(length - 4) + "}"
+                 for length in sorted(set(IBAN_LENGTHS.values()), reverse=True))
+_SECRET_NAME = r"(?i:password|passwd|secret|token|api_key|apikey|api-key)"
 #: The formats, in the order in which they are tried.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}",
-    "secret": r"\b(?:password|passwd|secret|token|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"']{0,1}"
-              r"[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{6,}[A-Za-z0-9+/_-]",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}",
+    "secret": r"(?<![A-Za-z0-9])" + _SECRET_NAME + r" {0,2}[=:] {0,2}[\"']{0,1}[^\s\"'.,;:][^\s\"']{6,}[^\s\"'.,;:]",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": r"\b(?=[A-Z]{2}\d{2})(?:" + _IBAN + r")(?![A-Za-z0-9])",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/]|[.-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
              r"|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]|\.\d)|(?<![\d+])\+[2-9]\d(?:[ .-]?\d){6,12}(?!\d)",
-    "card": r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d+-])\d(?:[ -]?\d){12,200}(?!\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMATS.values())
 
@@ -87,15 +102,17 @@ def walked_number(x: Column, size: int, a: int, b: int, key: str, kind: str, wal
 
 def _shifted(s: Column, code: Column, hexes: bool) -> Column:
     """Each character of ``s`` moved within its class by two hex digits of ``code``."""
-    classes = [(low, high, ord(high) - ord(low) + 1) for low, high in
-               (("0", "9"), ("a", "f" if hexes else "z"), ("A", "F" if hexes else "Z"))]
+    ranges = [("0", "9"), ("a", "f" if hexes else "z"), ("A", "F" if hexes else "Z")]
+    ranges += [] if hexes else [("à", "ö"), ("ø", "ÿ"), ("À", "Ö"), ("Ø", "Þ")]
+    classes = F.array(*[F.struct(F.lit(ord(low)).alias("low"), F.lit(ord(high) - ord(low) + 1).alias("n")) for low, high in ranges])
 
     def moved(t: Column, j: Column) -> Column:
+        by = F.conv(F.substr(t["code"], j * 2 + 1, F.lit(2)), 16, 10).cast("int")
+
         def one(c: Column) -> Column:
-            by, kept = F.conv(F.substr(t["code"], j * 2 + 1, F.lit(2)), 16, 10).cast("int"), c
-            for low, high, size in classes:
-                kept = F.when(c.between(low, high), F.char(F.lit(ord(low)) + (F.ascii(c) - ord(low) + by) % size)).otherwise(kept)
-            return kept
+            own = let(F.ascii(c), lambda x: F.transform(F.filter(classes, lambda k: x.between(k["low"], k["low"] + k["n"] - 1)),
+                                                        lambda k: F.char(k["low"] + (x - k["low"] + by) % k["n"])))
+            return F.coalesce(F.get(own, F.lit(0)), c)
         return let(F.substr(t["s"], j + 1, F.lit(1)), one)
 
     def all_moved(t: Column) -> Column:
@@ -159,14 +176,40 @@ def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def run(d: Column) -> Column:
-        def checked(body: Column) -> Column:
+    def good(digits: Column) -> Column:
+        return let(digits, lambda d: F.when(F.length(d).between(13, 19), _luhn_sum(d, False) % 10 == 0).otherwise(F.lit(False)))
+
+    def replaced(part: Column) -> Column:
+        def checked(d: Column, body: Column) -> Column:
             check = (F.lit(10) - _luhn_sum(body, True) % 10) % 10
-            return _refill(m, F.concat(body, check.cast("string")))
-        body = feistel_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
-        return F.when(_luhn_sum(d, False) % 10 == 0, let(body, checked)).otherwise(m)
+            return _refill(part, F.concat(body, check.cast("string")))
+        return let(_digits(part), lambda d: let(feistel_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), lambda body: checked(d, body)))
 
-    return let(_digits(m), run)
+    def parts(tokens: Column) -> Column:
+        """``tokens``: groups of digits and single blanks or hyphens in turn."""
+        groups = ((F.size(tokens) + 1) / 2).cast("int")
+        size = lambda i, k: F.coalesce(F.length(F.get(tokens, i + 2 * k)), F.lit(0))
+        text = lambda i, n: F.array_join(F.slice(tokens, i + 1, 2 * n - 1), "")
+
+        def written(i: Column, n: Column) -> Column:
+            """Whether n groups from here are a run of their own or written like a card."""
+            fours = (size(i, 0) == 4) & (size(i, 1) == 4) & (size(i, 2) == 4)
+            return ((i == 0) & (n == groups)) | (n == 1) | ((n == 3) & (size(i, 0) == 4) & (size(i, 1) == 6) & size(i, 2).between(4, 5)) | (
+                (n == 4) & fours & size(i, 3).between(1, 4)) | ((n == 5) & fours & (size(i, 3) == 4) & size(i, 4).between(1, 3))
+
+        def step(s: Column, i: Column) -> Column:
+            """At the i-th token: what is written out so far, and the token up to which it reaches."""
+            tried = F.when(i % 2 == 0, F.filter(F.array(groups, F.lit(5), F.lit(4), F.lit(3), F.lit(1)), lambda n: F.when(
+                written(i, n), good(_digits(text(i, n)))).otherwise(F.lit(False))))
+            done = let(F.get(tried, F.lit(0)), lambda n: F.when(n.isNull(), F.struct(
+                F.concat(s["o"], F.get(tokens, i)).alias("o"), (i + 1).alias("at"))).otherwise(F.struct(
+                    F.concat(s["o"], replaced(text(i, n))).alias("o"), (i + 2 * n - 1).alias("at"))))
+            return F.when(i < s["at"], s).otherwise(done)
+
+        start = F.struct(F.lit("").alias("o"), F.lit(0).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, lambda s: s["o"])
+
+    return let(F.regexp_extract_all(m, F.lit("([0-9]+|[ -])"), F.lit(1)), parts)
 
 
 def _mod97(s: Column) -> Column:
@@ -263,8 +306,11 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(feistel_text(local, key, "email"), F.substr(m, at, F.length(m)))
 
 
+_NAME = r"^([A-Za-z_-]+ *[=:] *[\"']?)"
+
+
 def _secret(m: Column, key: str) -> Column:
-    name, value = F.regexp_extract(m, r"^([A-Za-z_-]+ *[=:] *[\"']?)", 1), F.regexp_extract(m, r"([A-Za-z0-9+/_.-]+)$", 1)
+    name, value = F.regexp_extract(m, _NAME, 1), F.regexp_replace(m, _NAME, "")
 
     def chunks(v: Column, hexes: bool) -> Column:
         # feistel_text moves at most 128 characters a half
@@ -281,10 +327,10 @@ def _access_key(m: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "secret": _secret, "access_key": _access_key, "iban": _iban, "date": _date, "ssn": _ssn,
            "ipv4": _ipv4, "phone": _phone, "card": _card}
 #: A match's kind by its own form.
-_FORMS = {"secret": r"^(?:password|passwd|secret|token|api_key|apikey|api-key) *[=:]", "email": r"@", "access_key": r"^(?:AKIA|ASIA)[A-Z0-9]{16}$", "iban": r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$",
+_FORMS = {"secret": "^" + _SECRET_NAME + " *[=:]", "email": r"@", "access_key": r"^(?:AKIA|ASIA)[A-Z0-9]{16}$", "iban": r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$",
           "date": r"^(?:\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})$", "ssn": r"^\d{3}-\d{2}-\d{4}$",
           "ipv4": r"^\d{1,3}(?:\.\d{1,3}){3}$", "phone": r"^(?:\+[\d .()-]+|\(\d{3}\)[\d .-]+|\d{3}[.-]\d{3}[.-]\d{4})$",
-          "card": r"^\d(?:[ -]?\d){12,18}$"}
+          "card": r"^\d(?:[ -]?\d){12,200}$"}
 
 
 def kind_of(m: Column) -> Column:

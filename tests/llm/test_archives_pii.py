@@ -73,6 +73,16 @@ def test_versions_and_odd_records():
     assert arc.unpacked(gzip.compress(one)) == one == arc.unpacked(one)
 
 
+def test_pages_with_hostile_urls_come_back(spark):
+    urls = ["filedesc://evil", "filedesc://part-0.arc 0.0.0.0 20010101000000 text/plain 7", "http://a b/c d 12", "http://x 1.2.3.4 20050101000000 text/html 9", "", " ", "http://x/\n5", None, "\u00a0é"]
+    rows = [(k, u, f"<p>{k % 3}</p>") for k, u in enumerate(urls)]
+    out = arc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.page_id for r in out) == list(range(len(urls)))
+    assert {r.page_id: r.record_type for r in out} == {k: "response" if k >= 6 else "revisit" for k in range(len(urls))}
+    assert {r.page_id: r.refers_to for r in out} == {k: None if k >= 6 else 6 + k % 3 for k in range(len(urls))}
+    assert {r.page_id: r.target_uri for r in out}[0] == "filedesc://evil"
+
+
 def test_archives_are_files(spark):
     path = scratch_path(spark, "files")
     arc.write_arc(pages_of(spark, PAGES), path, archive_bytes=3000)
@@ -138,6 +148,41 @@ def test_the_whole_secret_is_replaced(spark):
         assert all(new[i:i + 8] != v[i:i + 8] for i in range(len(v) - 7))
 
 
+def test_values_beside_other_things_are_found(spark):
+    """Nothing of these may be left in clear, and what stands beside them stays."""
+    card, iban = "4349 0004 9098 6231", "ES91 2100 0418 4502 0005 1332"
+    cases = [(f"{card} 05/27", card), ("4349000490986231 123", "4349000490986231"), ("order 7 4349000490986231", "4349000490986231"),
+             (f"1 2 3 4 5 6 7 {card} 88", card), (f"{card} 378282246310005 9", card), (f"{iban} BIC", iban), (f"{iban} DE89370400440532013000", iban),
+             ("3782 822463 10005 11", "3782 822463 10005")]
+    for (text, value), r in zip(cases, run(spark, [t for t, _ in cases]), strict=True):
+        assert value not in r.text and value in [f.value for f in r.found] or value in "".join(f.value for f in r.found)
+        new = r.text
+        assert form(new) == form(text) and new != text
+        digits = re.sub(r"\D", "", value)
+        assert digits[4:] not in re.sub(r"\D", "", new)
+    two = run(spark, [f"{card} 378282246310005 9"])[0].text
+    assert "378282246310005" not in two and two.endswith(" 9")
+    assert run(spark, [f"{iban} BIC"])[0].text.endswith(" BIC")
+    both = run(spark, [f"{iban} DE89370400440532013000"])[0]
+    assert [f.kind for f in both.found] == ["iban", "iban"]
+
+
+def test_secret_names_in_any_case_and_whole_values(spark):
+    cases = ["Password: hunter22xyz", "API_KEY=abcd1234efgh", "client_secret=q1w2e3r4t5", "password: Tr0ub4dor&3xyz!!", 'token = "a.b,c;d-1234567"']
+    for text, r in zip(cases, run(spark, cases), strict=True):
+        assert [f.kind for f in r.found] == ["secret"] and form(r.text) == form(text)
+        value = re.split(r"[=:] ?\"?", text, maxsplit=1)[1]
+        assert all(value[i:i + 5] not in r.text for i in range(len(value) - 4) if value[i:i + 5].isalnum())
+    assert run(spark, ["ünïcode@example.com"])[0].text.endswith("@example.com")
+    assert not run(spark, ["ünïcode@example.com"])[0].text.startswith("ünï")
+
+
+def test_long_runs_of_digits_do_not_overflow(spark):
+    texts = ["1" * 50_000, "12 " * 20_000, "7-" * 9_000, "1234 " * 30_000]
+    for t, r in zip(texts, run(spark, texts), strict=True):
+        assert len(r.text) == len(t) and re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", t)
+
+
 def test_what_is_not_valid_stays(spark):
     texts = [None, "", "plain text\nwith 12 numbers 3.14 and 1,000", "4349000490986232", "999.1.1.1 or 1.2.3.4.5", "2001-02-30 and 1850-01-01",
              "666-12-3456 and 123-00-6789", "GB82WEST12345698765433", "+1 (143) 055-9258", "a @ b", "x" * 100_000, "version 3. 4.0."]

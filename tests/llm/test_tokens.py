@@ -4,6 +4,8 @@ import hashlib
 import random
 import zlib
 
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -149,3 +151,25 @@ def test_bpe_query(spark, library):
         ids = library.encode(x, add_special_tokens=False).ids
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_cuts_are_the_librarys_on_every_character():
+    """Each character beside letters, digits, blanks and 's is cut as the library cuts it."""
+    library, own = Tokenizer.from_file(PATH), bpe.Encoder(PATH, bpe.library_pattern(PATH))
+    letters = bpe.byte_alphabet()
+    codes = [c for c in [*range(0x80, 0x3400), *range(0xA000, 0xABFF), *range(0xF900, 0x11000), *range(0x10000, 0x32400, 3), 0xA7CE, 0x16EA0, 0xE0001]
+             if not 0xD800 <= c < 0xE000]
+    for c in codes:
+        text = f"x{chr(c)}'s 1{chr(c)} {chr(c)}{chr(c)}a  {chr(c)}"
+        want = [bytes(letters[x] for x in p).decode() for p, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+        assert own.split(text) == want, hex(c)
+
+
+def test_long_pieces_are_exact_and_quick():
+    library, own = Tokenizer.from_file(PATH), bpe.Encoder(PATH)
+    rng = np.random.default_rng(2)
+    texts = ["a" * 100_000, "ab" * 20_000, "".join(rng.choice(list("abcdefgh"), 50_000)), "-" * 30_000, "é" * 9_000, "x" * 257, "y" * 256]
+    for t in texts:
+        began = time.perf_counter()
+        assert own.encode([t])[0] == library.encode(t, add_special_tokens=False).ids
+        assert time.perf_counter() - began < 20
