@@ -70,7 +70,7 @@ _KINDS = (r"\p{L}", r"\p{N}", r"\s")
 @lru_cache(maxsize=4)
 def library_pattern(path: str) -> tuple[str, str]:
     """``PATTERN`` with the letters, numbers and blanks of the library that the vocabulary's file belongs to, and
-    the characters (as a regex set, or nothing) for which it differs from ``PATTERN``."""
+    the characters for which it differs from ``PATTERN``."""
     from tokenizers import Tokenizer
     cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
     every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
@@ -99,7 +99,7 @@ def library_pattern(path: str) -> tuple[str, str]:
         classes.append(f"[[{kind}{more}]--[{fewer}]]" if fewer else f"[{kind}{more}]")
     letter, number, blank = classes
     pattern = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[^{blank}{letter}{number}]+|{blank}+(?![^{blank}])|{blank}+")
-    return pattern, f"[{_ranges(sorted(map(ord, moved)))}]"
+    return pattern, "".join(sorted(moved))
 
 
 class _PairTable:
@@ -159,7 +159,8 @@ class Encoder:
             self.bytes_of[i] = token.encode()
         self.special = added
         self.usual, self.exact = regex.compile(PATTERN), regex.compile(pattern[0], regex.V1)
-        self.odd = re.compile(pattern[1]) if pattern[1] else None
+        self.odd = frozenset(pattern[1])
+        self.far = re.compile(f"[^\\x00-{re.escape(chr(ord(min(pattern[1])) - 1))}]") if pattern[1] else None
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.base = np.full(256, -1, np.int32)
         for token, i in vocab.items():
@@ -337,7 +338,7 @@ class Encoder:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a stretch of text; the slower exact pattern only where it differs."""
-        exact = self.odd is not None and not text.isascii() and self.odd.search(text)
+        exact = self.odd and not text.isascii() and self.far.search(text) and not self.odd.isdisjoint(text)
         return (self.exact if exact else self.usual).findall(text)
 
     def parts_of(self, text: str) -> list[tuple[bool, str]]:
