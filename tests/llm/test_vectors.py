@@ -99,9 +99,7 @@ def test_neighbours_recall_at_the_defaults_without_structure(spark):
     """20,000 vectors uniform in direction, the hardest case for cells: the default share holds 0.9."""
     rng = np.random.default_rng(7)
     x = rng.normal(size=(20_000, 64)).astype(np.float32)
-    import pandas as pd
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(x)}), "vec_id long, embedding array<float>")
-    got = by_query(imi.search(df, F.col("vec_id") % 200 == 0).collect())
+    got = by_query(imi.search(frame(spark, list(enumerate(x))), F.col("vec_id") % 200 == 0).collect())
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
     hits = 0
     for q, own in got.items():
