@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, distinct, mix64, partitions_for, saved, slices, string_buffers, text_bytes
+from panelcast.llm.common import Scratch, distinct, mix64, partitions_for, saved, slices, string_buffers, text_bytes, tidy
 from panelcast.llm.graph import components, id_bitmap, maybe_in
 from panelcast.llm.shingles import shingle_hashes, unique_sets
 
@@ -109,7 +109,7 @@ def frequency_classes(texts: DataFrame, n: int, amount: int) -> np.ndarray:
     shape = "segment int, cells binary"
     cells = np.zeros(1 << bits, np.int64)
     # at most 2**MAX_SKETCH_BITS cells reach the driver
-    for r in texts.select("text").mapInArrow(count, shape).groupBy("segment").applyInArrow(total, shape).collect():
+    for r in texts.select("text").mapInArrow(count, shape).groupBy("segment").applyInArrow(tidy(total), shape).collect():
         own = np.frombuffer(r["cells"], np.int64)
         cells[r["segment"] * SEGMENT:r["segment"] * SEGMENT + len(own)] = own
     ratio = np.maximum(cells, 1) / (4 * cells.mean() + 8)
@@ -204,7 +204,7 @@ def _lists(reps: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "entries": pa.array(rows, pa.binary())})
 
     shape = "bucket int, entries binary"
-    return reps.mapInArrow(deal, shape).groupBy("bucket").applyInArrow(merge, shape)
+    return reps.mapInArrow(deal, shape).groupBy("bucket").applyInArrow(tidy(merge), shape)
 
 
 def _neighbours(lists: DataFrame, rule: Rule) -> DataFrame:
@@ -300,7 +300,7 @@ def _likely_across(gathered: DataFrame, tried: DataFrame, rule: Rule) -> DataFra
         return pa.table({"a": np.minimum(c["rep"][i], c["rep"][j]), "b": np.maximum(c["rep"][i], c["rep"][j]),
                          "n": np.concatenate(n), "prefix": np.concatenate(prefix)})
 
-    pairs = (gathered.groupBy("bucket").applyInArrow(likely, "a long, b long, n long, prefix long")
+    pairs = (gathered.groupBy("bucket").applyInArrow(tidy(likely), "a long, b long, n long, prefix long")
              .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("prefix").alias("prefix"))
              .where("n * 5 >= prefix * 3").join(tried, ["a", "b"], "left_anti"))
     each = pairs.select("a", "b", "n").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
@@ -329,7 +329,7 @@ def _across(gathered: DataFrame, rule: Rule) -> DataFrame:
         return pa.table({"a": a[new], "b": b[new], "margin": margin[new], "n": np.diff(np.append(new, len(a))), "fits": total})
 
     # a pair's shared prefix shingles over all lists, against the least number that can suffice
-    return (gathered.groupBy("bucket").applyInArrow(pairs, "a long, b long, margin long, n long, fits long")
+    return (gathered.groupBy("bucket").applyInArrow(tidy(pairs), "a long, b long, margin long, n long, fits long")
             .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("margin").alias("margin"), F.sum("fits").alias("fits"))
             .where("n >= margin and fits > 0").select("a", "b"))
 
