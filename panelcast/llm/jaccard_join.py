@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, distinct, mix64, partitions_for, saved, slices, string_buffers, text_bytes, tidy
+from panelcast.llm.common import Scratch, distinct, give_back, mix64, partitions_for, saved, slices, string_buffers, text_bytes, tidy
 from panelcast.llm.graph import components, id_bitmap, maybe_in
 from panelcast.llm.shingles import shingle_hashes, unique_sets
 
@@ -56,6 +56,7 @@ LEAST_BUCKETS = 64
 BLOCK = 64
 LONG_LIST = 16
 ROUNDS = 2
+PAIR_ROWS = 500_000     # pairs that a task holds at once
 
 
 @dataclass(frozen=True)
@@ -310,30 +311,55 @@ def _likely_across(gathered: DataFrame, tried: DataFrame, rule: Rule) -> DataFra
 
 def _across(gathered: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): all pairs of different groups whose sets can still link."""
-    def pairs(key: tuple, group: pa.Table) -> pa.Table:
+    def found(group: pa.Table) -> Iterator[np.ndarray]:
         c, start, length, lists_at = _columns(group)
         # a list within one group has nothing to ask
         mixed = np.zeros(len(start), bool)
         mixed[lists_at[c["own"] != c["own"][start][lists_at]]] = True
-        found = [np.empty((0, 4), np.int64)]
         short = mixed & (length < LONG_LIST)
         if short.any():
-            found.append(_short_lists(c, start, length, lists_at, short, rule))
+            yield from _short_lists(c, start, length, lists_at, short, rule)
         for k in np.flatnonzero(mixed & ~short):
-            found += _long_list({n: v[start[k]:start[k] + length[k]] for n, v in c.items()}, rule)
-        a, b, margin, fits = np.concatenate(found).T
-        order = np.lexsort((b, a))
-        a, b, margin, fits = a[order], b[order], margin[order], fits[order]
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
-        total = np.add.reduceat(fits, new) if len(new) else fits
-        return pa.table({"a": a[new], "b": b[new], "margin": margin[new], "n": np.diff(np.append(new, len(a))), "fits": total})
+            yield from _long_list({n: v[start[k]:start[k] + length[k]] for n, v in c.items()}, rule)
+
+    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in summed(found(pa.Table.from_batches(list(batches))), PAIR_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in some.T], ["a", "b", "margin", "n", "fits"])
+        give_back()
 
     # a pair's shared prefix shingles over all lists, against the least number that can suffice
-    return (gathered.groupBy("bucket").applyInArrow(tidy(pairs), "a long, b long, margin long, n long, fits long")
-            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("margin").alias("margin"), F.sum("fits").alias("fits"))
+    return (gathered.groupBy("bucket").applyInArrow(pairs, "a long, b long, margin long, n long, fits long")
+            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("margin").alias("margin"), F.sum("fits").alias("fits"))
             .where("n >= margin and fits > 0").select("a", "b"))
 
 
+def summed(parts: Iterator[np.ndarray], limit: int) -> Iterator[np.ndarray]:
+    """Rows (a, b, margin, fits) of pairs as (a, b, least margin, rows, sum of fits), of at most about ``limit`` rows at a time:
+    a pair may come several times, but a long list's pairs are never held at once."""
+    held, n = [], 0
+
+    def merged() -> np.ndarray:
+        a, b, margin, count, fits = np.concatenate(held).T
+        order = np.lexsort((b, a))
+        a, b, margin, count, fits = a[order], b[order], margin[order], count[order], fits[order]
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return np.stack([a[new], b[new], np.minimum.reduceat(margin, new), np.add.reduceat(count, new),
+                         np.add.reduceat(fits, new)], 1)
+
+    for part in parts:
+        if len(part):
+            held.append(np.insert(part, 3, 1, axis=1))
+            n += len(part)
+        if n >= limit:
+            held = [merged()]
+            n = len(held[0])
+            if 2 * n >= limit:
+                yield held[0]
+                held, n = [], 0
+    if n:
+        yield merged()
+
+
 def _pair_rows(c: dict, i: np.ndarray, j: np.ndarray, rule: Rule) -> np.ndarray:
     """Entries i, j of one list that pass by group and size: the pair, the least number of shared prefix
     shingles that can suffice, and whether the positions here leave enough."""
@@ -354,15 +380,13 @@ def _pair_rows(c: dict, i: np.ndarray, j: np.ndarray, rule: Rule) -> np.ndarray:
     return np.stack([a, b, need - rest, fits], 1)
 
 
-def _short_lists(c: dict, start: np.ndarray, length: np.ndarray, lists_at: np.ndarray, some: np.ndarray, rule: Rule) -> np.ndarray:
-    out = []
+def _short_lists(c: dict, start: np.ndarray, length: np.ndarray, lists_at: np.ndarray, some: np.ndarray, rule: Rule) -> Iterator[np.ndarray]:
     at = np.flatnonzero(some[lists_at])
     end = (start + length)[lists_at[at]]
     for off in range(1, int(length[some].max())):
         at, end = at[at + off < end], end[at + off < end]
-        if len(at):
-            out.append(_pair_rows(c, at, at + off, rule))
-    return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+        for k in range(0, len(at), PAIR_ROWS):
+            yield _pair_rows(c, at[k:k + PAIR_ROWS], at[k:k + PAIR_ROWS] + off, rule)
 
 
 def _block_pairs(c: dict, rule: Rule) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -392,15 +416,13 @@ def _block_pairs(c: dict, rule: Rule) -> Iterator[tuple[int, int, np.ndarray]]:
             yield cuts[x], cuts[y], si + sj - 2 * rule.needed(si, sj) - apart
 
 
-def _long_list(c: dict, rule: Rule) -> list[np.ndarray]:
-    out = []
+def _long_list(c: dict, rule: Rule) -> Iterator[np.ndarray]:
     for x, y, spare in _block_pairs(c, rule):
         i, j = np.nonzero(spare >= 0)
         i, j = i + x, j + y
         if x == y:
             i, j = i[i < j], j[i < j]
-        out.append(_pair_rows(c, i, j, rule))
-    return out
+        yield _pair_rows(c, i, j, rule)
 
 
 def _best_in_long_list(c: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

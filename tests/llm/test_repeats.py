@@ -1,6 +1,7 @@
 """Jaccard join, suffix arrays and suffix dedup against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -50,12 +51,45 @@ def test_components_of_near_copies(spark, seed, n, percent):
 
 def test_long_lists_walk_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "PAIR_ROWS", 40)   # answers leave in many batches
     texts = near_copies(7, n_groups=3, size=60, words=40, edits=9)
     docs = docs_of(spark, texts)
     want = components([(r.doc_id, r.text) for r in docs.collect()], 3, 70)
     assert joined(spark, docs, jaccard_join.Rule(3, 70)) == want
 
 
+@pytest.mark.parametrize("limit", [1, 50, 10_000])
+def test_pairs_summed_in_batches(limit):
+    rng = np.random.default_rng(limit)
+    rows = np.stack([rng.integers(0, 9, 2000), rng.integers(9, 20, 2000), rng.integers(-5, 5, 2000), rng.integers(0, 2, 2000)], 1)
+    want, got = {}, {}
+    for a, b, margin, fits in rows.tolist():
+        m, n, f = want.get((a, b), (99, 0, 0))
+        want[a, b] = min(m, margin), n + 1, f + fits
+    batches = list(jaccard_join.summed(iter(np.array_split(rows, 40)), limit))
+    for a, b, margin, n, fits in np.concatenate(batches).tolist():
+        m, k, f = got.get((a, b), (99, 0, 0))
+        got[a, b] = min(m, margin), k + n, f + fits
+    assert got == want
+    assert max(map(len, batches)) <= max(limit + 50, 99)
+    assert not list(jaccard_join.summed(iter([np.empty((0, 4), np.int64)]), limit))
+
+
+def test_a_long_list_is_never_held_whole():
+    """All pairs of 3,000 near copies of which none is in a group yet: 4.5 million."""
+    n = 3000
+    bits = np.zeros(n, object)
+    bits[:] = [np.zeros(8, np.uint8)] * n
+    c = {"rep": np.arange(n), "own": np.arange(n), "size": np.full(n, 40, np.int32), "pos": np.zeros(n, np.int32),
+         "last": np.zeros(n, np.uint32), "bits": bits}
+    tracemalloc.start()
+    total = sum(len(x) for x in jaccard_join.summed(jaccard_join._long_list(c, jaccard_join.Rule()), 100_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == n * (n - 1) // 2
+    assert peak < 60e6
+
+
 def test_links_at_the_threshold(spark):
     """17 of 20 shingles in common is 85 of 100; 16 of 20 isn't."""
     def text(k):
