@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Written tables that an operator needs only while it runs; removed when it is left."""
+    """Written tables and broadcasts that an operator needs only while it runs; removed when it is left."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.held = spark, [], []
 
     def path(self, name: str) -> str:
         self.paths.append(scratch_path(self.spark, name))
@@ -46,10 +47,17 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def broadcast(self, value: object) -> Broadcast:
+        """``value`` on every worker until the operator is left: tables that read it must be written by then."""
+        self.held.append(self.spark.sparkContext.broadcast(value))
+        return self.held[-1]
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        for value in self.held:
+            value.destroy()
         for path in self.paths:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import Scratch
 
+EDGES = 200_000     # edges that a task reduces at once
+LEAST_TASKS = 8
+
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's edges (a, b) as stars: each node with the smallest it reaches there."""
@@ -32,16 +35,29 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
 
 
+def _unfinished(stars: DataFrame) -> bool:
+    """Whether a node points to two others, or to one that points on."""
+    end = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")),
+                            F.struct(F.col("b").alias("node"), F.lit(None).cast("long").alias("to")))).alias("end")
+    each = stars.select(end).groupBy("end.node").agg(
+        F.min("end.to").alias("low"), F.max("end.to").alias("high"), (F.count("*") > F.count("end.to")).alias("centre"))
+    return each.where("low <> high or (low is not null and centre)").count() > 0
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
     Valid while ``scratch`` is.
 
-    Each partition first reduces its own edges to stars (never more rows than nodes), then the
-    two star steps alternate until nothing changes: a number of rounds that grows with the
-    logarithm of the longest path. Every round is written to the shared folder."""
-    stars = scratch.saved(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long").distinct(), "stars")
-    before = None
-    while True:
+    Tasks first reduce their own edges to stars (never more rows than nodes), once where the edges lie and once in tasks
+    of about ``EDGES`` edges. Then two star steps alternate, each round's edges reduced by task again, until every
+    node points to a centre: a number of rounds that grows with the logarithm of the longest path.
+    Every round is written to the shared folder."""
+    def reduced(edges: DataFrame, n: int) -> DataFrame:
+        return scratch.saved(edges.coalesce(max(LEAST_TASKS, -(-n // EDGES))).mapInArrow(forest, "a long, b long"), "stars")
+
+    stars = scratch.saved(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long"), "stars")
+    stars = reduced(stars, stars.count())
+    while _unfinished(stars):
         # large-star: a node's larger neighbours go to its smallest one
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -52,12 +68,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = (large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                              F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        stars = scratch.saved(small, "stars")
-        state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                stars.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        before = state
+        stars = reduced(small, stars.count())
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        stars.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
 def id_bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -443,11 +443,13 @@ def _best_in_long_list(c: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.
 
 # ---- checks ----------------------------------------------------------------------------------
 
-def _picked(frame: DataFrame, ids: DataFrame, make, shape: str) -> DataFrame:
-    """``make`` of the batches of ``frame`` with the rows whose id is in ``ids`` (and perhaps a few more, by
-    a Bloom filter of a fixed size): nothing is shuffled."""
-    bits = int(np.clip(np.ceil(np.log2(max(ids.count(), 1) * 32)), 16, 27))
-    held = frame.sparkSession.sparkContext.broadcast(id_bitmap(ids, "id", bits))
+def _picked(frame: DataFrame, pairs: DataFrame, make, shape: str, scratch: Scratch) -> DataFrame:
+    """``make`` of the batches of ``frame`` with the rows whose id is in ``pairs`` (and perhaps a few more, by
+    a Bloom filter of a fixed size): neither rows nor ids are shuffled. Valid while ``scratch`` is."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    about = ids.agg(F.approx_count_distinct("id")).first()[0]   # only the filter's size depends on it
+    bits = int(np.clip(np.ceil(np.log2(max(about, 1) * 32)), 16, 27))
+    held = scratch.broadcast(id_bitmap(ids, "id", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -456,8 +458,8 @@ def _picked(frame: DataFrame, ids: DataFrame, make, shape: str) -> DataFrame:
     return frame.mapInArrow(run, shape)
 
 
-def _sets_of(texts: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """(rep, size, bits, keys) of the documents in ``ids``: whole sets as sorted hashes, and bitmaps of four to eight
+def _sets_of(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(rep, size, bits, keys) of the documents in ``pairs``: whole sets as sorted hashes, and bitmaps of four to eight
     bits per shingle."""
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         buf, offs = string_buffers(batch.column("text"))
@@ -469,7 +471,7 @@ def _sets_of(texts: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
                  pa.array([parity(mix64(x), 4) if len(x) else b"\0" * 8 for x in sets], pa.binary()),
                  pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "size", "bits", "keys"])
 
-    return _picked(texts, ids, make, "rep long, size int, bits binary, keys binary")
+    return _picked(texts, pairs, make, "rep long, size int, bits binary, keys binary", scratch)
 
 
 def _can_link(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -491,10 +493,7 @@ def _can_link(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """The pairs that link: those that coarse and then fine bitmaps admit, by their whole sets."""
-    def both_ids(pairs: DataFrame, own: Scratch) -> DataFrame:
-        return own.saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-
+    """The pairs (a written table) that link: those that coarse and then fine bitmaps admit, by their whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
@@ -507,12 +506,12 @@ def _checked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, rule: Rule, sc
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     with Scratch(texts.sparkSession) as own:
-        coarse = _picked(reps.select(F.col("rep").alias("id"), "size", "bits"), both_ids(pairs, own), lambda b: [b],
-                         "id long, size int, bits binary").withColumnRenamed("id", "rep")
+        coarse = _picked(reps.select(F.col("rep").alias("id"), "size", "bits"), pairs, lambda b: [b],
+                         "id long, size int, bits binary", own).withColumnRenamed("id", "rep")
         admitted = own.saved(_can_link(pairs, coarse, rule), "admitted")
-        sets = own.saved(_sets_of(texts, both_ids(admitted, own), rule), "sets")
+        sets = own.saved(_sets_of(texts, admitted, rule, own), "sets")
         likely = own.saved(_can_link(admitted, sets, rule), "likely").distinct()
-        few = _picked(sets.select(F.col("rep").alias("id"), "keys"), both_ids(likely, own), lambda b: [b], "id long, keys binary")
+        few = _picked(sets.select(F.col("rep").alias("id"), "keys"), likely, lambda b: [b], "id long, keys binary", own)
         both = (likely.join(few.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a")
                 .join(few.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b"))
         return scratch.saved(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
@@ -533,7 +532,7 @@ def _components(texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(id, n_shingles, component_id), on tables that ``scratch`` holds."""
     spark = texts.sparkSession
     amount = text_bytes(texts, "text")
-    classes = spark.sparkContext.broadcast(frequency_classes(texts, rule.n, amount))  # a fixed size at most
+    classes = scratch.broadcast(frequency_classes(texts, rule.n, amount))  # a fixed size at most
     described = scratch.saved(_described(texts, rule, classes), "described")
     same = ["size", "f1", "f2"]
     reps = scratch.saved(described.where("size > 0").groupBy(*same).agg(
