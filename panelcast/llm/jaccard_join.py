@@ -445,10 +445,10 @@ def _best_in_long_list(c: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.
 
 def _picked(frame: DataFrame, pairs: DataFrame, make, shape: str, scratch: Scratch) -> DataFrame:
     """``make`` of the batches of ``frame`` with the rows whose id is in ``pairs`` (and perhaps a few more, by
-    a Bloom filter of a fixed size): neither rows nor ids are shuffled. Valid while ``scratch`` is."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    about = ids.agg(F.approx_count_distinct("id")).first()[0]   # only the filter's size depends on it
-    bits = int(np.clip(np.ceil(np.log2(max(about, 1) * 32)), 16, 27))
+    a Bloom filter of a fixed size): the rows aren't shuffled. Valid while ``scratch`` is."""
+    # distinct ids lie in few partitions; each task of pairs would send a filter of its own
+    ids = scratch.saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    bits = int(np.clip(np.ceil(np.log2(max(ids.count(), 1) * 32)), 16, 27))
     held = scratch.broadcast(id_bitmap(ids, "id", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
