@@ -1,8 +1,10 @@
 """Plans that must not grow a task with the tables."""
 
+import datetime as dt
 import re
 
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 
 def test_partitions_of_the_panel_follow_its_rows(spark, monkeypatch):
@@ -18,3 +20,23 @@ def test_partitions_of_the_panel_follow_its_rows(spark, monkeypatch):
     found = re.findall(r"hashpartitioning\(item_id#\d+, store_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)
     assert found == [str(data.RetailData(spark, SF_SMALL).partitions)]
     assert {tuple(r) for r in df.collect()} == before
+
+
+def test_quantiles_of_paths_come_without_a_row_per_sample(spark):
+    from panelcast.models.paths import forecast_paths, sample_paths
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    rows = [("a", d, float(i * i % 11)) for i, d in enumerate(days) if i not in (5, 20)]
+    rows += [("b", days[0], 4.0), ("b", days[2], None), ("c", days[3], 1.5)]
+    series = spark.createDataFrame(rows, "unique_id string, ds date, y double")
+    fc = forecast_paths(series, 9, 7, return_samples=True)
+    assert not re.search(r"inline|percentile", fc._jdf.queryExecution().optimizedPlan().toString())
+    q = F.percentile("y", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975)))
+    want = {(r.unique_id, r.ds): r for r in sample_paths(series, 9, 7).groupBy("unique_id", "ds").agg(
+        q.alias("q"), F.min("status").alias("status"), F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "y"))), lambda s: s["y"]).alias("all")).collect()}
+    got = fc.collect()
+    assert len(got) == len(want) == 27
+    for r in got:
+        w = want[r.unique_id, r.ds]
+        assert r.status == w.status and [r[f"sample_{i}"] for i in range(1, 8)] == w["all"]
+        for a, b in zip((r.yhat, r.yhat_lower, r.yhat_upper), w.q or (None,) * 3, strict=True):
+            assert a == b or abs(a - b) < 1e-12
