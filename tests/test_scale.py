@@ -61,3 +61,23 @@ def test_additive_forecast_fits_once(spark):
     known = queries._additive_columns(d)
     assert list(about["holidays"]) == known["names"] and list(about["regressors"]) == list(known["regressors"])
     assert "part_sell_price" in out.columns and "part_snap" in out.columns
+
+
+def test_panel_is_sorted_once_by_week(spark):
+    """The window that looks for sales in a price's week and the one that fills the prices share a sort."""
+    from panelcast.plans import data
+    plan = data.RetailData(spark, SF_SMALL).panel()._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if re.search(r"\bSort \[item_id#\d+ ASC NULLS FIRST, store_id#\d+ ASC NULLS FIRST, wm_yr_wk", line)]
+    assert len(sorts) == 1
+
+
+def test_price_of_a_week_without_sales_is_not_used(spark):
+    from panelcast.operators.fills import attach_prices_filled
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    sales = spark.createDataFrame([("a", "s", day(n), n // 7, 1) for n in (7, 8, 21, 22)] + [("a", "s", None, 3, 2), ("b", "s", day(0), None, 3)],
+                                  "item_id string, store_id string, date date, wm_yr_wk int, sales int")
+    prices = spark.createDataFrame([("a", "s", 0, 1.0), ("a", "s", 2, 2.0), ("a", "s", 3, 3.0), ("a", "s", 3, 3.0), ("b", "s", 5, 9.0)],
+                                   "item_id string, store_id string, wm_yr_wk int, sell_price double")
+    got = sorted(((r.item_id, str(r.date), r.sell_price) for r in attach_prices_filled(sales, prices).collect()))
+    assert got == [("a", "2024-01-08", 3.0), ("a", "2024-01-09", 3.0), ("a", "2024-01-22", 3.0), ("a", "2024-01-23", 3.0), ("a", "None", 3.0),
+                   ("b", "2024-01-01", 0.0)]
