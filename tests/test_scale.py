@@ -22,6 +22,26 @@ def test_partitions_of_the_panel_follow_its_rows(spark, monkeypatch):
     assert {tuple(r) for r in df.collect()} == before
 
 
+def test_partitions_of_the_line_items_follow_their_number(spark, monkeypatch):
+    """The daily aggregate, the series' maps and the weekly prices run in partitions of the line items, not of the session."""
+    from panelcast.plans import data, queries  # noqa: F401
+    from panelcast.plans.registry import QUERIES
+    plain = data.RetailData(spark, SF_SMALL)
+    assert plain.line_partitions is None
+    assert plain.lines == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    before = sorted(map(str, QUERIES["merge_all"](spark, SF_SMALL).collect()))
+    monkeypatch.setattr(data, "PARTITION_LINES", -(-plain.lines // 23))
+    df = QUERIES["merge_all"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    n = data.RetailData(spark, SF_SMALL).line_partitions
+    assert 20 <= n <= 23
+    assert re.search(rf"hashpartitioning\(item_id#\d+, dept_id#\d+, cat_id#\d+, store_id#\d+, state_id#\d+, date#\d+, {n}\), REPARTITION_BY_NUM", plan)
+    assert re.search(rf"hashpartitioning\(item_id#\d+, {n}\), REPARTITION_BY_NUM", plan)
+    # nothing of the items' rows is dealt by the session's number of partitions
+    assert not re.search(r"hashpartitioning\(item_id#[^)]*\), ENSURE_REQUIREMENTS", plan)
+    assert sorted(map(str, df.collect())) == before
+
+
 def test_quantiles_of_paths_come_without_a_row_per_sample(spark):
     from panelcast.models.paths import forecast_paths, sample_paths
     days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
