@@ -207,9 +207,8 @@ def prices(spark: SparkSession, sf_dir: str, day0: dt.date | None = None, partit
         day0 = date_bounds(spark, sf_dir)[0]
     daily = daily_lines(spark, sf_dir, day0, partitions)
     week = _week(day_number(F.col("date"), day0))
-    per_store = daily.groupBy("item_id", "store_id", week.alias("w")).agg(F.max("price").alias("price"))
-    stores = per_store.select("item_id", "store_id").distinct()
-    weekly = per_store.groupBy("item_id", "w").agg(F.max("price").alias("sell_price"))
+    stores = daily.select("item_id", "store_id").distinct()
+    weekly = daily.groupBy("item_id", week.alias("w")).agg(F.max("price").alias("sell_price"))
     return (weekly.where(F.col("w") % PRICE_CYCLE != PRICE_GAP).join(stores, "item_id")
             .select("store_id", "item_id", (F.lit(WEEK_KEY_BASE) + F.col("w")).cast("int").alias("wm_yr_wk"),
                     "sell_price"))
