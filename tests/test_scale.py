@@ -123,3 +123,19 @@ def test_boosting_keeps_one_copy_of_the_feature_table(spark, monkeypatch):
     assert not cached and "LogicalRDD" in plan
     got = {r.x: r.yhat for r in model.predict(df.where("sales IS NOT NULL AND x IS NOT NULL")).collect()}
     assert all(abs(y - (x > 4)) < 0.2 for x, y in got.items())
+
+
+def test_unread_prices_are_not_derived(spark):
+    from panelcast.operators.fills import attach_prices_filled
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    sales = spark.createDataFrame([("a", "x", day(0), 1, 3), ("a", "x", day(1), 1, 0), ("a", "x", day(14), 3, 2), ("a", "x", day(21), 4, 1),
+                                   ("b", "x", day(0), 1, 1)], "item_id string, store_id string, date date, wm_yr_wk int, sales int")
+    # weeks 0 and 2 have no sales row: their prices count nowhere; week 4 has a row and no price
+    prices = spark.createDataFrame([("a", "x", 0, 9.0), ("a", "x", 2, 7.0), ("a", "x", 3, 5.0)],
+                                   "item_id string, store_id string, wm_yr_wk int, sell_price double")
+    panel = attach_prices_filled(sales, prices, partitions=3)
+    got = {(r.item_id, r.date): r.sell_price for r in panel.collect()}
+    assert got == {("a", day(0)): 5.0, ("a", day(1)): 5.0, ("a", day(14)): 5.0, ("a", day(21)): 5.0, ("b", day(0)): 0.0}
+    plan = panel.where(F.col("date") < F.lit(day(15))).select("item_id", "store_id", "date", "sales")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "Union" not in text and plan.count() == 4
