@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
@@ -139,3 +140,33 @@ def test_unread_prices_are_not_derived(spark):
     plan = panel.where(F.col("date") < F.lit(day(15))).select("item_id", "store_id", "date", "sales")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in text and "Union" not in text and plan.count() == 4
+
+
+def test_arima_sorts_no_days(spark):
+    from panelcast.models import arima
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=n), float(n * n % 11)) for n in range(60)]
+    model = arima.fit(spark.createDataFrame(rows, "unique_id string, ds date, y double"), arima.SEARCH)
+    text = model._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "Join" not in text
+    gap = spark.createDataFrame(rows[:20] + rows[21:], "unique_id string, ds date, y double")
+    with pytest.raises(Exception, match="daily grid"):
+        arima.fit(gap).collect()
+
+
+def test_lag_gram_sums_every_product(spark):
+    import numpy as np
+
+    from panelcast.functions.linalg import lag_gram
+    rng = np.random.default_rng(1)
+    columns, since = [(None, 0), *[("y", k) for k in range(5)], ("e", 1), ("e", 3)], 6
+    series = {n: (rng.integers(0, 9, n).astype(float).tolist(), rng.normal(size=n).tolist()) for n in (3, 7, 12, 13, 40)}
+    holes = [None if k % 5 == 2 else v for k, v in enumerate(series[40][0])]
+    rows = [(f"{n}", y, e) for n, (y, e) in series.items()] + [("holes", holes, series[40][1])]
+    df = spark.createDataFrame(rows, "k string, y array<double>, e array<double>")
+    full = lambda t: (t >= since) & F.get("y", t - 4).isNotNull()
+    got = {r.k: r.g for r in df.select("k", lag_gram(columns, since, F.size("y"), ~F.exists("y", lambda v: v.isNull()), full).alias("g")).collect()}
+    for k, y, e in rows:
+        z = [[1.0 if a is None else {"y": y, "e": e}[a][t - lag] for a, lag in columns] for t in range(since, len(y)) if y[t - 4] is not None]
+        z = np.array([[np.nan if v is None else v for v in r] for r in z], dtype=float).reshape(-1, len(columns))
+        want = np.nansum(z[:, :, None] * z[:, None, :], axis=0)
+        assert np.allclose(np.array(got[k], dtype=float), want, rtol=1e-12, atol=1e-9), k
