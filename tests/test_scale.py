@@ -148,6 +148,7 @@ def test_arima_sorts_no_days(spark):
     model = arima.fit(spark.createDataFrame(rows, "unique_id string, ds date, y double"), arima.SEARCH)
     text = model._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in text and "Join" not in text
+    assert text.count("Aggregate [unique_id") == 2   # filters on the model stop at the upper one
     gap = spark.createDataFrame(rows[:20] + rows[21:], "unique_id string, ds date, y double")
     with pytest.raises(Exception, match="daily grid"):
         arima.fit(gap).collect()
