@@ -72,6 +72,10 @@ class Rule:
         """The least intersection of sets of sizes a and b that link."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def sizes_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets of sizes a and b can link at all: they share no more than the smaller one."""
+        return np.minimum(a, b) * 100 >= np.maximum(a, b) * self.percent
+
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(
@@ -413,7 +417,8 @@ def _block_pairs(c: dict, rule: Rule) -> Iterator[tuple[int, int, np.ndarray]]:
             u, v = (folded(bits[k], width).copy().view(np.uint64) for k in (x, y))
             apart = np.bitwise_count(u[:, None, :] ^ v[None, :, :]).sum(2, dtype=np.int64)
             si, sj = size[cuts[x]:cuts[x] + len(u), None], size[None, cuts[y]:cuts[y] + len(v)]
-            yield cuts[x], cuts[y], si + sj - 2 * rule.needed(si, sj) - apart
+            # folded to a small set's width, a much larger one's bitmap says nothing: sizes come first
+            yield cuts[x], cuts[y], np.where(rule.sizes_fit(si, sj), si + sj - 2 * rule.needed(si, sj) - apart, -1)
 
 
 def _long_list(c: dict, rule: Rule) -> Iterator[np.ndarray]:
@@ -475,13 +480,15 @@ def _sets_of(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -
 
 
 def _can_link(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose bitmaps don't rule a link out."""
+    """The pairs whose sizes and bitmaps don't rule a link out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = batch.column("m").to_numpy().astype(np.int64), batch.column("n").to_numpy().astype(np.int64)
-            most = m + n - 2 * rule.needed(m, n)
+            most, fit = m + n - 2 * rule.needed(m, n), rule.sizes_fit(m, n)
             good = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                if not fit[k]:
+                    continue
                 u, v = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
                 width = min(len(u), len(v))
                 good[k] = np.bitwise_count((folded(u, width) ^ folded(v, width)).view(np.uint64)).sum() <= most[k]

@@ -253,3 +253,21 @@ def test_anchors_are_shared_by_equal_strings():
     assert (a[:251] == a[-251:]).all() and len(a) == 251 + 77 + 251 and (np.diff(start) >= 1).all()
     _, begin, end, doc = suffix_dedup.stretches(joined_text, offs, 50)
     assert (end - begin - 49).sum() == len(a) and (end - begin - 49).max() <= suffix_dedup.LONGEST and doc.max() == 1
+
+
+def test_jaccard_sizes_come_before_bitmaps(spark):
+    """Folded to a small set's width, a large set's bitmap differs in few places: pairs whose sizes can't link are neither a set's
+    likeliest partner nor sent on with their whole sets."""
+    from panelcast.llm import jaccard_join as J
+    rule, rng = J.Rule(4, 85), np.random.default_rng(3)
+    sizes = [40 + k % 4 for k in range(12)] + [5000 + 40 * k for k in range(12)]
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in sizes]
+    n = len(sets)
+    c = {"rep": np.arange(n), "size": np.array([len(x) for x in sets], np.int32), "own": np.arange(n), "bits": np.empty(n, object)}
+    c["bits"][:] = [np.frombuffer(J.parity(x), np.uint8) for x in sets]
+    some, partner, spare = J._best_in_long_list(c, rule)
+    assert rule.sizes_fit(c["size"][some], c["size"][partner]).all()
+    rows = [(k, len(x), J.parity(x, 4)) for k, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "rep long, size int, bits binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(12, 24)] + [(0, 0)], "a long, b long")
+    assert [tuple(r) for r in J._can_link(pairs, table, rule).collect()] == [(0, 0)]
