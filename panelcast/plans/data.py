@@ -65,13 +65,14 @@ class RetailData:
     def prices(self) -> DataFrame:
         return fx.prices(self.spark, self.sf_dir, self.day0, self.line_partitions)
 
-    def merged(self, fill: bool = False, gaps: bool = True) -> DataFrame:
+    def merged(self, fill: bool = False, gaps: bool = True, late: bool = False) -> DataFrame:
         from panelcast.plans.preprocess import merge_all
-        return merge_all(self.sales_long(gaps), self.calendar(), self.prices(), fill=fill, partitions=self.partitions)
+        return merge_all(self.sales_long(gaps), self.calendar(), self.prices(), fill=fill, partitions=self.partitions, late=late)
 
-    def panel(self, gaps: bool = True) -> DataFrame:
-        """Merged and filled daily panel; ``gaps=False`` has every day of each series."""
-        return self.merged(fill=True, gaps=gaps)
+    def panel(self, gaps: bool = True, late: bool = False) -> DataFrame:
+        """Merged and filled daily panel; ``gaps=False`` has every day of each series. ``late``: for queries that read most
+        of the calendar's columns (``merge_all``)."""
+        return self.merged(fill=True, gaps=gaps, late=late)
 
     def series_frame(self, gaps: bool = True) -> DataFrame:
         """(unique_id, ds, y) for every series and day."""

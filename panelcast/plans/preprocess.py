@@ -18,20 +18,34 @@ from panelcast.operators.joins import join_calendar, join_prices, keep_top_items
 from panelcast.operators.reshape import day_columns, melt_sales, train_test_split
 
 SERIES = ("item_id", "store_id")
+CALENDAR_KEYS = ("d", "date", "wm_yr_wk")
 
 
 def merge_all(sales_long: DataFrame, calendar: DataFrame, prices: DataFrame,
-              keys: Sequence[str] = SERIES, fill: bool = True, partitions: int | None = None) -> DataFrame:
+              keys: Sequence[str] = SERIES, fill: bool = True, partitions: int | None = None, late: bool = False) -> DataFrame:
     """sales ⟕ calendar (one row per day) ⟕ prices, then per-series fills.
 
     With ``fill`` the price join and the price fill run as one windowed pass
     partitioned by the series key (``attach_prices_filled``), which the feature
     windows downstream reuse.
+
+    ``late``: only the calendar's date and week go through the price step's shuffle and sorts, its other columns are attached
+    after it. For callers that read most of them: a second broadcast join, which runs even if none is read.
     """
-    dated = join_calendar(sales_long, calendar)
-    if not fill:
-        return join_prices(dated, prices)
-    return fill_missing(attach_prices_filled(dated, prices, keys, partitions=partitions), keys, prices_filled=True)
+    def priced(dated: DataFrame) -> DataFrame:
+        return attach_prices_filled(dated, prices, keys, partitions=partitions) if fill else join_prices(dated, prices)
+
+    if late:
+        # a label may have several calendar rows: each date and week of it once here, each of its rows once below
+        near = [c for c in CALENDAR_KEYS if c in calendar.columns]
+        out = priced(join_calendar(sales_long, calendar.select(*near).distinct()))
+        far = calendar.select(*[F.col(c).alias(f"_{c}") if c in near else F.col(c) for c in calendar.columns])
+        same = [out["d"] == F.col("_d"), *[out[c].eqNullSafe(F.col(f"_{c}")) for c in near if c != "d"]]
+        order = priced(join_calendar(sales_long, calendar)).columns
+        merged = out.join(F.broadcast(far), same, "left").select(*order)
+    else:
+        merged = priced(join_calendar(sales_long, calendar))
+    return fill_missing(merged, keys, prices_filled=True) if fill else merged
 
 
 def preprocess(sales: DataFrame, calendar: DataFrame, prices: DataFrame, top_n: int | None = 50,

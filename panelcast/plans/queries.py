@@ -192,7 +192,7 @@ def q_join_prices(spark, sf_dir):
 
 @register("merge_all")
 def q_merge_all(spark, sf_dir):
-    return _d(spark, sf_dir).panel()
+    return _d(spark, sf_dir).panel(late=True)
 
 
 @register("top_items")
@@ -237,8 +237,8 @@ def q_fill_missing(spark, sf_dir):
 @register("null_audit")
 def q_null_audit(spark, sf_dir):
     d = _d(spark, sf_dir)
-    before = fills.null_audit(d.merged(fill=False), "before")
-    after = fills.null_audit(d.panel(), "after")
+    before = fills.null_audit(d.merged(fill=False, late=True), "before")
+    after = fills.null_audit(d.panel(late=True), "after")
     return before.unionByName(after)
 
 

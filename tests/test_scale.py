@@ -171,3 +171,32 @@ def test_lag_gram_sums_every_product(spark):
         z = np.array([[np.nan if v is None else v for v in r] for r in z], dtype=float).reshape(-1, len(columns))
         want = np.nansum(z[:, :, None] * z[:, None, :], axis=0)
         assert np.allclose(np.array(got[k], dtype=float), want, rtol=1e-12, atol=1e-9), k
+
+
+@pytest.mark.parametrize("fill", [True, False])
+def test_calendar_columns_attached_after_the_price_step_are_the_same(spark, fill):
+    """Labels with several calendar rows, without one, and null ones; prices that come twice."""
+    from panelcast.plans.preprocess import merge_all
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    sales = spark.createDataFrame([("a", "x", f"d_{n}", n) for n in (1, 2, 3, 8, 9, 15, 40)] + [("a", "x", None, 5), ("b", "x", "d_2", None), ("b", None, "d_3", 2)],
+                                  "item_id string, store_id string, d string, sales int")
+    calendar = spark.createDataFrame(
+        [(f"d_{n}", day(n), n // 7, f"w{n % 7}", "feast" if n == 8 else None) for n in range(1, 20)]
+        + [("d_2", day(2), 0, "again", None), ("d_2", day(2), 0, "again", None), ("d_3", day(5), 1, "later", None), ("d_9", None, None, None, None), (None, day(1), 0, "none", None)],
+        "d string, date date, wm_yr_wk int, weekday string, event_name_1 string")
+    prices = spark.createDataFrame([("x", "a", 0, 1.5), ("x", "a", 2, 2.5), ("x", "a", 2, 2.5), ("x", "b", 1, 9.0)], "store_id string, item_id string, wm_yr_wk int, sell_price double")
+    one, two = (merge_all(sales, calendar, prices, fill=fill, late=late) for late in (False, True))
+    assert one.columns == two.columns and one.dtypes == two.dtypes
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_panel_is_shuffled_without_the_calendar_columns(spark):
+    """Of the calendar, only date and week are sent with the panel's rows where a query reads every column of it."""
+    from panelcast.plans import queries  # noqa: F401
+    from panelcast.plans.registry import QUERIES
+    for name, exchange in (("merge_all", r"Exchange hashpartitioning\(item_id#\d+, store_id#\d+, \d+\), REPARTITION_BY_COL"), ("null_audit", "Exchange hashpartitioning")):
+        lines = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [re.search(r"[A-Za-z*]", line).start() if re.search(r"[A-Za-z*]", line) else 0 for line in lines]
+        below = [lines[j] for i, line in enumerate(lines) if re.search(exchange, line)
+                 for j in range(i + 1, next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines)))]
+        assert below and any("wm_yr_wk" in line for line in below) and not any("weekday" in line for line in below), name
